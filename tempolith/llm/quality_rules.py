@@ -24,7 +24,7 @@ BINS_PER_OCTAVE = 16
 #: A document is rejected beyond this quantile of the chi-squared distribution, times SLACK for heavy tails.
 QUANTILE, SLACK = 0.999, 3.0
 #: Least standard deviation of each statistic, in the order of ``vector``; most texts have none of some things at all.
-FLOORS = (0.35, 0.10, 0.35, 0.35, 0.35, 0.35)
+FLOORS = (0.35, 0.10, 0.35, 0.50, 0.50, 0.35)
 
 _SPACE = r"[\x20\x09-\x0D]+"
 

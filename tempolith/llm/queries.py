@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .language import identify
+from .quality_rules import judge
 from .simhash import simhash_components
 
 
@@ -18,8 +19,12 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_language": op2_language}
+    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_quality_rules": op3_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:
