@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import near_vectors
 from .language import identify
 from .quality_rules import judge
 from .simhash import simhash_components
@@ -23,8 +24,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_quality_rules": op3_quality_rules}
+    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_quality_rules": op3_quality_rules, "op4_embeddings": op4_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:
