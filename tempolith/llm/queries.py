@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import near_vectors
 from .language import identify
+from .licenses import digest, scan
 from .quality_rules import judge
 from .simhash import simhash_components
 
@@ -28,8 +29,12 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_quality_rules": op3_quality_rules, "op4_embeddings": op4_embeddings}
+    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_quality_rules": op3_quality_rules, "op4_embeddings": op4_embeddings, "op5_licenses": op5_licenses}
 
 
 def oracle_sql() -> dict[str, str]:
