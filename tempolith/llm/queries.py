@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import round_trip
 from .embeddings import near_vectors
 from .language import identify
 from .licenses import digest, scan
 from .quality_rules import judge
 from .simhash import simhash_components
+from .unigram import token_counts
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +36,17 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_quality_rules": op3_quality_rules, "op4_embeddings": op4_embeddings, "op5_licenses": op5_licenses}
+    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_quality_rules": op3_quality_rules, "op4_embeddings": op4_embeddings, "op5_licenses": op5_licenses, "op6_token_counts": op6_token_counts, "op8_bpe": op8_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
