@@ -20,6 +20,8 @@ SMOOTHING = 0.5
 #: Neighbouring trigrams share bytes, so a likelihood counts a third; a language more must gain so many times log(n) / 2.
 PENALTY = 4.0
 EM_STEPS = 15
+#: Bytes of a text that are counted at once.
+PIECE = 1 << 20
 
 #: ASCII letters stay, A-Z as a-z, other ASCII characters become blanks, bytes of other characters stay.
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -28,9 +30,12 @@ _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 el
 def ngram_counts(text: bytes) -> np.ndarray:
     """How often each bucket's trigrams occur in the text's words."""
     squeezed = b" " + b" ".join(text.translate(_LETTERS).split()) + b" "
-    codes = np.frombuffer(squeezed, np.uint8).astype(np.uint32)
-    mixed = (codes[:-2] * np.uint32(0x9E3779B1)) ^ (codes[1:-1] * np.uint32(0x85EBCA77)) ^ (codes[2:] * np.uint32(0xC2B2AE3D))
-    return np.bincount(mixed >> np.uint32(16), minlength=BUCKETS)
+    count = np.zeros(BUCKETS, np.int64)
+    for at in range(0, len(squeezed), PIECE):
+        codes = np.frombuffer(squeezed[at : at + PIECE + 2], np.uint8).astype(np.uint32)
+        mixed = (codes[:-2] * np.uint32(0x9E3779B1)) ^ (codes[1:-1] * np.uint32(0x85EBCA77)) ^ (codes[2:] * np.uint32(0xC2B2AE3D))
+        count += np.bincount(mixed >> np.uint32(16), minlength=BUCKETS)
+    return count
 
 
 def has_letter(text: bytes) -> bool:

@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
+from .classifier import classify
 from .embeddings import near_vectors
 from .language import identify
 from .licenses import digest, scan
+from .packing import pack_documents
 from .quality_rules import judge
+from .sharding import shard_documents
 from .simhash import simhash_components
 from .unigram import token_counts
 
@@ -40,13 +43,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(op6_token_counts(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_language": op2_language, "op3_quality_rules": op3_quality_rules, "op4_embeddings": op4_embeddings, "op5_licenses": op5_licenses, "op6_token_counts": op6_token_counts, "op8_bpe": op8_bpe}
+    found = (op1_simhash, op2_language, op3_quality_rules, op4_embeddings, op5_licenses, op6_token_counts, op7_classifier, op8_bpe, op9_sharding, op10_packing)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
