@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, text_bytes
+from .store import bounded_batches, keep_rows, text_bytes
 
 #: Bounds of what training looks at: so many labelled documents, and so many others, chosen by a hash of their ids.
 LABELLED, UNLABELLED = 3000, 3000
@@ -193,6 +193,16 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabell
     return co_train((text[has], meta[has]), quality[has], (text[~has], meta[~has]))
 
 
+def _chances(model: CoTrained | None, batch: pa.RecordBatch, columns: tuple[int, int, int]) -> np.ndarray:
+    """The chance of each row to be good; columns: places of text, language and source."""
+    texts, langs, sources = text_bytes(batch.column(columns[0])), batch.column(columns[1]).to_pylist(), batch.column(columns[2]).to_pylist()
+    out = np.full(batch.num_rows, 0.5)
+    for i, (t, lang, source) in enumerate(zip(texts, langs, sources, strict=True)):
+        if model is not None:
+            out[i] = model.score(text_view(t or b"")[None], meta_view(t or b"", lang, source)[None])[0]
+    return out
+
+
 def score(docs: DataFrame, model: CoTrained | None, keep: float = KEEP) -> DataFrame:
     """(doc_id, score, kept) of every row: the chance that it is good, and whether that is at least ``keep``.
 
@@ -204,18 +214,20 @@ def score(docs: DataFrame, model: CoTrained | None, keep: float = KEEP) -> DataF
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            texts, langs, sources = text_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            out = np.full(batch.num_rows, 0.5)
-            for i, (t, lang, source) in enumerate(zip(texts, langs, sources, strict=True)):
-                if model is not None:
-                    out[i] = model.score(text_view(t or b"")[None], meta_view(t or b"", lang, source)[None])[0]
+            out = _chances(shared.value, batch, (1, 2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(out >= keep)], names=["doc_id", "score", "kept"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").mapInArrow(run, "doc_id long, score double, kept boolean")
 
 
+def keep_good(docs: DataFrame, model: CoTrained | None, keep: float = KEEP) -> DataFrame:
+    """The rows that ``score`` keeps, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = tuple(docs.columns.index(c) for c in ("text", "lang", "source"))
+    return keep_rows(docs, lambda batch: _chances(shared.value, batch, columns) >= keep)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on the labels, then score all documents."""
     return score(docs, train(docs, labels))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, text_bytes
+from .store import bounded_batches, keep_rows, text_bytes
 
 #: N-grams are UTF-8 byte trigrams hashed into so many buckets.
 BUCKETS = 1 << 16
@@ -106,6 +106,16 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return langs, table / table.sum(axis=1, keepdims=True)
 
 
+def verdict(text: bytes | None, langs: list[str], table: np.ndarray) -> tuple[str, float, str, bool]:
+    """(lang_pred, score, languages, explained) of one text, as in ``predict``."""
+    if not langs or text is None or not has_letter(text):
+        return "und", 0.0, "", False
+    chosen, share, fit, total = infer(text, table)
+    rank = np.argsort(-share, kind="stable")
+    names = [langs[chosen[i]] for i in rank]
+    return names[0], min(1.0, float(share[rank[0]])), ",".join(names), fit > -total * np.log(BUCKETS)
+
+
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, languages, explained) of every row, from the whole text alone.
 
@@ -116,20 +126,10 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str =
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(table)
-    null_fit = -np.log(BUCKETS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for batch in batches:
-            out = []
-            for text in text_bytes(batch.column(1)):
-                if not langs or text is None or not has_letter(text):
-                    out.append(("und", 0.0, "", False))
-                    continue
-                chosen, share, fit, total = infer(text, table)
-                top = int(np.argmax(share))
-                rank = np.argsort(-share, kind="stable")
-                out.append((langs[chosen[top]], min(1.0, float(share[top])), ",".join(langs[chosen[i]] for i in rank), fit > total * null_fit))
+            out = [verdict(text, langs, shared.value) for text in text_bytes(batch.column(1))]
             pred, score, sets, explained = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string()), pa.array(explained, pa.bool_())], names=["id", "lang_pred", "score", "languages", "explained"])
 
@@ -137,6 +137,13 @@ def predict(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str =
     return rows.mapInArrow(run, "id long, lang_pred string, score double, languages string, explained boolean")
 
 
+def keep_explained(docs: DataFrame, langs: list[str], table: np.ndarray, text_col: str = "text") -> DataFrame:
+    """The rows whose text is ``explained`` by the learned languages, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+    at = docs.columns.index(text_col)
+    return keep_rows(docs, lambda batch: [verdict(text, langs, shared.value)[3] for text in text_bytes(batch.column(at))])
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     """True for the third of the documents that a model is measured on; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -53,3 +53,14 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each text of an Arrow string column, one at a time."""
     for value in column.cast(pa.large_binary()):
         yield value.as_py()
+
+
+def keep_rows(docs: DataFrame, verdict: Callable[[pa.RecordBatch], list[bool]]) -> DataFrame:
+    """The rows, with all their columns, for which ``verdict`` is true; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(verdict(batch), pa.bool_()))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
