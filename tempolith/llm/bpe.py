@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 
 from .store import bounded_batches, text_bytes
 
-#: Words, transducer states and token pairs that a worker keeps; beyond that it starts each anew.
-CACHE_WORDS, CACHE_STATES, CACHE_PAIRS = 300_000, 200_000, 300_000
+#: Words, transducer states and token pairs that a worker keeps; beyond that it starts anew (of words, the last so many stay).
+CACHE_WORDS, CACHE_STATES, CACHE_PAIRS = 250_000, 200_000, 500_000
+#: Bytes of a word after which decided tokens are emitted.
+WINDOW = 4096
 
 #: Unicode's White_Space characters, as the inside of a character class.
 SPACE = "\\t-\\r \x85\xa0  -     　"
@@ -35,9 +37,9 @@ class Transducer:
 
     A sequence of tokens is the encoding of its bytes exactly if each two neighbours are the encoding of theirs, so the
     last token of every prefix is decided by the token before it. Reading bytes, a state knows the places where a token
-    may still begin: for each, the node of the vocabulary's trie reached since and the tokens that lead there. Tokens
-    that lead to all of these places are emitted, which bounds the lookahead by the longest token. States and arcs are
-    made when first needed and kept.
+    may still begin: for each, the node of the vocabulary's trie reached since and the token that ends there. An arc
+    tells the token that ends after its byte. Tokens on which the ways to all of these places agree are emitted, so the
+    lookahead is at most the longest token. States and arcs are made when first needed and kept.
     """
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
@@ -46,95 +48,142 @@ class Transducer:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.child: list[dict[int, int]] = [{}]
-        self.token_at = [-1]
+        self.token_at, self.depth = [-1], [0]
         for token, rank in ranks.items():
             node = 0
             for b in token:
                 if b not in self.child[node]:
                     self.child[node][b] = len(self.child)
+                    self.depth.append(self.depth[node] + 1)
                     self.child.append({})
                     self.token_at.append(-1)
                 node = self.child[node][b]
             self.token_at[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.made: dict[int, list[tuple[int, bytes, bytes]] | None] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
         self._forget()
 
-    def _forget(self) -> None:
-        start = (-1, ((0, ()),))
-        self.states = [start]
-        self.number = {start: 0}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+    def _forget(self, state: tuple = ((0, -1),)) -> int:
+        """Keep only the first state, and ``state``; returns the latter's number."""
+        start = ((0, -1),)
+        self.states = [start] if state == start else [start, state]
+        self.number = {s: i for i, s in enumerate(self.states)}
+        self.arcs: dict[int, tuple[int, int]] = {}
+        return self.number[state]
 
     def merge(self, word: bytes) -> list[int]:
         """The encoding by its definition: join the neighbours of the lowest rank, the leftmost first, until none joins."""
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-            if rank == 1 << 40:
-                break
+        return [self.ranks[p] for p in self._merged(word)[0]]
+
+    def _merged(self, word: bytes) -> tuple[list[bytes], list[tuple[int, bytes, bytes]]]:
+        """The parts in the end, and for each join its rank and the first and last part after it."""
+        parts, steps, never = [word[i : i + 1] for i in range(len(word))], [], 1 << 40
+        joined = [self.ranks.get(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        while joined and (rank := min(joined)) < never:
+            at = joined.index(rank)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+            del joined[at]
+            if at:
+                joined[at - 1] = self.ranks.get(parts[at - 1] + parts[at], never)
+            if at < len(joined):
+                joined[at] = self.ranks.get(parts[at] + parts[at + 1], never)
+            steps.append((rank, parts[0], parts[-1]))
+        return parts, steps
+
+    def _steps(self, token: int) -> list[tuple[int, bytes, bytes]] | None:
+        """How merging builds the token from its bytes; None if it does not."""
+        if token not in self.made:
+            word = self.tokens[token]
+            parts, steps = self._merged(word)
+            self.made[token] = [(-1, word[:1], word[-1:]), *steps, (1 << 41, b"", b"")] if len(parts) == 1 else None
+        return self.made[token]
+
+    def _stand_together(self, left: int, right: int) -> bool:
+        """Whether merging the bytes of both tokens gives these tokens: no join across their border comes first.
+
+        Until one does, each side's joins come in their own order, and of both sides' the lower rank first, the left one of equals.
+        """
+        a, b = self._steps(left), self._steps(right)
+        if a is None or b is None:
+            return False
+        i = j = 0
+        get, never = self.ranks.get, 1 << 40
+        across = get(a[0][2] + b[0][1], never)
+        while True:
+            next_a, next_b = a[i + 1][0], b[j + 1][0]
+            if across < next_a and across <= next_b and across < never:
+                return False
+            if next_a > never and next_b > never:
+                return True
+            if next_a <= next_b:
+                i += 1
+            else:
+                j += 1
+            across = get(a[i][2] + b[j][1], never)
 
     def _follows(self, left: int, token: int) -> bool:
         """Whether ``token`` may stand after ``left``, or at the start (-1)."""
-        found = self.pairs.get((left, token))
+        if left < 0:
+            return self._steps(token) is not None
+        key = left << 32 | token
+        found = self.pairs.get(key)
         if found is None:
             if len(self.pairs) >= CACHE_PAIRS:
                 self.pairs.clear()
-            whole = (self.tokens[left] if left >= 0 else b"") + self.tokens[token]
-            found = self.pairs[left, token] = self.merge(whole) == [x for x in (left, token) if x >= 0]
+            found = self.pairs[key] = self._stand_together(left, token)
         return found
 
-    def _arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state's number and the tokens emitted."""
-        before, places = self.states[state]
-        after, last = [], None
-        for node, pending in places:
-            node = self.child[node].get(byte, -1)
-            if node < 0:
-                continue
-            token = self.token_at[node]
-            if last is None and token >= 0 and self._follows(pending[-1] if pending else before, token):
-                last = (*pending, token)
-            if self.child[node]:
-                after.append((node, pending))
+    def _arc(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state's number and the token that ends after the byte."""
+        after, last = [], -1
+        child, token_at = self.child, self.token_at
+        for node, before in self.states[state]:
+            node = child[node].get(byte, 0)
+            if node:
+                token = token_at[node]
+                if last < 0 and token >= 0 and self._follows(before, token):
+                    last = token
+                if child[node]:
+                    after.append((node, before))
         after.append((0, last))
-        same = 0
-        shortest = min(len(p) for _, p in after)
-        while same < shortest and len({p[same] for _, p in after}) == 1:
-            same += 1
-        out = last[:same]
-        new = (out[-1] if out else before, tuple((n, p[same:]) for n, p in after))
+        new = tuple(after)
         number = self.number.get(new)
         if number is None:
             number = self.number[new] = len(self.states)
             self.states.append(new)
-        found = self.arcs[state << 8 | byte] = (number, out)
+        found = self.arcs[state << 8 | byte] = (number, last)
         return found
 
+    def _way(self, ends: list[int], at: int) -> list[int]:
+        """The places where the tokens of the way to ``at`` begin, and ``at``."""
+        way = [at]
+        while at > 0:
+            at -= len(self.tokens[ends[at - 1]])
+            way.append(at)
+        return way[::-1]
+
     def encode_word(self, word: bytes) -> list[int]:
         """Tokens of one match of the pattern; a match that is a token is that token."""
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        if len(self.states) >= CACHE_STATES:
-            self._forget()
-        state, out, arcs = 0, [], self.arcs
+        state = 0 if len(self.states) < CACHE_STATES else self._forget()
+        out, ends, arcs = [], [], self.arcs
         for byte in word:
-            arc = arcs.get(state << 8 | byte) or self._arc(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out += arc[1]
-            if len(self.states) >= 2 * CACHE_STATES:  # one very long word: keep only the state that it is in
-                here = self.states[state]
-                self._forget()
-                arcs = self.arcs
-                state = self.number.setdefault(here, len(self.states))
-                if state == len(self.states):
-                    self.states.append(here)
-        out += self.states[state][1][-1][1]
-        return out
+            state, last = arcs.get(state << 8 | byte) or self._arc(state, byte)
+            ends.append(last)
+            if len(ends) >= WINDOW:  # a very long word: emit what is decided
+                ways = [self._way(ends, len(ends) - self.depth[node]) for node, _ in self.states[state]]
+                decided = max(set(ways[0]).intersection(*ways[1:]))
+                out += [ends[at - 1] for at in ways[-1] if 0 < at <= decided]
+                del ends[:decided]
+                if len(self.states) >= CACHE_STATES:
+                    state = self._forget(self.states[state])
+                    arcs = self.arcs
+        way = self._way(ends, len(ends))
+        return out + [ends[at - 1] for at in way[1:]]
 
     def encode(self, words: Iterable[str]) -> tuple[list[int], str]:
         """Tokens of the words one after the other, also as decimal numbers joined by commas."""
@@ -142,11 +191,14 @@ class Transducer:
         for word in words:
             entry = cache.get(word)
             if entry is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                ids = tuple(self.encode_word(word.encode()))
-                entry = (ids, ",".join(map(str, ids)))
+                entry = self.older.get(word)
+                if entry is None:
+                    ids = tuple(self.encode_word(word.encode()))
+                    entry = (ids, ",".join(map(str, ids)))
                 if len(word) < 64:
+                    if len(cache) >= CACHE_WORDS:
+                        self.older, self.words = cache, {}
+                        cache = self.words
                     cache[word] = entry
             found.append(entry)
         return list(chain.from_iterable(e[0] for e in found)), ",".join([e[1] for e in found])

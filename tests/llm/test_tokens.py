@@ -85,11 +85,32 @@ def test_random_bytes_equal_merging():
             assert transducer.encode_word(word) == transducer.merge(word)
 
 
+def test_neighbours_equal_merging():
+    own, rng = bpe.load(RANKS), random.Random(5)
+    for _ in range(20_000):
+        left, right = rng.randrange(20_000), rng.randrange(20_000)
+        assert own._stand_together(left, right) == (own.merge(own.tokens[left] + own.tokens[right]) == [left, right])
+    small = bpe.Transducer({w: i for i, w in enumerate([b"a", b"b", b"c", b"bc", b"ab", b"abc", b"aa", b"aaa", b"bcc", b"cab", b"abab"])})
+    for left in range(len(small.tokens)):
+        for right in range(len(small.tokens)):
+            assert small._stand_together(left, right) == (small.merge(small.tokens[left] + small.tokens[right]) == [left, right])
+    for _ in range(3000):
+        word = bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 14)))
+        if word not in small.ranks:
+            assert small.encode_word(word) == small.merge(word)
+
+
 def test_forgetting_states_changes_nothing(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_STATES", 5)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 3)
+    monkeypatch.setattr(bpe, "WINDOW", 64)
     own = bpe.Transducer(bpe.load(RANKS).ranks)
     word = b"unforgettablelongword" * 30
     assert own.encode_word(word) == own.merge(word) == own.encode_word(word)
+    rng = random.Random(8)
+    for _ in range(50):
+        word = bytes(rng.choice(b"abcehinorst") for _ in range(300))
+        assert own.encode_word(word) == own.merge(word)
 
 
 def test_counts_equal_the_library(spark, uni):
