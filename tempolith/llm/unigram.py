@@ -16,8 +16,8 @@ from .store import bounded_batches, text_bytes
 MARK = "▁"
 #: An unknown character scores so much less than the lowest piece.
 UNKNOWN_PENALTY = 10.0
-#: Words whose results a worker keeps; beyond that it starts anew.
-CACHE_WORDS = 400_000
+#: Words whose results a worker keeps, and as many older ones.
+CACHE_WORDS = 300_000
 
 
 class Counter:
@@ -38,29 +38,64 @@ class Counter:
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         names = {piece for piece, _ in pieces}
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
-        self.cache: dict[str, tuple[float, int]] = {}
+        # in no longer piece, a line end stands between pieces; exact only if neither sums are rounded nor unknown pieces join
+        alone = all("\n" not in piece for piece, _ in pieces if len(piece) > 1)
+        self.by_line = alone and all(score == int(score) for _, score in pieces) and (self.bytes or "\n" in names)
+        self.line_end = self.word("\n")
+        #: Results of words that begin with a mark, and of others; beyond CACHE_WORDS the last so many stay.
+        self.marked: tuple[dict, dict] = {}, {}
+        self.bare: tuple[dict, dict] = {}, {}
 
     def word(self, word: str) -> tuple[float, int]:
         """(score, pieces) of one word, mark included."""
-        size = len(word)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(size)]
-        single = bytearray(size)
+        best, count, open_ = [0.0], [0], [0]  # open_: ends with an unknown piece
+        at, top, n, single = 0, None, 0, False
+        unknown, by_bytes = self.unknown, self.bytes
+
+        def close() -> None:
+            """Settle the place after the character ``at``, whose pieces have been seen."""
+            last = 0
+            nonlocal top, n
+            if not single and (top is None or unknown + best[at] > top):
+                top, n, last = unknown + best[at], count[at] + (len(word[at].encode()) if by_bytes else 1 - open_[at]), 1
+            best.append(top)
+            count.append(n)
+            open_.append(last)
+
         for end, (length, score) in self.matches.iter(word):
-            ends[end].append((length, score))
+            while at < end:
+                close()
+                at, top, single = at + 1, None, False
+            start = end + 1 - length  # longest first, so the earliest start is first
+            total = score + best[start]
+            if top is None or total > top:
+                top, n = total, count[start] + 1
             if length == 1:
-                single[end] = 1
-        best, count, open_ = [0.0] * (size + 1), [0] * (size + 1), bytearray(size + 1)  # open_: ends with an unknown piece
-        for end in range(size):
-            top, n, unknown = None, 0, 0
-            for length, score in ends[end]:  # longest first, so the earliest start is first
-                start = end + 1 - length
-                if top is None or score + best[start] > top:
-                    top, n, unknown = score + best[start], count[start] + 1, 0
-            if not single[end] and (top is None or self.unknown + best[end] > top):
-                more = len(word[end].encode()) if self.bytes else 1 - open_[end]
-                top, n, unknown = self.unknown + best[end], count[end] + more, 1
-            best[end + 1], count[end + 1], open_[end + 1] = top, n, unknown
-        return best[size], count[size]
+                single = True
+        while at < len(word):
+            close()
+            at, top, single = at + 1, None, False
+        return best[-1], count[-1]
+
+    def _look_up(self, parts: list[str], lead: str, score: float, n: int) -> tuple[float, int]:
+        """Adds up the results of words, each with ``lead`` before it."""
+        caches = self.marked if lead else self.bare
+        cache, older = caches
+        for part in parts:
+            found = cache.get(part)
+            if found is None:
+                found = older.get(part) or self.word(lead + part)
+                if len(part) < 64:
+                    if len(cache) >= CACHE_WORDS:
+                        cache, older = caches = {}, cache
+                        if lead:
+                            self.marked = caches
+                        else:
+                            self.bare = caches
+                    cache[part] = found
+            score += found[0]
+            n += found[1]
+        return score, n
 
     def text(self, text: str) -> tuple[float, int]:
         """(score, pieces) of a whole text; an empty one has no piece."""
@@ -69,17 +104,15 @@ class Counter:
         marked = text.replace(" ", MARK)
         if not marked.startswith(MARK):
             marked = MARK + marked
-        score, n, cache = 0.0, 0, self.cache
-        for part in marked[1:].split(MARK):
-            found = cache.get(part)
-            if found is None:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                found = self.word(MARK + part)
-                if len(part) < 64:
-                    cache[part] = found
-            score += found[0]
-            n += found[1]
+        if not self.by_line:
+            return self._look_up(marked[1:].split(MARK), MARK, 0.0, 0)
+        first, *lines = marked.split("\n")
+        score, n = self._look_up(first[1:].split(MARK), MARK, 0.0, 0)
+        for line in lines:
+            head, *parts = line.split(MARK)
+            if head:
+                score, n = self._look_up([head], "", score, n)
+            score, n = self._look_up(parts, MARK, score + self.line_end[0], n + self.line_end[1])
         return score, n
 
 
