@@ -231,7 +231,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of each near-duplicate component, that of its smallest id, with all its columns; rows without an id all stay."""
     groups = settle(simhash_components(docs, id_col, text_col).select("doc_id", "component_id"), "groups")
     first = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.join(first.select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
+    # the ids grow with the documents, so both sides are shuffled, at any size; only the ids are held in memory
+    kept = docs.join(first.select(F.col("doc_id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi")
     if first.filter("rows > 1").limit(1).count():  # an id on several rows
         kept = kept.dropDuplicates([id_col])
     return kept.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))
