@@ -41,7 +41,7 @@ class Counter:
         # in no longer piece, a line end stands between pieces; exact only if neither sums are rounded nor unknown pieces join
         alone = all("\n" not in piece for piece, _ in pieces if len(piece) > 1)
         self.by_line = alone and all(score == int(score) for _, score in pieces) and (self.bytes or "\n" in names)
-        self.line_end = self.word("\n")
+        self.line_end = complex(*self.word("\n"))
         #: Results of words that begin with a mark, and of others; beyond CACHE_WORDS the last so many stay.
         self.marked: tuple[dict, dict] = {}, {}
         self.bare: tuple[dict, dict] = {}, {}
@@ -50,14 +50,13 @@ class Counter:
         """(score, pieces) of one word, mark included."""
         best, count, open_ = [0.0], [0], [0]  # open_: ends with an unknown piece
         at, top, n, single = 0, None, 0, False
-        unknown, by_bytes = self.unknown, self.bytes
 
         def close() -> None:
             """Settle the place after the character ``at``, whose pieces have been seen."""
             last = 0
             nonlocal top, n
-            if not single and (top is None or unknown + best[at] > top):
-                top, n, last = unknown + best[at], count[at] + (len(word[at].encode()) if by_bytes else 1 - open_[at]), 1
+            if not single and (top is None or self.unknown + best[at] > top):
+                top, n, last = self.unknown + best[at], count[at] + (len(word[at].encode()) if self.bytes else 1 - open_[at]), 1
             best.append(top)
             count.append(n)
             open_.append(last)
@@ -77,25 +76,24 @@ class Counter:
             at, top, single = at + 1, None, False
         return best[-1], count[-1]
 
-    def _look_up(self, parts: list[str], lead: str, score: float, n: int) -> tuple[float, int]:
-        """Adds up the results of words, each with ``lead`` before it."""
-        caches = self.marked if lead else self.bare
-        cache, older = caches
-        for part in parts:
-            found = cache.get(part)
-            if found is None:
-                found = older.get(part) or self.word(lead + part)
-                if len(part) < 64:
-                    if len(cache) >= CACHE_WORDS:
-                        cache, older = caches = {}, cache
-                        if lead:
-                            self.marked = caches
-                        else:
-                            self.bare = caches
-                    cache[part] = found
-            score += found[0]
-            n += found[1]
-        return score, n
+    def _look_up(self, parts: list[str], lead: str, total: complex) -> complex:
+        """Adds up the results of words, each with ``lead`` before it: scores as real parts, pieces as imaginary ones."""
+        cache, older = self.marked if lead else self.bare
+        found = [*map(cache.get, parts)]
+        if None in found:
+            for i, part in enumerate(parts):
+                if found[i] is None:
+                    known = cache.get(part) or older.get(part) or complex(*self.word(lead + part))
+                    if len(part) < 64:
+                        if len(cache) >= CACHE_WORDS:
+                            cache, older = {}, cache
+                            if lead:
+                                self.marked = cache, older
+                            else:
+                                self.bare = cache, older
+                        cache[part] = known
+                    found[i] = known
+        return sum(found, total)
 
     def text(self, text: str) -> tuple[float, int]:
         """(score, pieces) of a whole text; an empty one has no piece."""
@@ -104,16 +102,12 @@ class Counter:
         marked = text.replace(" ", MARK)
         if not marked.startswith(MARK):
             marked = MARK + marked
-        if not self.by_line:
-            return self._look_up(marked[1:].split(MARK), MARK, 0.0, 0)
-        first, *lines = marked.split("\n")
-        score, n = self._look_up(first[1:].split(MARK), MARK, 0.0, 0)
+        first, *lines = marked.split("\n") if self.by_line else [marked]
+        total = self._look_up(first[1:].split(MARK), MARK, 0j)
         for line in lines:
             head, *parts = line.split(MARK)
-            if head:
-                score, n = self._look_up([head], "", score, n)
-            score, n = self._look_up(parts, MARK, score + self.line_end[0], n + self.line_end[1])
-        return score, n
+            total = self._look_up(parts, MARK, self._look_up([head], "", total + self.line_end) if head else total + self.line_end)
+        return total.real, int(total.imag)
 
 
 @lru_cache(maxsize=2)
