@@ -45,7 +45,7 @@ def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
             out[name] = spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                raise FileNotFoundError(f"{folder}/{name}.parquet is missing: run tempolith.sources.archive.extract first") from e
+                raise FileNotFoundError(f"{folder}/{name}.parquet is missing: write it with tempolith.sources.documents.write_raw first") from e
             raise
     return out
 
