@@ -17,7 +17,7 @@ MARK = "▁"
 #: An unknown character scores so much less than the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Words whose results a worker keeps, and as many older ones.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
 
 
 class Counter:
@@ -35,65 +35,59 @@ class Counter:
             if piece:
                 self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
-        self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
+        self.unknown: float = min(score for _, score in pieces) - UNKNOWN_PENALTY
         names = {piece for piece, _ in pieces}
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
         # in no longer piece, a line end stands between pieces; exact only if neither sums are rounded nor unknown pieces join
         alone = all("\n" not in piece for piece, _ in pieces if len(piece) > 1)
         self.by_line = alone and all(score == int(score) for _, score in pieces) and (self.bytes or "\n" in names)
         self.line_end = complex(*self.word("\n"))
-        #: Results of words that begin with a mark, and of others; beyond CACHE_WORDS the last so many stay.
-        self.marked: tuple[dict, dict] = {}, {}
-        self.bare: tuple[dict, dict] = {}, {}
+        #: Results of parts; beyond CACHE_WORDS the last so many stay.
+        self.cache: dict[str, complex] = {}
+        self.older: dict[str, complex] = {}
 
     def word(self, word: str) -> tuple[float, int]:
         """(score, pieces) of one word, mark included."""
-        best, count, open_ = [0.0], [0], [0]  # open_: ends with an unknown piece
-        at, top, n, single = 0, None, 0, False
-
-        def close() -> None:
-            """Settle the place after the character ``at``, whose pieces have been seen."""
-            last = 0
-            nonlocal top, n
-            if not single and (top is None or self.unknown + best[at] > top):
-                top, n, last = self.unknown + best[at], count[at] + (len(word[at].encode()) if self.bytes else 1 - open_[at]), 1
-            best.append(top)
-            count.append(n)
-            open_.append(last)
-
+        best, count, unknown = [0.0], [0], set()  # unknown: places after an unknown character
+        at, top, n, single, nothing = 0, float("-inf"), 0, False, float("-inf")
         for end, (length, score) in self.matches.iter(word):
-            while at < end:
-                close()
-                at, top, single = at + 1, None, False
+            if end > at:
+                if single:
+                    best.append(top)
+                    count.append(n)
+                else:
+                    self._unknown(word, at, top, n, best, count, unknown)
+                for at in range(at + 1, end):
+                    self._unknown(word, at, nothing, 0, best, count, unknown)
+                at, top, single = end, nothing, False
             start = end + 1 - length  # longest first, so the earliest start is first
             total = score + best[start]
-            if top is None or total > top:
+            if total > top:
                 top, n = total, count[start] + 1
             if length == 1:
                 single = True
-        while at < len(word):
-            close()
-            at, top, single = at + 1, None, False
+        if single:
+            best.append(top)
+            count.append(n)
+        elif word:
+            self._unknown(word, at, top, n, best, count, unknown)
+        for at in range(at + 1, len(word)):
+            self._unknown(word, at, nothing, 0, best, count, unknown)
         return best[-1], count[-1]
 
-    def _look_up(self, parts: list[str], lead: str, total: complex) -> complex:
-        """Adds up the results of words, each with ``lead`` before it: scores as real parts, pieces as imaginary ones."""
-        cache, older = self.marked if lead else self.bare
-        found = [*map(cache.get, parts)]
-        if None in found:
-            for i, part in enumerate(parts):
-                if found[i] is None:
-                    known = cache.get(part) or older.get(part) or complex(*self.word(lead + part))
-                    if len(part) < 64:
-                        if len(cache) >= CACHE_WORDS:
-                            cache, older = {}, cache
-                            if lead:
-                                self.marked = cache, older
-                            else:
-                                self.bare = cache, older
-                        cache[part] = known
-                    found[i] = known
-        return sum(found, total)
+    def _unknown(self, word: str, at: int, top: float, n: int, best: list[float], count: list[int], unknown: set[int]) -> None:
+        """Settle the place after the character ``at``, which is no piece: it may be unknown, or end a longer piece (top, n)."""
+        if self.unknown + best[at] > top:
+            top, n = self.unknown + best[at], count[at] + (len(word[at].encode()) if self.bytes else at not in unknown)
+            unknown.add(at + 1)
+        best.append(top)
+        count.append(n)
+
+    def _new(self, part: str) -> complex:
+        """Result of a part that is not kept yet: a word less its mark, or a line end and what follows it."""
+        if self.by_line and part.startswith("\n"):
+            return self.line_end + (complex(*self.word(part[1:])) if len(part) > 1 else 0)
+        return complex(*self.word(MARK + part))
 
     def text(self, text: str) -> tuple[float, int]:
         """(score, pieces) of a whole text; an empty one has no piece."""
@@ -102,11 +96,20 @@ class Counter:
         marked = text.replace(" ", MARK)
         if not marked.startswith(MARK):
             marked = MARK + marked
-        first, *lines = marked.split("\n") if self.by_line else [marked]
-        total = self._look_up(first[1:].split(MARK), MARK, 0j)
-        for line in lines:
-            head, *parts = line.split(MARK)
-            total = self._look_up(parts, MARK, self._look_up([head], "", total + self.line_end) if head else total + self.line_end)
+        if self.by_line:
+            marked = marked.replace("\n", MARK + "\n")
+        parts = marked[1:].split(MARK)
+        # scores add up as real parts, pieces as imaginary ones
+        found, at = [*map(self.cache.get, parts), None], -1
+        while (at := found.index(None, at + 1)) < len(parts):
+            part = parts[at]
+            known = self.cache.get(part) or self.older.get(part) or self._new(part)
+            if len(part) < 64:
+                if len(self.cache) >= CACHE_WORDS:
+                    self.cache, self.older = {}, self.cache
+                self.cache[part] = known
+            found[at] = known
+        total = sum(found[:-1])
         return total.real, int(total.imag)
 
 
