@@ -5,9 +5,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -32,6 +33,19 @@ def splitter(pattern: str):
     return lambda text: (ascii_only if text.isascii() else full).findall(text)
 
 
+class State(dict):
+    """A state's arcs by byte, each (next state, token that ends after the byte); an arc is made when first asked for."""
+
+    __slots__ = ("places", "make")
+
+    def __init__(self, places: tuple[tuple[int, int], ...], make: Callable[[State, int], tuple[State, int]]) -> None:
+        self.places, self.make = places, make
+
+    def __missing__(self, byte: int) -> tuple[State, int]:
+        found = self[byte] = self.make(self, byte)
+        return found
+
+
 class Transducer:
     """The merges of a rank file as a transducer from bytes to tokens.
 
@@ -47,6 +61,7 @@ class Transducer:
         self.tokens: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        self.lengths = [len(token or b"") for token in self.tokens]
         self.child: list[dict[int, int]] = [{}]
         self.token_at, self.depth = [-1], [0]
         for token, rank in ranks.items():
@@ -65,13 +80,16 @@ class Transducer:
         self.older: dict[str, tuple[tuple[int, ...], str]] = {}
         self._forget()
 
-    def _forget(self, state: tuple = ((0, -1),)) -> int:
-        """Keep only the first state, and ``state``; returns the latter's number."""
-        start = ((0, -1),)
-        self.states = [start] if state == start else [start, state]
-        self.number = {s: i for i, s in enumerate(self.states)}
-        self.arcs: dict[int, tuple[int, int]] = {}
-        return self.number[state]
+    def _forget(self) -> None:
+        """Make all states anew, when first needed."""
+        self.states: dict[tuple[tuple[int, int], ...], State] = {}
+        self.start = self._state(((0, -1),))
+
+    def _state(self, places: tuple[tuple[int, int], ...]) -> State:
+        found = self.states.get(places)
+        if found is None:
+            found = self.states[places] = State(places, self._arc)
+        return found
 
     def merge(self, word: bytes) -> list[int]:
         """The encoding by its definition: join the neighbours of the lowest rank, the leftmost first, until none joins."""
@@ -135,11 +153,10 @@ class Transducer:
             found = self.pairs[key] = self._stand_together(left, token)
         return found
 
-    def _arc(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state's number and the token that ends after the byte."""
+    def _arc(self, state: State, byte: int) -> tuple[State, int]:
         after, last = [], -1
         child, token_at = self.child, self.token_at
-        for node, before in self.states[state]:
+        for node, before in state.places:
             node = child[node].get(byte, 0)
             if node:
                 token = token_at[node]
@@ -148,60 +165,64 @@ class Transducer:
                 if child[node]:
                     after.append((node, before))
         after.append((0, last))
-        new = tuple(after)
-        number = self.number.get(new)
-        if number is None:
-            number = self.number[new] = len(self.states)
-            self.states.append(new)
-        found = self.arcs[state << 8 | byte] = (number, last)
-        return found
+        return self._state(tuple(after)), last
 
-    def _way(self, ends: list[int], at: int) -> list[int]:
-        """The places where the tokens of the way to ``at`` begin, and ``at``."""
-        way = [at]
+    def _way(self, ends: list[int], at: int) -> dict[int, int]:
+        """The tokens of the way to ``at``, from the last to the first, by the places where they end."""
+        way, lengths = {}, self.lengths
         while at > 0:
-            at -= len(self.tokens[ends[at - 1]])
-            way.append(at)
-        return way[::-1]
+            token = way[at] = ends[at - 1]
+            at -= lengths[token]
+        return way
 
     def encode_word(self, word: bytes) -> list[int]:
         """Tokens of one match of the pattern; a match that is a token is that token."""
         whole = self.ranks.get(word)
         if whole is not None:
             return [whole]
-        state = 0 if len(self.states) < CACHE_STATES else self._forget()
-        out, ends, arcs = [], [], self.arcs
+        if len(self.states) >= CACHE_STATES:
+            self._forget()
+        state, out, ends = self.start, [], []
         for byte in word:
-            state, last = arcs.get(state << 8 | byte) or self._arc(state, byte)
+            state, last = state[byte]
             ends.append(last)
             if len(ends) >= WINDOW:  # a very long word: emit what is decided
-                ways = [self._way(ends, len(ends) - self.depth[node]) for node, _ in self.states[state]]
-                decided = max(set(ways[0]).intersection(*ways[1:]))
-                out += [ends[at - 1] for at in ways[-1] if 0 < at <= decided]
+                ways = [self._way(ends, len(ends) - self.depth[node]) for node, _ in state.places]
+                decided = max((at for at in ways[0] if all(at in way for way in ways)), default=0)
+                out += reversed([token for at, token in ways[-1].items() if at <= decided])
                 del ends[:decided]
                 if len(self.states) >= CACHE_STATES:
-                    state = self._forget(self.states[state])
-                    arcs = self.arcs
-        way = self._way(ends, len(ends))
-        return out + [ends[at - 1] for at in way[1:]]
+                    self._forget()
+                    state = self._state(state.places)
+        return out + list(self._way(ends, len(ends)).values())[::-1]
 
     def encode(self, words: Iterable[str]) -> tuple[list[int], str]:
         """Tokens of the words one after the other, also as decimal numbers joined by commas."""
-        cache, found = self.words, []
-        for word in words:
-            entry = cache.get(word)
-            if entry is None:
-                entry = self.older.get(word)
-                if entry is None:
-                    ids = tuple(self.encode_word(word.encode()))
-                    entry = (ids, ",".join(map(str, ids)))
-                if len(word) < 64:
-                    if len(cache) >= CACHE_WORDS:
-                        self.older, self.words = cache, {}
-                        cache = self.words
-                    cache[word] = entry
-            found.append(entry)
-        return list(chain.from_iterable(e[0] for e in found)), ",".join([e[1] for e in found])
+        words = list(words)
+        found = list(map(self.words.get, words))
+        for at in [at for at, entry in enumerate(found) if entry is None] if None in found else ():
+            found[at] = self._entry(words[at])
+        return list(chain.from_iterable(map(itemgetter(0), found))), ",".join(map(itemgetter(1), found))
+
+    def _entry(self, word: str) -> tuple[tuple[int, ...], str]:
+        """Tokens of a word that was not at hand, kept from now on if the word is not long."""
+        entry = self.words.get(word) or self.older.get(word)
+        if entry is None:
+            ids = tuple(self.encode_word(word.encode()))
+            entry = (ids, ",".join(map(str, ids)))
+        if len(word) < 64:
+            if len(self.words) >= CACHE_WORDS:
+                self.older, self.words = self.words, {}
+            self.words[word] = entry
+        return entry
+
+
+class Effects:
+    """What tokens do to the states of ``Utf8Decoder``, each worked out once; ``whole`` tokens lead from state 0 to state 0."""
+
+    def __init__(self) -> None:
+        self.after: dict[tuple[int, int], int] = {}
+        self.whole: set[int] = set()
 
 
 class Utf8Decoder:
@@ -214,8 +235,8 @@ class Utf8Decoder:
     #: For each state, the continuation bytes allowed next and the state they lead to: as UTF-8 defines them.
     NEXT = {1: ((0x80, 0xBF, 0),), 2: ((0x80, 0xBF, 1),), 3: ((0x80, 0xBF, 2),), 4: ((0xA0, 0xBF, 1),), 5: ((0x80, 0x9F, 1),), 6: ((0x90, 0xBF, 2),), 7: ((0x80, 0x8F, 2),), 0: ((0x00, 0x7F, 0), (0xC2, 0xDF, 1), (0xE0, 0xE0, 4), (0xE1, 0xEC, 2), (0xED, 0xED, 5), (0xEE, 0xEF, 2), (0xF0, 0xF0, 6), (0xF1, 0xF3, 3), (0xF4, 0xF4, 7))}
 
-    def __init__(self, tokens: list[bytes | None], effects: dict[tuple[int, int], int] | None = None) -> None:
-        self.tokens, self.effects = tokens, {} if effects is None else effects
+    def __init__(self, tokens: list[bytes | None], effects: Effects | None = None) -> None:
+        self.tokens, self.effects = tokens, effects or Effects()
         self.state, self.held, self.malformed = 0, b"", False
 
     @classmethod
@@ -226,16 +247,19 @@ class Utf8Decoder:
         after = state
         for byte in self.tokens[token]:
             after = self.step(after, byte)
-        self.effects[state, token] = after
+        self.effects.after[state, token] = after
+        if state == after == 0:
+            self.effects.whole.add(token)
         return after
 
     def feed(self, ids: list[int]) -> str:
-        state, effects = self.state, self.effects
-        for i in ids:
-            after = effects.get((state, i))
-            state = self._effect(state, i) if after is None else after
-            if state < 0:
-                break
+        state, known = self.state, self.effects.after
+        if state or not self.effects.whole.issuperset(ids):
+            for i in ids:
+                after = known.get((state, i))
+                state = self._effect(state, i) if after is None else after
+                if state < 0:
+                    break
         data = self.held + b"".join(map(self.tokens.__getitem__, ids))
         if state < 0:  # hold back what may be the start of a character, if the end looks like one
             self.malformed = True
@@ -286,7 +310,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, piece: int = 4096) ->
     """(doc_id, text) of ``encode_documents``' rows, decoded ``piece`` tokens at a time; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, effects = load(ranks_path), {}
+        transducer, effects = load(ranks_path), Effects()
         for batch in batches:
             texts = ["".join(decode_stream(ids.as_py() or [], transducer.tokens, effects, piece)) for ids in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -295,7 +319,7 @@ def decode_documents(encoded: DataFrame, ranks_path: str, piece: int = 4096) ->
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def decode_stream(ids: list[int], tokens: list[bytes | None], effects: dict[tuple[int, int], int], piece: int = 4096) -> Iterator[str]:
+def decode_stream(ids: list[int], tokens: list[bytes | None], effects: Effects, piece: int = 4096) -> Iterator[str]:
     decoder = Utf8Decoder(tokens, effects)
     for at in range(0, len(ids), piece):
         yield decoder.feed(ids[at : at + piece])
@@ -309,7 +333,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer, cut, effects = load(ranks_path), splitter(pattern), {}
+        transducer, cut, effects = load(ranks_path), splitter(pattern), Effects()
         for batch in batches:
             n, encoded, decoded = [], [], []
             for text in text_bytes(batch.column(1)):
