@@ -67,3 +67,14 @@ def display_probability(p: Column, low: float = 0.05, high: float = 0.95) -> Col
 def length_word(value: Column, typical: Column) -> Column:
     """Short under 0.6 of what is typical, long above 1.5 times it."""
     return F.when(value < 0.6 * typical, "Short").when(value > 1.5 * typical, "Long").otherwise("Typical")
+
+
+def poisson(bits: Column) -> Column:
+    """A draw from the Poisson distribution of mean 1 (at most 8), given a hash."""
+    u = (F.pmod(bits, F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    drawn, chance, total = F.lit(0), 0.36787944117144233, 0.0
+    for k in range(1, 9):
+        total += chance
+        drawn = drawn + (u > total).cast("int")
+        chance /= k
+    return drawn

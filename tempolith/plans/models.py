@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..functions.scalar import log1p_clipped
+from ..functions.scalar import log1p_clipped, poisson
+from . import trees
 from .model_frames import feature_columns, folds, known_at
 
 LOGISTIC_GRID = ({"C": 0.03}, {"C": 0.3}, {"C": 3.0})
@@ -34,9 +35,9 @@ class Numbers:
     deviation: dict[str, float]
 
     @classmethod
-    def fit(cls, frame: DataFrame, point: str) -> Numbers:
+    def fit(cls, frame: DataFrame, point: str, without: Collection[str] = ()) -> Numbers:
         kinds = feature_columns(point)
-        columns = [c for c in (*kinds["log"], *kinds["linear"]) if not (c == "has_assignee" and point == "creation")]
+        columns = [c for c in (*kinds["log"], *kinds["linear"]) if not (c == "has_assignee" and point == "creation") and c not in without]
         logged = frozenset(kinds["log"])
         medians = frame.agg(*(F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns)).first().asDict()
         median = {c: medians[c] if medians[c] is not None else 0.0 for c in columns}
@@ -65,31 +66,41 @@ class Fitted:
         out = self.pipeline.transform(self.numbers.scaled(frame))
         return out.withColumn("score", vector_to_array("probability")[1]).select(*frame.columns, "score")
 
+    def origins(self) -> list[str]:
+        """For each place of the feature vector, the column that it comes from."""
+        names = [c for c in self.numbers.columns for _ in range(2)]
+        for stage in self.pipeline.stages:
+            if hasattr(stage, "labelsArray"):
+                for c, labels in zip(stage.getInputCols(), stage.labelsArray, strict=True):
+                    names += [c] * (len(labels) + 1)
+        return names
+
     def contributions(self, frame: DataFrame, keys: list[str]) -> DataFrame:
-        """(keys, feature, contribution): exact additive parts of a logistic model's log-odds, against the training mean.
+        """(keys, feature, contribution): exact additive parts of the log-odds, which add up to them less ``base``.
 
-        They add up to the log-odds less the intercept; one-hot and gap columns count for the feature they come from.
+        Of a logistic model each weight times its value, of boosted trees the Shapley values over the trees' own covers.
+        One-hot and gap columns count for the column they come from.
         """
+        scored = self.pipeline.transform(self.numbers.scaled(frame)).select(*keys, vector_to_array("features").alias("_v"), vector_to_array("rawPrediction")[1].alias("_raw"))
+        if self.kind == "boosting":
+            return trees.contributions(scored, keys, trees.leaves(self.pipeline.stages[-1]), self.origins())
         weights = self.pipeline.stages[-1].coefficients.toArray()
-        scored = self.pipeline.transform(self.numbers.scaled(frame)).select(*keys, vector_to_array("features").alias("_v"))
-        names: list[str] = []
-        for c in self.numbers.columns:
-            names += [c, c]
-        sizes = [len(labels) for s in self.pipeline.stages if hasattr(s, "labelsArray") for labels in s.labelsArray]
-        indexed = [c for s in self.pipeline.stages if hasattr(s, "labelsArray") for c in s.getInputCols()]
-        for c, size in zip(indexed, sizes, strict=True):
-            names += [c] * (size + 1)
-        named = F.array(*(F.struct(F.lit(n).alias("feature"), F.lit(float(w)).alias("weight")) for n, w in zip(names, weights, strict=True)))
+        named = F.array(*(F.struct(F.lit(n).alias("feature"), F.lit(float(w)).alias("weight")) for n, w in zip(self.origins(), weights, strict=True)))
         parts = F.zip_with(named, "_v", lambda a, b: F.struct(a["feature"].alias("feature"), (a["weight"] * b).alias("part")))
         rows = scored.select(*keys, F.explode(parts).alias("_p"))
         return rows.groupBy(*keys, F.col("_p.feature").alias("feature")).agg(F.sum("_p.part").alias("contribution"))
 
+    def base(self) -> float:
+        """The log-odds that contributions start from: the intercept, or the trees' mean over their training rows."""
+        last = self.pipeline.stages[-1]
+        return trees.mean(trees.leaves(last)) if self.kind == "boosting" else last.intercept
+
 
-def fit(kind: str, point: str, train: DataFrame, params: dict, label: str = "is_late") -> Fitted:
-    """A model of what was known; ``params`` has C, or step and depth."""
+def fit(kind: str, point: str, train: DataFrame, params: dict, label: str = "is_late", without: Collection[str] = ()) -> Fitted:
+    """A model of what was known; ``params`` has C, or step and depth. Columns in ``without`` are not used."""
     train = train.withColumn("_y", F.col(label).cast("double"))
-    numbers = Numbers.fit(train, point)
-    categories = feature_columns(point)["categorical"]
+    numbers = Numbers.fit(train, point, without)
+    categories = [c for c in feature_columns(point)["categorical"] if c not in without]
     steps = [
         StringIndexer(inputCols=categories, outputCols=[f"i_{c}" for c in categories], handleInvalid="keep"),
         OneHotEncoder(inputCols=[f"i_{c}" for c in categories], outputCols=[f"o_{c}" for c in categories], dropLast=False),
@@ -137,15 +148,9 @@ def bootstrap(scored: DataFrame, label: str, scores: list[str], key: str, replic
 
     All scores see the same draws, so differences are paired. Rows meet only as counts of equal scores.
     """
-    u = (F.pmod(F.xxhash64(key, "replicate", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    drawn, chance, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 9):
-        total += chance
-        drawn = drawn + (u > total).cast("int")
-        chance /= k
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("model"), F.col(s).alias("s")) for s in scores)))
     rows = scored.filter(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("_y"), each.alias("x")).select(key, "_y", "x.*")
-    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", drawn)
+    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson(F.xxhash64(key, "replicate", F.lit(seed))))
     sums = rows.groupBy("replicate", "model", "s").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_y")).alias("_pos")).filter("_n > 0")
     down = Window.partitionBy("replicate", "model").orderBy(F.col("s").desc())
     part = sums.withColumn("_part", F.col("_pos") * F.sum("_pos").over(down) / F.sum("_n").over(down))
