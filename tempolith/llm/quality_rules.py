@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from .store import settle
 
-#: The share of a group that the estimate rests on.
-CORE = 0.75
+#: The share of a group that the estimate rests on: half, so that it stands with nearly half of the rows outlying.
+CORE = 0.5
 #: Groups with fewer rows are pooled by language, then altogether.
 MIN_ROWS = 100
 #: Concentration steps.
@@ -92,25 +92,72 @@ def _group(left: str, right: str) -> F.Column:
     return (F.col(f"{left}.level") == F.col(f"{right}.level")) & F.col(f"{left}.a").eqNullSafe(F.col(f"{right}.a")) & F.col(f"{left}.b").eqNullSafe(F.col(f"{right}.b"))
 
 
-def _first_estimate(rows: DataFrame, dims: int) -> DataFrame:
-    """Medians and quartile ranges of each group, from histograms: counts that add up, whatever the order."""
+def _histogram(rows: DataFrame, dims: int) -> DataFrame:
+    """Counts of each statistic's values in steps of 1/64, with the counts up to and over all of them."""
     tall = rows.select("level", "a", "b", F.posexplode(F.array(*(F.floor(F.col(f"x{j}") * 64) for j in range(dims)))).alias("dim", "bin"))
     bins = tall.groupBy("level", "a", "b", "dim", "bin").agg(F.count("*").alias("n"))
     at = Window.partitionBy("level", "a", "b", "dim")
-    bins = bins.withColumn("upto", F.sum("n").over(at.orderBy("bin"))).withColumn("all", F.sum("n").over(at))
-    wide = bins.groupBy("level", "a", "b").agg(*(x for j in range(dims) for x in _quartiles(bins, j)))
-    for j in range(dims):
-        spread = F.greatest((F.col(f"hi{j}") - F.col(f"lo{j}")) / 1.349, F.lit(FLOORS[j]))
-        wide = wide.withColumn(f"l{j}_{j}", spread)
-    lower = [F.lit(0.0).alias(f"l{i}_{j}") if i != j else F.col(f"l{i}_{j}") for i in range(dims) for j in range(i + 1)]
+    return bins.withColumn("upto", F.sum("n").over(at.orderBy("bin"))).withColumn("all", F.sum("n").over(at))
+
+
+def _diagonal(wide: DataFrame, dims: int, spread) -> DataFrame:
+    """The estimate with centres ``m0``... of ``wide`` and deviations ``spread(j)``, none below its floor."""
+    lower = [F.lit(0.0).alias(f"l{i}_{j}") if i != j else F.greatest(spread(j), F.lit(FLOORS[j])).alias(f"l{i}_{j}") for i in range(dims) for j in range(i + 1)]
     return wide.select("level", "a", "b", *(f"m{j}" for j in range(dims)), *lower)
 
 
+def _first_estimate(rows: DataFrame, dims: int) -> DataFrame:
+    """Medians and quartile ranges of each group, from histograms: counts that add up, whatever the order."""
+    bins = _histogram(rows, dims)
+    wide = bins.groupBy("level", "a", "b").agg(*(x for j in range(dims) for x in _quartiles(bins, j)))
+    return _diagonal(wide, dims, lambda j: (F.col(f"hi{j}") - F.col(f"lo{j}")) / 1.349)
+
+
+def _starts(rows: DataFrame, dims: int) -> list[DataFrame]:
+    """Estimates to start from: medians with quartile ranges, medians with the floors, and middles of shortest halves with their lengths."""
+    bins = settle(_histogram(rows, dims), "histogram")
+    wide = bins.groupBy("level", "a", "b").agg(*(x for j in range(dims) for x in _quartiles(bins, j)))
+    # the half that starts with a bin ends where the count has grown by half: both are places in the order of counts
+    at = Window.partitionBy("level", "a", "b", "dim")
+    ends = bins.select("level", "a", "b", "dim", "bin", F.col("upto").alias("place"), F.lit(True).alias("end"))
+    begins = bins.filter(F.col("upto") - F.col("n") <= F.col("all") / 2).select("level", "a", "b", "dim", "bin", (F.col("upto") - F.col("n") + F.ceil(F.col("all") / 2)).alias("place"), F.lit(False).alias("end"))
+    met = ends.unionByName(begins).withColumn("last", F.min(F.when(F.col("end"), F.col("bin"))).over(at.orderBy(F.desc("place")).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    half = met.filter("not end and last is not null").groupBy("level", "a", "b", "dim").agg(F.min(F.struct((F.col("last") - F.col("bin")).alias("length"), "bin")).alias("half"))
+    pick = lambda j, c: F.min(F.when(F.col("dim") == j, c))
+    length, middle = (F.col("half.length") + 1.0) / 64, (F.col("half.bin") + (F.col("half.length") + 1.0) / 2) / 64
+    halves = half.groupBy("level", "a", "b").agg(*(x for j in range(dims) for x in (pick(j, middle).alias(f"m{j}"), pick(j, length).alias(f"w{j}"))))
+    return [
+        _diagonal(wide, dims, lambda j: (F.col(f"hi{j}") - F.col(f"lo{j}")) / 1.349),
+        _diagonal(wide, dims, lambda j: F.lit(FLOORS[j])),
+        _diagonal(halves, dims, lambda j: F.col(f"w{j}") / 1.349),
+    ]
+
+
 def _quartiles(bins: DataFrame, j: int) -> list[F.Column]:
     edge = lambda q: F.min(F.when((F.col("dim") == j) & (F.col("upto") >= q * F.col("all")), (F.col("bin") + 0.5) / 64))
     return [edge(0.25).alias(f"lo{j}"), edge(0.5).alias(f"m{j}"), edge(0.75).alias(f"hi{j}")]
 
 
+def estimates(rows: DataFrame, dims: int, steps: int = STEPS) -> DataFrame:
+    """Each group's estimate of least determinant among those that the starts lead to; the earlier of equal ones.
+
+    All starts take a step in one pass: a start's rows are groups of their own, told by tens of ``level``.
+    """
+    starts = _starts(rows, dims)
+    shift = lambda df, number: df.withColumn("level", (F.col("level") + 10 * number).cast("int"))
+    estimate = shift(starts[0], 0)
+    for number, start in enumerate(starts[1:], 1):
+        estimate = estimate.unionByName(shift(start, number))
+    each = shift(rows.withColumn("start", F.explode(F.array(*map(F.lit, range(len(starts)))))), F.col("start")).drop("start")
+    estimate = settle(estimate, "estimate")
+    for _ in range(steps):
+        estimate = settle(_concentrate(each, estimate, dims), "estimate")
+    size = sum((F.log(F.col(f"l{i}_{i}")) for i in range(dims)), F.lit(0.0))
+    best = Window.partitionBy("level", "a", "b").orderBy("size", "start")
+    estimate = estimate.withColumn("size", size).withColumn("start", F.floor(F.col("level") / 10)).withColumn("level", (F.col("level") % 10).cast("int"))
+    return settle(estimate.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place", "size", "start"), "estimate")
+
+
 def _distances(rows: DataFrame, estimate: DataFrame, dims: int) -> DataFrame:
     """Rows with ``d2``, by forward substitution with the group's Cholesky factor."""
     df = rows.alias("r").join(estimate.alias("e"), _group("r", "e"), "left").select("r.*", *(F.col(f"e.{c}").alias(c) for c in estimate.columns if c not in ("level", "a", "b")))
@@ -167,10 +214,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps
         grouped = grouped.withColumn(f"x{i}", x)
     grouped = settle(grouped, "vectors")
     used = grouped.filter(F.col("level").isNotNull()).select("level", "a", "b", *(f"x{i}" for i in range(dims)))
-    estimate = settle(_first_estimate(used, dims), "estimate")
-    for _ in range(steps):
-        estimate = settle(_concentrate(used, estimate, dims), "estimate")
-    judged = _distances(grouped, estimate, dims)
+    judged = _distances(grouped, estimates(used, dims, steps), dims)
     limit = SLACK * chi2_quantile(QUANTILE, dims)
     shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     judged = judged.select(*shown, F.coalesce(F.col("d2") <= limit, F.lit(True)).alias("kept"), F.col("d2").alias("distance2"))

@@ -75,3 +75,22 @@ def test_distances_equal_a_plain_estimate(spark):
     got = np.sort([r["d2"] for r in quality_rules._distances(frame, estimate, 6).collect()])
     assert got == pytest.approx(np.sort((np.linalg.solve(root, (x - center).T) ** 2).sum(axis=0)), rel=1e-6)
     assert (got > 100).sum() >= 60
+
+
+def test_a_third_of_far_rows_is_rejected(spark):
+    """Scattered junk and far copies, each a third of its group, in three of six statistics."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for group, spread in (("scattered", 1.0), ("copies", 0.0)):
+        x = rng.normal(size=(1500, 6)) * np.maximum(quality_rules.FLOORS, 0.3)
+        far = np.arange(1500) < 510
+        x[far] = rng.normal(size=(510, 6)) * spread * 0.3
+        x[far, :3] += np.array([6.0, 4.0, 5.0])
+        rows += [(0, "en", group, bool(f), *map(float, r)) for f, r in zip(far, x, strict=True)]
+    frame = spark.createDataFrame(rows, "level int, a string, b string, far boolean, " + ", ".join(f"x{i} double" for i in range(6)))
+    found = quality_rules._distances(frame, quality_rules.estimates(frame, 6), 6)
+    limit = quality_rules.SLACK * quality_rules.chi2_quantile(quality_rules.QUANTILE, 6)
+    for group in ("scattered", "copies"):
+        got = [(r["far"], r["d2"] > limit) for r in found.filter(found["b"] == group).collect()]
+        assert np.mean([out for far, out in got if far]) > 0.98
+        assert np.mean([out for far, out in got if not far]) < 0.01
