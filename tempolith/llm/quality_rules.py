@@ -15,7 +15,7 @@ from .store import settle
 
 #: The share of a group that the estimate rests on: half, so that it stands with nearly half of the rows outlying.
 CORE = 0.5
-#: Groups with fewer rows are pooled by language, then altogether.
+#: Groups with fewer rows are judged by their whole language, and languages with fewer by all rows.
 MIN_ROWS = 100
 #: Concentration steps.
 STEPS = 4
@@ -72,20 +72,32 @@ def vector() -> list[F.Column]:
     ]
 
 
-def _pooled(rows: DataFrame) -> DataFrame:
-    """Rows with ``level``, ``a`` and ``b``, the group of each: language and source, else language, else all; level null: too few rows."""
+def _pooled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``level``, ``a`` and ``b``, the group that judges each: language and source, else the whole language, else all.
+
+    The second table maps each language and source to every group that its rows help to estimate: larger groups count
+    whole, but only those are estimated that judge something.
+    """
     counted = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
     own = F.col("n") >= MIN_ROWS
-    by_lang = F.sum(F.when(~own, F.col("n"))).over(Window.partitionBy("lang"))
-    counted = counted.withColumn("in_lang", by_lang)
-    lang = ~own & (F.col("in_lang") >= MIN_ROWS)
-    rest = counted.filter(~own & ~(F.col("in_lang") >= MIN_ROWS)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in_rest"))
+    counted = counted.withColumn("level", F.when(own, 0).when(F.sum("n").over(Window.partitionBy("lang")) >= MIN_ROWS, 1).otherwise(2))
+    counted = settle(counted.withColumn("lang_judges", F.max(F.col("level") == 1).over(Window.partitionBy("lang"))), "groups")
     # one row, from an aggregate without keys
-    counted = counted.join(F.broadcast(rest))
-    level = F.when(own, 0).when(lang, 1).when(F.col("in_rest") >= MIN_ROWS, 2)
-    groups = settle(counted.select("lang", "source", level.alias("level")), "groups")
+    needed = counted.join(F.broadcast(counted.agg(F.coalesce(F.max(F.col("level") == 2), F.lit(False)).alias("all_judge"))))
+    levels = F.filter(F.array(F.when(F.col("level") == 0, 0), F.when(F.col("lang_judges"), 1), F.when(F.col("all_judge"), 2)), lambda x: x.isNotNull())
+    helps = _named(needed.select("lang", "source", F.explode(levels).alias("level")))
+    judged_by = counted.select("lang", "source", "level")
+    return _named(_of_source(rows, judged_by)), helps
+
+
+def _of_source(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with the other columns of ``groups`` that have their language and source."""
     joined = rows.alias("r").join(groups.alias("g"), F.col("r.lang").eqNullSafe(F.col("g.lang")) & F.col("r.source").eqNullSafe(F.col("g.source")))
-    return joined.select("r.*", "g.level").withColumn("a", F.when(F.col("level") < 2, F.col("lang"))).withColumn("b", F.when(F.col("level") < 1, F.col("source")))
+    return joined.select("r.*", *(F.col(f"g.{c}") for c in groups.columns if c not in ("lang", "source")))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("a", F.when(F.col("level") < 2, F.col("lang"))).withColumn("b", F.when(F.col("level") < 1, F.col("source")))
 
 
 def _group(left: str, right: str) -> F.Column:
@@ -199,8 +211,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2) of every row.
 
     ``base_failed``: under 50 words, or more than half of them in repeated windows. The rest are compared within their
-    language and source (null is a value like another); a group with under MIN_ROWS rows is pooled with the other small
-    ones of its language, and then with all of them, and what is still too few is kept. Null texts count as empty,
+    language and source (null is a value like another); a group with under MIN_ROWS rows is judged by its whole
+    language, and by all rows if that has too few as well, however many there are. Null texts count as empty,
     repeated ids keep their rows, an empty table gives an empty one, other columns are ignored.
     """
     dims = len(FLOORS)
@@ -209,11 +221,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
     good = rows.filter(~F.col("base_failed"))
-    grouped = _pooled(good)
+    grouped, helps = _pooled(good)
     for i, x in enumerate(vector()):
         grouped = grouped.withColumn(f"x{i}", x)
     grouped = settle(grouped, "vectors")
-    used = grouped.filter(F.col("level").isNotNull()).select("level", "a", "b", *(f"x{i}" for i in range(dims)))
+    used = _of_source(grouped.select("lang", "source", *(f"x{i}" for i in range(dims))), helps).drop("lang", "source")
     judged = _distances(grouped, estimates(used, dims, steps), dims)
     limit = SLACK * chi2_quantile(QUANTILE, dims)
     shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]

@@ -94,3 +94,15 @@ def test_a_third_of_far_rows_is_rejected(spark):
         got = [(r["far"], r["d2"] > limit) for r in found.filter(found["b"] == group).collect()]
         assert np.mean([out for far, out in got if far]) > 0.98
         assert np.mean([out for far, out in got if not far]) < 0.01
+
+
+def test_small_groups_are_judged_by_larger_ones(spark):
+    """A rare source of a large language, and a rare language, beside a large group: each row has its distance."""
+    rng = np.random.default_rng(6)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(rng.integers(60, 120)))
+    rows = [(i, text(), *key) for i, key in enumerate([("en", "s")] * 120 + [("en", "rare")] * 5 + [("es", "s")] * 5)]
+    rows += [(200, "$$$$$$$$ ## " * 4 + " ".join(f"${i}#{'&' * 300}" for i in range(900)), "es", "s"), (201, rows[0][1], None, None)]
+    found = {r["doc_id"]: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert len(found) == len(rows) and all(r["distance2"] is not None for r in found.values() if not r["base_failed"])
+    assert not found[200]["base_failed"] and not found[200]["kept"]
+    assert all(r["kept"] for i, r in found.items() if i != 200)
