@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -12,10 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components, local_components
-from .store import bounded_batches, settle, text_bytes
+from .store import bounded_batches, join_counted, settle, text_bytes
 
-#: A fingerprint is cut into so many blocks; two within 3 bits agree in at least BLOCKS - 3 of them.
-BLOCKS = 5
 #: Fingerprints of one key that a task compares at once; a key with more is cut into such parts, compared two by two.
 PART = 16_384
 #: Fingerprints whose comparisons run together.
@@ -23,21 +22,42 @@ WAVE = 64
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+#: Bytes of a text whose words are held at once.
+PIECE = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def shingles(text: bytes | None, size: int, piece: int = PIECE) -> Iterator[list[bytes]]:
+    """The runs of ``size`` words of a whole text, A-Z lower-cased and space-joined, some at a time.
+
+    A text of fewer words gives all of them as one run; a text that is null or has no word gives nothing.
+    """
+    text, at, kept, any_run = text or b"", 0, [], False
+    while at < len(text):
+        gap = _SPACE.search(text, at + piece) if at + piece < len(text) else None
+        end = gap.start() if gap else len(text)
+        words = kept + text[at:end].lower().split()
+        at = end
+        if len(words) >= size:
+            any_run = True
+            yield list(map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)))
+            kept = words[len(words) - size + 1 :]
+        else:
+            kept = words
+    if kept and not any_run:
+        yield [b" ".join(kept)]
+
+
 def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     """64 bits, each set where over half the shingles' XXH64 set it; 0 for a text that is null or has no word."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
     hashed = xxhash.xxh64_intdigest
-    if len(words) < shingle:
-        hashes = [hashed(b" ".join(words), seed)]
-    else:
-        hashes = [hashed(b" ".join(run), seed) for run in zip(*(words[i:] for i in range(shingle)), strict=False)]
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        some = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
+    votes, n = np.zeros(64, np.int64), 0
+    for runs in shingles(text, shingle):
+        for at in range(0, len(runs), 1 << 16):
+            some = np.array([hashed(run, seed) for run in runs[at : at + (1 << 16)]], "<u8").view(np.uint8).reshape(-1, 8)
+            votes += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(runs)
+    return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0]) if n else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -52,7 +72,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, fp long")
 
 
-def block_keys(fp: F.Column, radius: int = 3, blocks: int = BLOCKS) -> F.Column:
+def blocks_for(n: int, radius: int = 3) -> int:
+    """Into how many blocks ``n`` fingerprints are cut: so many that those of a key are few, unless they are near each other.
+
+    More blocks mean more and longer keys; the links found are the same.
+    """
+    return next(b for b in range(radius + 2, 17) if b == 16 or n >> 4 < 1 << (64 * (b - radius) // b))
+
+
+def block_keys(fp: F.Column, radius: int = 3, blocks: int = 5) -> F.Column:
     """The keys of a fingerprint: for each choice of blocks - radius blocks, their bits and the choice's number.
 
     Two fingerprints within ``radius`` bits differ in at most ``radius`` blocks, so they share a key.
@@ -66,19 +94,24 @@ def block_keys(fp: F.Column, radius: int = 3, blocks: int = BLOCKS) -> F.Column:
     return F.explode(F.array(*keys))
 
 
-def within_radius(planes: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray, counters: int = 2) -> np.ndarray:
-    """For comparison i, the lanes of ``planes[:, word[i]]`` among ``lanes[i]`` that differ from ``query[i]`` in fewer than 2**counters bits.
+def within_radius(planes: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int = 3) -> np.ndarray:
+    """For comparison i, the lanes of ``planes[:, word[i]]`` among ``lanes[i]`` that differ from ``query[i]`` in at most ``radius`` bits.
 
-    ``planes[b, w]`` holds bit b of 64 fingerprints. The differing bits of all lanes are added plane by plane into
-    carry-save counters, one word per counter bit; a carry out of the last marks the lane as too far, for good. Words
-    whose lanes are all too far are abandoned after every eighth plane.
+    ``planes[b, w]`` holds bit b of 64 fingerprints, ``query[i]`` one fingerprint as 64-bit words. The differing bits of
+    all lanes are added plane by plane into carry-save counters, one word per counter bit, which begin so that the
+    carry out of the last says that the radius is exceeded, for good. Words whose lanes are all too far are abandoned
+    after every eighth plane.
     """
+    if query.ndim == 1:
+        query = query[:, None]
     near = np.zeros(len(query), np.uint64)
     at = np.arange(len(query))
     far = ~lanes
-    count = [np.zeros(len(query), np.uint64) for _ in range(counters)]
-    for b in range(64):
-        carry = planes[b, word] ^ (np.uint64(0) - ((query >> np.uint64(b)) & np.uint64(1)))
+    bits = radius.bit_length()
+    begin = (1 << bits) - 1 - radius
+    count = [np.full(len(query), ONES if begin >> c & 1 else 0, np.uint64) for c in range(bits)]
+    for b in range(len(planes)):
+        carry = planes[b, word] ^ (np.uint64(0) - ((query[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)))
         for c in count:
             c ^= carry
             carry &= ~c
@@ -188,13 +221,13 @@ def _link_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield linked(run, fp)
 
 
-def near_links(prints: DataFrame, part: int = PART) -> DataFrame:
-    """Links (u, v) that connect the distinct fingerprints ``fp`` of ``prints`` within 3 bits of each other.
+def near_links(prints: DataFrame, part: int = PART, blocks: int = 5) -> DataFrame:
+    """Links (u, v) that connect the distinct fingerprints ``fp`` of ``prints`` within 3 bits of each other, met by keys of ``blocks``.
 
     A key held by more than ``part`` fingerprints is cut into parts by hash, and each two parts meet in a task of their
     own, so no task sees more than about 2 * ``part`` of them. All links are found; each task returns stars only.
     """
-    keyed = prints.select("fp", block_keys(F.col("fp")).alias("key")).select("key.choice", "key.bits", "fp")
+    keyed = prints.select("fp", block_keys(F.col("fp"), blocks=blocks).alias("key")).select("key.choice", "key.bits", "fp")
     hot = settle(keyed.groupBy("choice", "bits").count().filter(F.col("count") > part).select("choice", "bits", F.ceil(F.col("count") / part).cast("int").alias("parts")), "hot")
     n_hot = hot.count()
     if n_hot:
@@ -210,29 +243,19 @@ def near_links(prints: DataFrame, part: int = PART) -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every document whose id is not null, by fingerprints within 3 bits of each other.
+    """(doc_id, fingerprint, component_id) of every document, by fingerprints within 3 bits of each other.
 
     Equal fingerprints become one node before any comparison, so groups of copies, however large, cost one row each.
-    Texts that are null, empty or without a word have fingerprint zero, which links like any other. Repeated ids keep
-    their rows; an empty table gives an empty one; other columns are ignored.
+    Texts that are null, empty or without a word have fingerprint zero, which links like any other. A null id takes part
+    but names no component (null, if no document of it has an id). Repeated ids keep their rows; an empty table gives an
+    empty one; other columns are ignored.
     """
-    prints = settle(fingerprints(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, shingle), "prints")
-    nodes = settle(prints.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
+    prints = settle(fingerprints(docs, id_col, text_col, shingle), "prints")
+    nodes = settle(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "nodes")
     # components of fingerprints, then the smallest document of each
-    roots = connected_components(near_links(nodes.select("fp")))
-    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
+    roots = connected_components(near_links(nodes.select("fp"), blocks=blocks_for(nodes.count())))
+    nodes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "rep", "rows", F.coalesce("component", "fp").alias("root"))
     nodes = settle(nodes, "roots")
-    least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    nodes = nodes.join(least, "root").select("fp", "component_id")
-    return prints.join(nodes, "fp").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each near-duplicate component, that of its smallest id, with all its columns; rows without an id all stay."""
-    groups = settle(simhash_components(docs, id_col, text_col).select("doc_id", "component_id"), "groups")
-    first = groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    # the ids grow with the documents, so both sides are shuffled, at any size; only the ids are held in memory
-    kept = docs.join(first.select(F.col("doc_id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi")
-    if first.filter("rows > 1").limit(1).count():  # an id on several rows
-        kept = kept.dropDuplicates([id_col])
-    return kept.select(docs.columns).union(docs.filter(F.col(id_col).isNull()))
+    least = nodes.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("prints"))
+    nodes = join_counted(nodes, least, ["root"], "prints").select("fp", "rows", "component_id")
+    return join_counted(prints, nodes, ["fp"], "rows").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -8,15 +8,22 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows handed to Python at once; with the byte bound of ``bounded_batches`` a worker holds little at a time.
 BATCH_ROWS = 2000
 
 
+#: A key with more rows than this is hot: its rows stay where they are, and what they are joined with is broadcast.
+HOT_ROWS = 100_000
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``; where the session names none, a temporary one, in local mode alone."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not hasattr(shared_folder, "own"):
             shared_folder.own = tempfile.mkdtemp(prefix="tempolith-")
         named = shared_folder.own
@@ -43,6 +50,25 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(hadoop).delete(path, True)
 
 
+def hash_limit(n: int, most: int) -> int:
+    """The 64-bit hash up to which rows are taken so that about ``most`` of ``n`` are, at any size."""
+    return min((1 << 63) - 1, -(1 << 63) + (most << 64) // max(1, n))
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which has each key once and, in ``count``, the number of ``rows`` that have it.
+
+    Keys of more than ``hot_rows`` rows, of which there are at most the number of rows over ``hot_rows``, are broadcast, so
+    no task gathers the rows of one key; the others are shuffled. No key is null.
+    """
+    hot = keyed.filter(F.col(count) > hot_rows).drop(count)
+    if not hot.limit(1).count():
+        return rows.join(keyed.drop(count), on)
+    usual = keyed.filter(F.col(count) <= hot_rows).drop(count)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(usual, on))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Small Arrow batches, so that a worker's memory does not depend on how long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -93,8 +93,44 @@ def test_counters_stop_at_the_radius():
     assert int(near[0]) == 0b1111
 
 
-def test_components_of_a_long_chain(spark, monkeypatch):
-    monkeypatch.setattr("tempolith.llm.components.LINKS_PER_TASK", 7)
+def test_components_of_a_long_chain(spark):
     chain = [(i, i + 1) for i in range(0, 200)] + [(300, 301), (301, 300), (400, 400)]
-    found = connected_components(spark.createDataFrame(chain, "u long, v long"))
+    found = connected_components(spark.createDataFrame(chain, "u long, v long"), 7)
     assert dict(map(tuple, found.collect())) == {i: 0 for i in range(1, 201)} | {301: 300}
+
+
+def test_a_star_of_many_leaves(spark):
+    leaves = spark.range(1, 100_001).selectExpr("id as u", "0L as v")
+    hub = leaves.union(leaves.selectExpr("200000 - u as u", "300000L as v")).repartition(40, "u")
+    found = connected_components(hub, 3000)
+    nodes = set(range(1, 100_001)) | set(range(100_000, 200_000)) | {300_000}
+    assert {r["node"] for r in found.collect()} == nodes and found.agg({"component": "max"}).first()[0] == 0
+
+
+def test_null_ids_take_part(spark):
+    docs = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (None, "quite another text of words"), (2, None)], "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["component_id"]) for r in simhash_components(docs).collect()), key=str)
+    assert found == sorted([(None, 5), (5, 5), (None, None), (2, 2)], key=str)
+
+
+def test_blocks_follow_the_number():
+    assert [simhash.blocks_for(n) for n in (0, 10**6, 10**9, 10**11, 10**13)] == [5, 5, 6, 7, 8]
+
+
+def test_more_blocks_find_the_same(spark):
+    rng = np.random.default_rng(2)
+    prints = {int(rng.integers(0, 2**63))}
+    for _ in range(60):
+        prints.add(next(iter(prints)) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 6), replace=False)))
+    frame = spark.createDataFrame([(p,) for p in prints], "fp long")
+    found = [dict(map(tuple, connected_components(near_links(frame, blocks=b)).collect())) for b in (5, 7)]
+    assert found[0] == found[1] and found[0]
+
+
+def test_shingles_of_pieces():
+    text = ("Ein Wort,  noch\tein\n" * 50 + "é" * 30 + " end").encode()
+    whole = [run for runs in simhash.shingles(text, 3) for run in runs]
+    assert whole == [run for runs in simhash.shingles(text, 3, piece=17) for run in runs]
+    words = text.lower().split()
+    assert whole == [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)]
+    assert list(simhash.shingles(b" A b ", 3, piece=1)) == [[b"a b"]] and list(simhash.shingles(b" \n", 3)) == []
