@@ -2,66 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .buckets import dealt, shared_buckets
 from .components import connected_components, local_components
-from .store import bounded_batches, settle
+from .store import bounded_batches, join_counted, settle
 
-#: Tables, and sign bits of each. At cosine 0.98 one bit differs with probability arccos(0.98) / pi = 0.064, so a pair at
-#: the threshold shares no table with probability (1 - 0.936 ** 15) ** 24 = 1.4e-5, and nearer pairs with less.
-TABLES, BITS = 24, 15
+#: Pairs at the threshold that share no table may be as few as this share of them; nearer pairs are missed still less.
+MISSED = 1.5e-5
 SEED = 20_240_601
 #: Distinct vectors of one bucket that a task verifies at once; a bucket with more is cut into such parts, compared two by two.
 PART = 4096
 
 
-def signatures(vectors: np.ndarray) -> np.ndarray:
+def tables_and_bits(n: int, threshold: float = 0.98) -> tuple[int, int]:
+    """Tables and sign bits of each for ``n`` distinct vectors of a label: some two bits more than vectors need, and the tables that recall then asks for.
+
+    One bit of a pair at the threshold differs with probability arccos(threshold) / pi. Random vectors so share
+    a bucket rarely at any ``n``, and the tables grow as about the tenth root of ``n``.
+    """
+    bits = min(60, max(12, n.bit_length() + 2))
+    same = (1 - np.arccos(min(1.0, threshold)) / np.pi) ** bits
+    return max(1, int(np.ceil(np.log(MISSED) / np.log1p(-same)))) if same < 1 else 1, bits
+
+
+@lru_cache(maxsize=8)
+def _planes(dim: int, count: int) -> np.ndarray:
+    return np.random.default_rng([SEED, dim]).normal(size=(count, dim)).T.copy()
+
+
+def signatures(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """One key for each vector (row) and table (column)."""
-    planes = np.random.default_rng([SEED, vectors.shape[1]]).normal(size=(vectors.shape[1], TABLES * BITS))
-    signs = (vectors @ planes > 0).reshape(len(vectors), TABLES, BITS)
-    return (signs << np.arange(BITS)).sum(axis=2).astype(np.int32)
-
-
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        dims = batch.column("dim").to_numpy()
-        keys = np.empty((len(dims), TABLES), np.int32)
-        packed = np.empty(len(dims), object)
-        values = batch.column("embedding")
-        flat, offset = values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(dims)])
-        for dim in np.unique(dims):
-            rows = np.flatnonzero(dims == dim)
-            vectors = flat[offset[rows][:, None] + np.arange(dim)]
-            keys[rows] = signatures(vectors.astype(float))
-            for r, v in zip(rows, vectors, strict=True):
-                packed[r] = v.astype("<f8").tobytes()
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(dims) + 1, dtype=np.int32) * TABLES), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("weight"), batch.column("label"), pa.array(packed, pa.binary()), lists], names=["rep", "weight", "label", "vec", "keys"])
-
-
-def verify(vectors: np.ndarray, keys: np.ndarray, weight: np.ndarray, part: np.ndarray, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    signs = (vectors @ _planes(vectors.shape[1], tables * bits) > 0).reshape(len(vectors), tables, bits)
+    return (signs << np.arange(bits)).sum(axis=2)
+
+
+def _signed(tables: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column("embedding")
+            dims = values.value_lengths().to_numpy()
+            keys = np.empty((len(dims), tables), np.int64)
+            flat, offset = values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(dims)])
+            for dim in np.unique(dims):
+                rows = np.flatnonzero(dims == dim)
+                keys[rows] = signatures(flat[offset[rows][:, None] + np.arange(dim)].astype(float), tables, bits)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(dims) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("space"), lists], names=["node", "space", "keys"])
+
+    return run
+
+
+def verify(vectors: np.ndarray, keys: Callable[[], np.ndarray], weight: np.ndarray, own: np.ndarray | None, table: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Links of one bucket with cosine >= threshold: the weight linked to each vector, and the ends (u, v) of links that connect them.
 
-    A pair that shares an earlier table's key was found there and is not counted again. If the bucket's rows come from
-    two parts, only pairs across them count.
+    A pair that shares an earlier table's key was found there and is not counted again. ``own`` tells two parts apart, of
+    which only pairs across count. ``keys`` gives the vectors' keys by table.
     """
     norm = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    across = len(np.unique(part)) > 1
     linked = np.zeros(len(vectors), np.int64)
     us, vs = [], []
     for at in range(0, len(vectors), 512):
         rows = slice(at, at + 512)
         near = vectors[rows] @ vectors.T >= threshold * (norm[rows, None] * norm[None, :])
         near[np.arange(near.shape[0]), np.arange(near.shape[0]) + at] = False
-        if across:
-            near &= part[rows, None] != part[None, :]
+        if own is not None:
+            near &= own[rows, None] != own[None, :]
         for earlier in range(table if near.any() else 0):
-            near &= keys[rows, earlier][:, None] != keys[None, :, earlier]
+            key = keys()[:, earlier]
+            near &= key[rows, None] != key[None, :]
         linked[rows] = near @ weight
         u, v = np.nonzero(near)
         u, v = local_components(u + at, v)
@@ -71,41 +87,29 @@ def verify(vectors: np.ndarray, keys: np.ndarray, weight: np.ndarray, part: np.n
     return linked, u, v
 
 
-def _verified(threshold: float):
-    def bucket(t: pa.Table) -> tuple[np.ndarray, ...]:
-        rep, weight, table = t["rep"].to_numpy(), t["weight"].to_numpy(), int(t["table"][0].as_py())
-        keys = np.array(t["keys"].to_pylist(), np.int32)
-        vectors = np.stack([np.frombuffer(v, "<f8") for v in t["vec"].to_pylist()])
-        linked, u, v = verify(vectors, keys, weight, t["own"].to_numpy(), table, threshold)
+def _verified(threshold: float, tables: int, bits: int):
+    """Links of a partition sorted by bucket and parts: (u, u, weight linked to u), and (u, v, 0) that connect."""
+
+    def bucket(at: tuple, held: list[tuple]) -> pa.RecordBatch:
+        node, weight, own = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2))
+        vectors = np.array([h[3] for h in held], float)
+        keys = lru_cache(lambda: signatures(vectors, tables, bits))
+        linked, u, v = verify(vectors, keys, weight, own if at[1] != at[2] else None, at[-1], threshold)
         some = np.flatnonzero(linked)
-        none = np.zeros(len(u), np.int64)
-        return np.concatenate([rep[some], rep[u]]), np.concatenate([rep[some], rep[v]]), np.concatenate([linked[some], none])
+        columns = [np.concatenate([node[some], node[u]]), np.concatenate([node[some], node[v]]), np.concatenate([linked[some], np.zeros(len(u), np.int64)])]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["u", "v", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def buckets(t: pa.Table, last: bool) -> tuple[list[tuple], pa.Table]:
-            codes = [t[c].combine_chunks().dictionary_encode().indices.to_numpy() if c == "label" else t[c].to_numpy() for c in ("label", "dim", "table", "key", "i", "j")]
-            new = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], axis=0)]))
-            ends = np.concatenate([new[1:], [t.num_rows]])
-            full = len(new) if last else len(new) - 1
-            out = [bucket(t.slice(a, b - a)) for a, b in zip(new[:full], ends[:full], strict=True) if b - a > 1]
-            return out, t.slice(new[-1]) if not last else t.slice(t.num_rows)
-
-        held: list[pa.RecordBatch] = []
-        rows = 0
+        at, held = None, []
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 4 * PART:
-                found, rest = buckets(pa.Table.from_batches(held).combine_chunks(), False)
-                held, rows = rest.to_batches(), rest.num_rows
-                yield from emit(found)
-        if rows:
-            yield from emit(buckets(pa.Table.from_batches(held).combine_chunks(), True)[0])
-
-    def emit(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if found:
-            u, v, n = (np.concatenate(x) for x in zip(*found, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int64())], names=["u", "v", "n"])
+            for *spot, node, weight, own, vector in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "label", "dim", "table", "node", "weight", "own", "embedding")), strict=True):
+                if spot != at:
+                    if len(held) > 1:
+                        yield bucket(at, held)
+                    at, held = spot, []
+                held.append((node, weight, own, vector))
+        if len(held) > 1:
+            yield bucket(at, held)
 
     return run
 
@@ -122,36 +126,32 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     Equal vectors of a label become one weighted vector first, so copies cost nothing. A vector that is null, zero or
     holds null or non-finite components, or whose label or id is null, links with nothing: 0 links, itself as component,
     kept. Vectors of different lengths do not link. Repeated ids are separate vectors, an empty table gives an empty
-    one, other columns are ignored. Links below the threshold never appear; see TABLES for those that could be missed.
+    one, other columns are ignored. Links below the threshold never appear; see MISSED for those that could be missed.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
+    exact = "array<float>" if vectors.schema[embedding].dataType == T.ArrayType(T.FloatType()) else "array<double>"
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast(exact).alias("embedding"))
     rows = rows.withColumn("valid", _valid("embedding", "label", "vec_id"))
     # 128 bits tell the distinct vectors apart
     rows = rows.withColumn("h1", F.xxhash64("label", "embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding", "label"))
-    distinct = rows.filter("valid").groupBy("h1", "h2", "label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
-    distinct = settle(distinct, "vectors")
-    signed = distinct.select("rep", "weight", "label", F.size("embedding").alias("dim"), "embedding").mapInArrow(_signed, "rep long, weight long, label string, vec binary, keys array<int>")
-    signed = settle(signed, "signatures")
-    at = ["label", "dim", "table", "key"]
-    keyed = signed.select("*", F.octet_length("vec").alias("dim"), F.posexplode("keys").alias("table", "key"))
-    hot = settle(keyed.groupBy(*at).count().filter(F.col("count") > part).select(*at, F.ceil(F.col("count") / part).cast("int").alias("parts")), "hot")
-    n_hot = hot.count()
-    if n_hot:
-        # one row takes some 60 bytes, and a broadcast holds at most 50,000 of them
-        keyed = keyed.join(F.broadcast(hot) if n_hot <= 50_000 else hot, at, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    else:
-        keyed = keyed.withColumn("parts", F.lit(1))
-    keyed = keyed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    keyed = keyed.select(*at, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "weight", "vec", "keys")
-    runs = keyed.repartition(*at, "i", "j").sortWithinPartitions(*at, "i", "j")
-    found = settle(runs.mapInArrow(_verified(threshold), "u long, v long, n long"), "found")
-    counts = found.filter("n > 0").groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
-    roots = connected_components(found.filter("n = 0").select("u", "v"))
-    groups = distinct.select("h1", "h2", "rep", "weight").join(counts, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left")
-    groups = groups.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    distinct = rows.filter("valid").groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
+    distinct = settle(distinct.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    tables, bits = tables_and_bits(distinct.groupBy("label").count().agg(F.max("count")).first()[0] or 1, threshold)
+    signed = settle(distinct.select("node", F.xxhash64("label", F.size("embedding")).alias("space"), "embedding").mapInArrow(_signed(tables, bits), "node long, space long, keys array<long>"), "signatures")
+    full = distinct.select("node", "weight", "label", F.size("embedding").alias("dim"), "embedding")
+    keyed = signed.select("node", F.lit(1).alias("weight"), "space", F.posexplode("keys").alias("table", "bits"))
+    keyed = keyed.select("node", "table", F.xxhash64("space", "table", "bits").alias("key"), "weight")
+    # labels and lengths are told apart once more where vectors meet
+    members = shared_buckets(keyed, part, 1 << 62).join(full, "node")
+    found = settle(dealt(members, ["key", "label", "dim", "table"]).mapInArrow(_verified(threshold, tables, bits), "u long, v long, n long"), "found")
+    counts = found.filter("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+    roots = connected_components(found.filter("n = 0").select("u", "v")).withColumnRenamed("component", "root")
+    groups = distinct.select("node", "h1", "h2", "rep", "weight").join(counts, "node", "left").join(roots, "node", "left")
+    groups = settle(groups.select("h1", "h2", "rep", "weight", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")), "groups")
+    least = groups.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("members"))
+    groups = join_counted(groups, least, ["root"], "members").select("h1", "h2", "weight", "n_links", "component_id")
     plain = rows.select("vec_id", "valid", "h1", "h2")
-    linked = plain.filter("valid").join(groups, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    linked = join_counted(plain.filter("valid"), groups, ["h1", "h2"], "weight").select("vec_id", "n_links", "component_id")
     alone = plain.filter("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

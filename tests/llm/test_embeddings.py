@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
-from tempolith.llm.embeddings import near_vectors
+from tempolith.llm.embeddings import MISSED, near_vectors, tables_and_bits
 
 from .brute import components
 
@@ -9,7 +9,7 @@ SCHEMA = "vec_id long, embedding array<float>, label int"
 
 
 def plain(rows):
-    """Every pair, in double precision."""
+    """Every pair, in double precision; ids are distinct."""
     good = [(i, v, x) for i, v, x in rows if i is not None and x is not None and v and None not in v and np.isfinite(v).all() and np.any(v)]
     n = {i: 0 for i, _, _ in rows}
     links = []
@@ -62,6 +62,27 @@ def test_repeated_and_null_ids(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_different_vectors_of_one_id(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [1.0, 0.01], 1), (3, [1.0, 0.02], 1), (4, [0.01, 1.0], 1)]
+    found = sorted(map(tuple, near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()))
+    assert found == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 1, 1, False)]
+
+
+def test_an_empty_part(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=8)
+    rows = [(i, [float(np.float32(x)) for x in base + rng.normal(size=8) * 0.01], 1) for i in range(6)]
+    for part in (1, 2, 3):
+        assert sorted(map(tuple, near_vectors(spark.createDataFrame(rows, SCHEMA), part=part).collect())) == plain(rows)
+
+
+def test_bits_and_tables_grow_with_the_vectors():
+    seen = [tables_and_bits(n) for n in (1, 5000, 10**6, 10**9, 10**12)]
+    assert seen == sorted(seen) and seen[-1][0] < 200
+    for tables, bits in seen:
+        assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= MISSED
+
+
 def test_recall_on_the_table(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"], r["label"]) for r in table.collect()]
