@@ -64,6 +64,16 @@ def test_whole_documents_are_packed(spark):
         verify(pack_documents(frame, chunk=chunk).collect(), lengths, (512, 1024, 2048, 4096, 8192))
 
 
+def test_bins_do_not_depend_on_the_split(spark):
+    rng = random.Random(3)
+    rows = [(i % 900, min(30_000, int(rng.lognormvariate(6, 1.2)))) for i in range(1000)] + [(7, 100)] * 300
+    frame = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    found = [sorted(map(tuple, pack_documents(frame.repartition(n), chunk=400).collect())) for n in (1, 13)]
+    assert found[0] == found[1] and len(found[0]) > len(rows)
+    bins = {r[4]: r[5] for r in found[0]}
+    assert sum(bins.values()) < 1.03 * sum(n for _, n in rows)
+
+
 def test_odd_rows(spark):
     frame = spark.createDataFrame([(1, None), (None, 5), (2, -3), (3, 9), (3, 9)], "doc_id long, n_tokens long")
     verify(pack_documents(frame).collect(), {1: 0, None: 5, 2: 0, 3: 18}, (512, 1024, 2048, 4096, 8192))
