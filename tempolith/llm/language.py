@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, keep_rows, text_bytes
+from .store import bounded_batches, hash_limit, keep_rows, text_bytes
 
 #: N-grams are UTF-8 byte trigrams hashed into so many buckets.
 BUCKETS = 1 << 16
-#: Documents of each language that the model is learned from, at most (a hash of the id chooses them).
+#: Documents of each language that the model is learned from, about, at most (a hash of the id chooses them).
 SAMPLE_PER_LANG = 4000
+#: Languages that are learned, at most: those of most documents. The model then takes up to 64 MB.
+MAX_LANGS = 256
 #: Added to every bucket's count.
 SMOOTHING = 0.5
 #: Neighbouring trigrams share bytes, so a likelihood counts a third; a language more must gain so many times log(n) / 2.
@@ -55,16 +57,17 @@ def _mixture(likelihood: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, flo
     return share, float(count @ np.log(share @ likelihood))
 
 
-def infer(text: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int]:
-    """Rows of ``table`` (languages x buckets) chosen for the text, their proportions, log-likelihood and number of n-grams.
+def infer(text: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, int, np.ndarray]:
+    """Rows of ``table`` (languages x buckets) chosen for the text, their proportions, log-likelihood, number of n-grams, and the proportions of all rows.
 
     EM over all languages ranks them; the set grows along that ranking as long as the penalised likelihood does.
     """
     counts = ngram_counts(text)
     some = np.flatnonzero(counts)
-    count, likelihood = counts[some].astype(float), table[:, some]
+    count, likelihood = counts[some].astype(float), table[:, some].astype(float)
     total = int(counts.sum())
-    order = np.argsort(-_mixture(likelihood, count)[0], kind="stable")
+    among_all = _mixture(likelihood, count)[0]
+    order = np.argsort(-among_all, kind="stable")
     best = (order[:1], *_mixture(likelihood[order[:1]], count))
     for size in range(2, len(order) + 1):
         chosen = order[:size]
@@ -72,24 +75,26 @@ def infer(text: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, float
         if (fit - best[2]) / 3 <= PENALTY * np.log(total) / 2:
             break
         best = (chosen, share, fit)
-    return *best, total
+    return *best, total, among_all
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
     """The languages of the rows and their n-gram probabilities, from at most about ``sample_per_lang`` documents of each.
 
-    Rows with a null text, language or id teach nothing. The model has one row of ``BUCKETS`` numbers for each language.
+    Rows with a null text, language or id teach nothing. Where ``lang`` has more than ``max_langs`` values, those of most
+    documents are learned. The model has one row of ``BUCKETS`` numbers for each language.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
     if not sizes:
-        return [], np.empty((0, BUCKETS))
+        return [], np.empty((0, BUCKETS), np.float32)
     langs = sorted(sizes)
     place = {lang: i for i, lang in enumerate(langs)}
-    limit = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1_000_000, sample_per_lang * 1_000_000 // n))))
-    chosen = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < limit[F.col("lang")]).select("text", "lang")
+    # at most max_langs rows
+    limits = spark.createDataFrame([(lang, hash_limit(n, sample_per_lang)) for lang, n in sizes.items()], "lang string, most long")
+    chosen = docs.join(F.broadcast(limits), "lang").filter(F.xxhash64("id") <= F.col("most")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -103,24 +108,27 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = chosen.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((len(langs), BUCKETS), SMOOTHING)
     table[rows["lang"].to_numpy(), rows["bucket"].to_numpy()] += rows["n"].to_numpy()
-    return langs, table / table.sum(axis=1, keepdims=True)
+    return langs, (table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def verdict(text: bytes | None, langs: list[str], table: np.ndarray) -> tuple[str, float, str, bool]:
     """(lang_pred, score, languages, explained) of one text, as in ``predict``."""
     if not langs or text is None or not has_letter(text):
         return "und", 0.0, "", False
-    chosen, share, fit, total = infer(text, table)
+    chosen, share, fit, total, among_all = infer(text, table)
     rank = np.argsort(-share, kind="stable")
     names = [langs[chosen[i]] for i in rank]
-    return names[0], min(1.0, float(share[rank[0]])), ",".join(names), fit > -total * np.log(BUCKETS)
+    told = total / 3  # trigrams that tell something of their own
+    score = (told * among_all[chosen[rank[0]]] + 1) / (told + len(langs))
+    return names[0], min(1.0, float(score)), ",".join(names), fit > -total * np.log(BUCKETS)
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, languages, explained) of every row, from the whole text alone.
 
-    ``score`` is the proportion of ``lang_pred``, the largest in the chosen set ``languages`` (comma-joined, largest
-    first). A text that is null or has no letter, or any text where no language was learned, gets ``und``, score 0 and
+    ``lang_pred`` is the language of the largest proportion in the chosen set ``languages`` (comma-joined, largest
+    first). ``score`` is its expected proportion among all languages, which are equally likely before: it is near
+    1 / languages for a few letters, and below 1 the more, the more of the text other languages would explain. A text that is null or has no letter, or any text where no language was learned, gets ``und``, score 0 and
     no languages. ``explained`` is false for those, and where equally likely n-grams fit better than the languages do.
     """
     spark = docs.sparkSession

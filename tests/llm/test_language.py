@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from tempolith.llm import language
+from tempolith.llm.store import hash_limit
 
 
 def test_held_out_accuracy(spark):
@@ -21,7 +25,7 @@ def test_mixture_finds_both_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     langs, table = language.learn(docs)
     parts = [next(r["text"] for r in docs.filter(f"lang = '{lang}' and n_chars between 3000 and 5000").take(1)) for lang in ("en", "de")]
-    chosen, share, _, _ = language.infer("\n".join(parts).encode(), table)
+    chosen, share, *_ = language.infer("\n".join(parts).encode(), table)
     assert {langs[i] for i in chosen} >= {"en", "de"} and all(share[[list(chosen).index(langs.index(x)) for x in ("en", "de")]] > 0.25)
 
 
@@ -39,6 +43,66 @@ def test_empty_table(spark):
     assert (untaught["lang_pred"], untaught["score"]) == ("und", 0.0)
 
 
+def test_sampling_rates_never_reach_zero():
+    for n in (10, 4000, 10**6, 4 * 10**9 + 1, 10**10, 10**15):
+        expected = n * (hash_limit(n, 4000) + 2**63 + 1) / 2**64
+        assert 0.99 * min(n, 4000) <= expected <= 1.01 * min(n, 4000)
+
+
+def test_languages_of_most_documents_are_learned(spark):
+    rows = [(i, f"words of {i % 5}", f"x{i % 5}") for i in range(50)] + [(100 + i, "rare words", f"rare{i}") for i in range(9)]
+    langs, table = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_langs=5)
+    assert langs == [f"x{i}" for i in range(5)] and table.shape == (5, language.BUCKETS)
+
+
+def plain_infer(text, table):
+    """EM and the choice of the set in plain Python, n-gram by n-gram."""
+    squeezed = " " + " ".join("".join(c if c.isascii() and c.isalpha() or not c.isascii() else " " for c in re.sub("[A-Z]", lambda m: m[0].lower(), text)).split()) + " "
+    raw = squeezed.encode()
+    grams = Counter(((a * 0x9E3779B1 ^ b * 0x85EBCA77 ^ c * 0xC2B2AE3D) & 0xFFFFFFFF) >> 16 for a, b, c in zip(raw, raw[1:], raw[2:], strict=False))
+    total = sum(grams.values())
+
+    def mixture(rows):
+        share = {r: 1 / len(rows) for r in rows}
+        for _ in range(language.EM_STEPS if len(rows) > 1 else 0):
+            new = dict.fromkeys(rows, 0.0)
+            for g, n in grams.items():
+                at = sum(share[r] * float(table[r, g]) for r in rows)
+                for r in rows:
+                    new[r] += n * share[r] * float(table[r, g]) / at / total
+            done = max(abs(new[r] - share[r]) for r in rows) < 1e-3
+            share = new
+            if done:
+                break
+        return share, sum(n * math.log(sum(share[r] * float(table[r, g]) for r in rows)) for g, n in grams.items())
+
+    among_all, _ = mixture(list(range(len(table))))
+    order = sorted(among_all, key=lambda r: (-among_all[r], r))
+    best = mixture(order[:1])
+    for size in range(2, len(order) + 1):
+        fresh = mixture(order[:size])
+        if (fresh[1] - best[1]) / 3 <= language.PENALTY * math.log(total) / 2:
+            break
+        best = fresh
+    first = max(best[0], key=lambda r: (best[0][r], -order.index(r)))
+    return first, set(best[0]), (total / 3 * among_all[first] + 1) / (total / 3 + len(table))
+
+
+def test_query_equals_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars < 1500").limit(150)
+    mixed = [(20_000 + i, f"{a['text']} {b['text']}", None) for i, (a, b) in enumerate(zip(docs.filter("lang = 'en'").take(10), docs.filter("lang = 'fr'").take(10), strict=True))]
+    docs = docs.select("doc_id", "text", "lang").union(spark.createDataFrame(mixed, "doc_id long, text string, lang string")).cache()
+    langs, table = language.learn(docs.filter(~language.held_out()))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = language.identify(docs).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        first, chosen, score = plain_infer(texts[r["doc_id"]], table)
+        assert (r["lang_pred"], {langs.index(x) for x in r["languages"].split(",")}) == (langs[first], chosen)
+        assert abs(r["score"] - score) < 1e-6
+    assert len({round(r["score"], 3) for r in found}) > 20
+
+
 def test_em_recovers_proportions():
     rng = np.random.default_rng(0)
     table = rng.dirichlet(np.full(50, 0.3), size=3) + 1e-6
