@@ -6,7 +6,7 @@ import public_tokenizers
 from tempolith.llm import classifier, language, unigram
 
 from .test_packing import verify
-from .test_simhash import plain
+from .test_near_copies import plain
 
 SF = "/root/testdata/sf0.01"
 ODD = [(10_000, None, "en", "src1", 0), (10_001, "", None, None, 0), (10_002, "12 34 ###", "en", "src1", None), (10_003, "日本語のテキスト" * 200, "ja", None, 1600), (None, "the and of in to that is", "en", "src1", 24)]
@@ -36,7 +36,7 @@ def test_stages_equal_plain_versions(spark):
     # near-duplicates
     docs = spark.createDataFrame(good + good[:3], table.schema)
     kept = corpus_pipeline.simhash_near_dedup(spark, docs, SF)
-    first = {i for i, _, root in plain([(r["doc_id"], r["text"]) for r in good if r["doc_id"] is not None]) if i == root}
+    first = {i for i, root in plain([(r["doc_id"], r["text"]) for r in good if r["doc_id"] is not None]).items() if i == root}
     assert kept.columns == table.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(first)
     # packing
