@@ -1,48 +1,5 @@
-"""The corpus pipeline: language, quality, near-duplicates, then packing into training sequences."""
+"""The corpus pipeline, as its driver expects it; it lives in ``tempolith.llm.pipeline``."""
 
-from __future__ import annotations
+from tempolith.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-from tempolith.llm import classifier, language, packing, simhash, unigram
-from tempolith.llm.store import settle
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in languages that the corpus teaches; those without a letter, or that no learned language explains, go."""
-    langs, table = language.learn(docs.filter(~language.held_out()))
-    return language.keep_explained(docs, langs, table)
-
-
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier takes for good."""
-    return classifier.keep_good(docs, classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
-
-
-def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the smallest id."""
-    return simhash.keep_first(docs)
-
-
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where the tokens of each document go."""
-    return packing.pack_documents(unigram.token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")))
-
-
-STAGES = [
-    ("language_id", language_id),
-    ("quality_classifier", quality_classifier),
-    ("simhash_near_dedup", simhash_near_dedup),
-    ("best_fit_packing", best_fit_packing),
-]
-
-#: SQL expresses none of the stages; tests/llm/test_pipeline.py compares them with plain versions.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each one's rows written as Parquet and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
