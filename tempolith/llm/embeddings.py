@@ -19,16 +19,16 @@ from .store import bounded_batches, join_counted, settle
 MISSED = 1.5e-5
 SEED = 20_240_601
 #: Distinct vectors of one bucket that a task verifies at once; a bucket with more is cut into such parts, compared two by two.
-PART = 4096
+PART = 1024
 
 
 def tables_and_bits(n: int, threshold: float = 0.98) -> tuple[int, int]:
-    """Tables and sign bits of each for ``n`` distinct vectors of a label: some two bits more than vectors need, and the tables that recall then asks for.
+    """Tables and sign bits of each for ``n`` distinct vectors of a label: some four bits more than vectors need, and the tables that recall then asks for.
 
     One bit of a pair at the threshold differs with probability arccos(threshold) / pi. Random vectors so share
     a bucket rarely at any ``n``, and the tables grow as about the tenth root of ``n``.
     """
-    bits = min(60, max(12, n.bit_length() + 2))
+    bits = min(60, max(12, n.bit_length() + 4))
     same = (1 - np.arccos(min(1.0, threshold)) / np.pi) ** bits
     return max(1, int(np.ceil(np.log(MISSED) / np.log1p(-same)))) if same < 1 else 1, bits
 
@@ -102,12 +102,16 @@ def _verified(threshold: float, tables: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            for *spot, node, weight, own, vector in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "label", "dim", "table", "node", "weight", "own", "embedding")), strict=True):
+            values = batch.column("embedding")
+            flat, ends = values.flatten().to_numpy(), np.cumsum(values.value_lengths().to_numpy()).tolist()
+            begin = 0
+            for end, *spot, node, weight, own in zip(ends, *(batch.column(c).to_pylist() for c in ("key", "i", "j", "label", "dim", "table", "node", "weight", "own")), strict=True):
                 if spot != at:
                     if len(held) > 1:
                         yield bucket(at, held)
                     at, held = spot, []
-                held.append((node, weight, own, vector))
+                held.append((node, weight, own, flat[begin:end]))
+                begin = end
         if len(held) > 1:
             yield bucket(at, held)
 
