@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, keep_rows, text_bytes
+from .store import bounded_batches, discard, hash_limit, keep_rows, settle, text_bytes
 
-#: Bounds of what training looks at: so many labelled documents, and so many others, chosen by a hash of their ids.
-LABELLED, UNLABELLED = 3000, 3000
-#: Rounds in which each view hands the other its most confident judgements, at most this share of the unlabelled.
-ROUNDS, SHARE, CONFIDENT = 4, 0.1, 0.97
+#: Bound of the labelled documents that are fitted on, chosen by a hash of their ids.
+LABELLED = 3000
+#: Rounds in which each view hands the other its judgements of all other documents that it is surest of: so many of each
+#: class at most, and only those that, calibrated, are as sure as this.
+ROUNDS, PSEUDO, CONFIDENT = 3, 200, 0.97
 #: Part of the labelled documents that only calibrates.
 CALIBRATION = 0.25
 #: Documents that are likelier than this to be good stay.
@@ -25,33 +26,27 @@ TEXT_BUCKETS, CATEGORY_BUCKETS, PIECE = 1024, 32, 1 << 20
 
 _UPPER, _DIGIT, _SPACE = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (bytes(range(65, 91)), bytes(range(48, 58)), b" \t\n\x0b\x0c\r"))
 _PUNCTUATION = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
-META_NUMBERS = 10
-META_WIDTH = META_NUMBERS + 2 * CATEGORY_BUCKETS + 1
+LAYOUT = 10
+TEXT_WIDTH = TEXT_BUCKETS + LAYOUT + 1
+META_WIDTH = 3 * CATEGORY_BUCKETS + 2
 #: A text of so many bytes counts half as much as a very long one: its shares are uncertain.
 HALF_TRUST = 100
 
 
 def text_view(text: bytes) -> np.ndarray:
-    """Square roots of the shares of hashed byte pairs; last, the trust in them."""
-    count = np.zeros(TEXT_BUCKETS, np.int64)
+    """What the text shows: square roots of the shares of hashed byte pairs, its length and layout; last, the trust in them."""
+    pairs, count = np.zeros(TEXT_BUCKETS, np.int64), np.zeros(256, np.int64)
     for at in range(0, len(text), PIECE):
-        codes = np.frombuffer(text[at : at + PIECE + 1], np.uint8).astype(np.uint32)
+        raw = np.frombuffer(text[at : at + PIECE + 1], np.uint8)
+        codes = raw.astype(np.uint32)
         mixed = (codes[:-1] * np.uint32(256) + codes[1:]) * np.uint32(0x9E3779B1)
-        count += np.bincount(mixed >> np.uint32(22), minlength=TEXT_BUCKETS)
-    return np.append(np.sqrt(count / max(1, count.sum())), len(text) / (len(text) + HALF_TRUST)).astype(np.float32)
-
-
-def meta_view(text: bytes, lang: str | None, source: str | None) -> np.ndarray:
-    """Where the page is from, its length and its layout; last, the trust in them."""
-    count = np.zeros(256, np.int64)
-    for at in range(0, len(text), PIECE):
-        count += np.bincount(np.frombuffer(text[at : at + PIECE], np.uint8), minlength=256)
+        pairs += np.bincount(mixed >> np.uint32(22), minlength=TEXT_BUCKETS)
+        count += np.bincount(raw[:PIECE], minlength=256)
     n = max(1, len(text))
     lines = [x for x in text.split(b"\n") if x.strip()]
     parts = text.split()
     words, distinct = len(parts), len(set(parts))
-    out = np.zeros(META_WIDTH, np.float32)
-    out[:META_NUMBERS] = (
+    layout = (
         np.log1p(len(text)),
         np.log1p(words),
         np.log1p(len(lines)),
@@ -63,10 +58,17 @@ def meta_view(text: bytes, lang: str | None, source: str | None) -> np.ndarray:
         len(lines) and 1 - len(set(lines)) / len(lines),
         np.log1p(words) - np.log1p(distinct),
     )
-    out[-1] = len(text) / (len(text) + HALF_TRUST)
-    for k, value in enumerate((lang, source)):
+    return np.concatenate([np.sqrt(pairs / max(1, pairs.sum())), layout, [len(text) / (len(text) + HALF_TRUST)]]).astype(np.float32)
+
+
+def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """What is recorded about the page, without its text: language, source, both together, recorded length; last, a constant trust."""
+    out = np.zeros(META_WIDTH, np.float32)
+    for k, value in enumerate((lang, source, lang and source and f"{lang} {source}")):
         if value is not None:
-            out[META_NUMBERS + k * CATEGORY_BUCKETS + zlib.crc32(value.encode()) % CATEGORY_BUCKETS] = 1
+            out[k * CATEGORY_BUCKETS + zlib.crc32(value.encode()) % CATEGORY_BUCKETS] = 1
+    out[-2] = np.log1p(max(0, n_chars or 0))
+    out[-1] = 1
     return out
 
 
@@ -121,93 +123,154 @@ class Logistic:
 
 @dataclass
 class CoTrained:
-    """Two calibrated views; as they tell partly the same, the mean of their log-odds counts."""
+    """Two calibrated views. Given the class they are taken for independent, so their log-odds add up, the class's own counted once."""
 
     text: Logistic
     meta: Logistic
+    prior: float = 0.0
+
+    def views(self) -> tuple[Logistic, Logistic]:
+        return self.text, self.meta
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip((self.text.logit(text) + self.meta.logit(meta)) / 2, -30, 30)))
+        return _chance(self.text.logit(text) + self.meta.logit(meta) - self.prior)
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> CoTrained:
-    """Fit both views on labels, exchange confident pseudo-labels over the rounds, and calibrate on labels set apart."""
-    n = len(y)
-    apart = np.arange(n) % round(1 / CALIBRATION) == 0
+def _chance(logit: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def fit(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, given: tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> CoTrained:
+    """Fit both views on labels and on what each was ``given``, (rows, pseudo-labels), and calibrate on labels set apart."""
+    apart = np.arange(len(y)) % round(1 / CALIBRATION) == 0
     if min(y[apart].sum(), (1 - y[apart]).sum()) < 2:  # too few to set any apart
-        apart = np.zeros(n, bool)
-    train = ~apart
-    given: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view learns from
-    quota = max(1, int(SHARE * len(pool[0])))
-    models = [Logistic.fit(v[train], y[train]) for v in views]
-    for _ in range(rounds if len(pool[0]) else 0):
-        for k in (0, 1):
-            chance = 1 / (1 + np.exp(-np.clip(models[k].raw(pool[k]), -30, 30)))
-            sure = np.argsort(-np.abs(chance - 0.5), kind="stable")
-            fresh = [i for i in sure if max(chance[i], 1 - chance[i]) >= CONFIDENT and i not in given[1 - k]][:quota]
-            given[1 - k] |= {int(i): int(chance[i] > 0.5) for i in fresh}
-        models = []
-        for k in (0, 1):
-            rows = sorted(given[k])
-            x = np.concatenate([views[k][train], pool[k][rows]])
-            models.append(Logistic.fit(x, np.concatenate([y[train], [given[k][i] for i in rows]])))
-    held = apart if apart.any() else train
-    for model, v in zip(models, views, strict=True):
-        model.calibrate(v[held], y[held])
-    return CoTrained(*models)
+        apart = np.zeros(len(y), bool)
+    held = apart if apart.any() else ~apart
+    models = []
+    for k, v in enumerate(views):
+        x, goal = (v[~apart], y[~apart]) if given is None else (np.concatenate([v[~apart], given[k][0]]), np.concatenate([y[~apart], given[k][1]]))
+        models.append(Logistic.fit(x, goal))
+        models[k].calibrate(v[held], y[held])
+    return CoTrained(*models, float(np.log((y[held].sum() + 1) / ((1 - y[held]).sum() + 1))))
+
+
+class Exchange:
+    """The pseudo-labels that each view was given by the other so far."""
+
+    def __init__(self, widths: tuple[int, int]) -> None:
+        self.ids: tuple[set[int], set[int]] = (set(), set())
+        self.rows: tuple[list, list] = ([], [])
+        self.labels: tuple[list, list] = ([], [])
+        self.widths = widths
+
+    def give(self, view: int, doc: int, row: np.ndarray, label: int) -> None:
+        if doc not in self.ids[view]:
+            self.ids[view].add(doc)
+            self.rows[view].append(row)
+            self.labels[view].append(label)
+
+    def given(self) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+        return tuple((np.array(r, np.float32).reshape(-1, w), np.array(y, float)) for r, y, w in zip(self.rows, self.labels, self.widths, strict=True))
+
+
+def _batch_views(texts: Iterator[bytes | None], *meta: list) -> tuple[np.ndarray, np.ndarray]:
+    text = np.array([text_view(t or b"") for t in texts], np.float32).reshape(-1, TEXT_WIDTH)
+    return text, np.array([meta_view(*m) for m in zip(*meta, strict=True)], np.float32).reshape(-1, META_WIDTH)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t or b"" for t in text_bytes(batch.column("text"))]
-        rows = list(zip(texts, batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
-        views = [[text_view(t).tobytes() for t in texts], [meta_view(*r).tobytes() for r in rows]]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("quality"), *(pa.array(v, pa.binary()) for v in views)], names=["id", "quality", "text", "meta"])
+        views = _batch_views(text_bytes(batch.column("text")), *(batch.column(c).to_pylist() for c in META))
+        packed = [pa.array([row.tobytes() for row in v], pa.binary()) for v in views]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("goal"), *packed], names=["id", "goal", "text", "meta"])
+
+
+def _gather(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(ids, goals, views) of a bounded number of rows, in the order of ids, each once."""
+    got = rows.mapInArrow(_features, "id long, goal int, text binary, meta binary").toArrow().sort_by([("id", "ascending"), ("text", "ascending"), ("meta", "ascending")])
+    ids, first = np.unique(got["id"].to_numpy(), return_index=True)
+    views = (np.frombuffer(b"".join(got[c].to_pylist()), np.float32).reshape(-1, w)[first] for c, w in (("text", TEXT_WIDTH), ("meta", META_WIDTH)))
+    return ids, got["goal"].to_pandas().to_numpy(float)[first], tuple(views)
+
+
+META = ("lang", "source", "n_chars")
+
+
+def _columns(docs: DataFrame) -> DataFrame:
+    """(id, text, lang, source, n_chars); a recorded field that the table lacks is null."""
+    have = set(docs.columns)
+    meta = (F.col(c).cast("long" if c == "n_chars" else "string") if c in have else F.lit(None).cast("long" if c == "n_chars" else "string") for c in META)
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text"), *(m.alias(c) for m, c in zip(meta, META, strict=True)))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> CoTrained | None:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, pseudo: int = PSEUDO, confident: float = CONFIDENT) -> CoTrained | None:
     """The co-trained classifier, or None if the labels of these documents don't have both classes.
 
-    It looks at about ``labelled`` and ``unlabelled`` documents at most; a document with several labels has the best.
+    It is fitted on about ``labelled`` labelled documents at most; a document with several labels has the best. In each
+    round both views judge every document without a label, and each gives the other the ``pseudo`` of each class that it
+    is surest of, if it is surer of them than ``confident``; ties are settled by a hash of the id.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    labels = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("quality"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("id")).dropna()
-    known = ids.join(labels, "id").groupBy("quality").count().collect()
-    if len(known) < 2:
+    labels = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").cast("int").alias("goal"))
+    rows = _columns(docs).dropna(subset=["id"])
+    known = settle(rows.select("id").distinct().join(labels, "id"), "known")
+    sizes = {r["goal"]: r["count"] for r in known.groupBy("goal").count().collect()}
+    if len(sizes) < 2:
         return None
-    n_known, n = sum(r["count"] for r in known), ids.count()
-    part = lambda column, most, n: F.pmod(F.xxhash64(column), F.lit(1_000_000)) < min(1_000_000, most * 1_000_000 // max(1, n))
-    chosen = labels.filter(part("id", labelled, n_known))
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang", "source").dropna(subset=["id"])
-    some = rows.join(chosen, "id").select("id", "text", "lang", "source", "quality")
-    others = rows.filter(part(F.concat(F.lit("u"), F.col("id")), unlabelled, n)).join(labels, "id", "left_anti").select("id", "text", "lang", "source", F.lit(None).cast("int").alias("quality"))
-    got = some.unionByName(others).mapInArrow(_features, "id long, quality int, text binary, meta binary").toArrow().sort_by([("id", "ascending")])
-    quality = got["quality"].to_pandas().to_numpy(float)
-    text = np.frombuffer(b"".join(got["text"].to_pylist()), np.float32).reshape(-1, TEXT_BUCKETS + 1)
-    meta = np.frombuffer(b"".join(got["meta"].to_pylist()), np.float32).reshape(-1, META_WIDTH)
-    has = ~np.isnan(quality)
-    if len(np.unique(quality[has])) < 2:
+    # each class has its share of the bound, a thousandth of it at least
+    whole = sum(sizes.values())
+    chosen = known.filter(F.xxhash64("id") <= F.when(F.col("goal") == 1, hash_limit(sizes[1], max(labelled // 1000 + 2, labelled * sizes[1] // whole))).otherwise(hash_limit(sizes[0], max(labelled // 1000 + 2, labelled * sizes[0] // whole))))
+    _, y, views = _gather(rows.join(F.broadcast(chosen), "id"))
+    if len(np.unique(y)) < 2:
         return None
-    return co_train((text[has], meta[has]), quality[has], (text[~has], meta[~has]))
+    model, exchange = fit(views, y), Exchange((TEXT_WIDTH, META_WIDTH))
+    for _ in range(rounds):
+        judged = settle(_judge(rows, model).join(known.select("id"), "id", "left_anti"), "judged")
+        fresh: list[tuple[int, int, int]] = []
+        for k, (chance, least) in enumerate((("text", confident), ("meta", confident))):
+            for label in (0, 1):
+                sure = F.col(chance) if label else 1 - F.col(chance)
+                top = judged.filter(sure >= least).orderBy(sure.desc(), F.xxhash64("id"), "id").select("id").limit(pseudo + len(exchange.ids[1 - k]))
+                new = [i for i in dict.fromkeys(r["id"] for r in top.collect()) if i not in exchange.ids[1 - k]][:pseudo]
+                fresh += [(i, 1 - k, label) for i in new]
+        discard(judged)
+        if not fresh:
+            break
+        # at most 4 * pseudo ids
+        wanted = spark.createDataFrame(sorted({(i, 0) for i, _, _ in fresh}), "id long, goal int")
+        ids, _, found = _gather(rows.join(F.broadcast(wanted), "id"))
+        place = {int(i): at for at, i in enumerate(ids)}
+        for i, view, label in fresh:
+            exchange.give(view, i, found[view][place[i]], label)
+        model = fit(views, y, exchange.given())
+    return model
+
+
+def _judge(rows: DataFrame, model: CoTrained) -> DataFrame:
+    """(id, text, meta): the chance to be good by each view, of every row."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            views = _batch_views(text_bytes(batch.column(1)), *(batch.column(c).to_pylist() for c in (2, 3, 4)))
+            chances = [pa.array(_chance(m.logit(v)).astype(float)) for m, v in zip(shared.value.views(), views, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *chances], names=["id", "text", "meta"])
+
+    return rows.mapInArrow(run, "id long, text double, meta double")
 
-def _chances(model: CoTrained | None, batch: pa.RecordBatch, columns: tuple[int, int, int]) -> np.ndarray:
-    """The chance of each row to be good; columns: places of text, language and source."""
-    texts, langs, sources = text_bytes(batch.column(columns[0])), batch.column(columns[1]).to_pylist(), batch.column(columns[2]).to_pylist()
-    out = np.full(batch.num_rows, 0.5)
-    for i, (t, lang, source) in enumerate(zip(texts, langs, sources, strict=True)):
-        if model is not None:
-            out[i] = model.score(text_view(t or b"")[None], meta_view(t or b"", lang, source)[None])[0]
-    return out
+
+def _chances(model: CoTrained | None, texts: Iterator[bytes | None], *meta: list) -> np.ndarray:
+    """The chance of each row to be good."""
+    views = _batch_views(texts, *meta)
+    return np.full(len(views[1]), 0.5) if model is None else model.score(*views).astype(float)
 
 
 def score(docs: DataFrame, model: CoTrained | None, keep: float = KEEP) -> DataFrame:
     """(doc_id, score, kept) of every row: the chance that it is good, and whether that is at least ``keep``.
 
-    Null texts count as empty; null languages and sources are known as such. Without a model the score is 0.5 and all
-    stay. Repeated rows stay, an empty table gives an empty one, other columns are ignored.
+    Null texts count as empty; null languages, sources and lengths are known as such. Without a model the score is 0.5
+    and all stay. Repeated rows stay, an empty table gives an empty one, other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -215,17 +278,23 @@ def score(docs: DataFrame, model: CoTrained | None, keep: float = KEEP) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = _chances(shared.value, batch, (1, 2, 3))
+            out = _chances(shared.value, text_bytes(batch.column(1)), *(batch.column(c).to_pylist() for c in (2, 3, 4)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(out >= keep)], names=["doc_id", "score", "kept"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").mapInArrow(run, "doc_id long, score double, kept boolean")
+    return _columns(docs).mapInArrow(run, "doc_id long, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: CoTrained | None, keep: float = KEEP) -> DataFrame:
     """The rows that ``score`` keeps, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    columns = tuple(docs.columns.index(c) for c in ("text", "lang", "source"))
-    return keep_rows(docs, lambda batch: _chances(shared.value, batch, columns) >= keep)
+    at = docs.columns.index("text")
+    meta = [docs.columns.index(c) if c in docs.columns else None for c in META]
+
+    def verdict(batch: pa.RecordBatch) -> np.ndarray:
+        fields = ([None] * batch.num_rows if c is None else batch.column(c).to_pylist() for c in meta)
+        return _chances(shared.value, text_bytes(batch.column(at)), *fields) >= keep
+
+    return keep_rows(docs, verdict)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 from tempolith.llm import classifier
-from tempolith.llm.classifier import classify, co_train, score, train
+from tempolith.llm.classifier import classify, score, train
 
 DOCS = "doc_id long, text string, lang string, source string, kept int"
 
@@ -19,22 +19,70 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_views_teach_each_other():
-    """One view knows little from its few labels; the other's pseudo-labels must help it."""
+def test_views_teach_each_other(spark):
+    """The text tells the class in a few ways, a handful of labels only of some; sources tell it too, and teach the rest."""
     rng = np.random.default_rng(0)
+    words = [["alpha", "gamma", "sigma"], ["###", "$$$", "|||"]]
+    rows, truth = [], {}
+    for i in range(600):
+        good = i % 2 == 0
+        way = 0 if i < 24 else int(rng.integers(0, 3))  # labels know the first way alone
+        text = " ".join(words[not good][way] if rng.random() < 0.3 else "the of and in"[: int(rng.integers(3, 13))] for _ in range(60))
+        rows.append((i, text, "en", f"{'good' if good else 'bad'}{rng.integers(0, 3)}", len(text)))
+        truth[i] = int(good)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, truth[i]) for i in range(24)], "doc_id long, quality int")
+    views = classifier._batch_views([t.encode() for _, t, *_ in rows], *zip(*[r[2:] for r in rows], strict=True))
+    y = np.array(list(truth.values()))
+    right = []
+    for rounds in (0, 4):
+        model = train(docs, labels, rounds=rounds, pseudo=60, confident=0.8)
+        right.append(np.mean((model.text.logit(views[0])[24:] > 0) == y[24:]))
+    assert right[1] > right[0] + 0.03 and right[1] > 0.9
 
-    def make(n):
-        y = (rng.random(n) < 0.5).astype(float)
-        a = np.column_stack([rng.normal(size=(n, 3)) + 4 * y[:, None], np.ones(n)])
-        b = np.column_stack([rng.normal(size=(n, 60)) + 0.5 * y[:, None], np.ones(n)])
-        return (a.astype(np.float32), b.astype(np.float32)), y
 
-    views, y = make(16)
-    pool, _ = make(1500)
-    test, truth = make(2000)
-    right = [np.mean((co_train(views, y, pool, rounds).meta.raw(test[1]) > 0) == truth) for rounds in (0, 6)]
-    assert right[1] > right[0] + 0.05
-    assert np.mean((co_train(views, y, pool).score(*test) > 0.5) == truth) > 0.95
+def test_all_unlabelled_documents_are_judged(spark, monkeypatch):
+    rows = [(i, "a good plain text " * 20 if i % 2 else "&&& ### " * 50, "en", f"s{i % 2}", 1) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    seen = []
+    inner = classifier._judge
+    monkeypatch.setattr(classifier, "_judge", lambda rows, model: seen.append(rows.count()) or inner(rows, model))
+    model = train(docs, labels, rounds=2, pseudo=5, confident=0.6)
+    assert seen == [300, 300] and model is not None
+
+
+def test_query_equals_plain_version(spark):
+    """The whole of training and scoring, with lists instead of tables."""
+    sf = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    docs = sorted((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in table.collect())
+    goal = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    views = classifier._batch_views([d[1].encode() for d in docs], *zip(*[d[2:] for d in docs], strict=True))
+    ids = [d[0] for d in docs]
+    known = np.array([i in goal for i in ids])
+    y = np.array([goal[i] for i in ids if i in goal], float)
+    order = {r["doc_id"]: r["h"] for r in table.selectExpr("doc_id", "xxhash64(doc_id) as h").collect()}
+    labelled = tuple(v[known] for v in views)
+    model, given = classifier.fit(labelled, y), ({}, {})
+    for _ in range(classifier.ROUNDS):
+        chances = [1 / (1 + np.exp(-np.clip(m.logit(v), -30, 30))) for m, v in zip(model.views(), views, strict=True)]
+        more = False
+        for k in (0, 1):
+            for label in (0, 1):
+                sure = chances[k] if label else 1 - chances[k]
+                ranked = sorted((at for at in range(len(ids)) if not known[at] and sure[at] >= classifier.CONFIDENT and ids[at] not in given[1 - k]), key=lambda at: (-sure[at], order[ids[at]]))
+                for at in ranked[: classifier.PSEUDO]:
+                    given[1 - k].setdefault(ids[at], (at, label))
+                    more = True
+        if not more:
+            break
+        model = classifier.fit(labelled, y, tuple((v[[at for at, _ in g.values()]], np.array([label for _, label in g.values()], float)) for v, g in zip(views, given, strict=True)))
+    expected = dict(zip(ids, model.score(*views), strict=True))
+    found = classify(table, labels).collect()
+    assert len(found) == len(docs)
+    differ = [abs(r["score"] - expected[r["doc_id"]]) for r in found]
+    assert max(differ) < 0.05 and np.mean([d > 1e-3 for d in differ]) < 0.02
 
 
 def test_odd_rows(spark):
@@ -56,6 +104,12 @@ def test_no_labels(spark):
 
 def test_pieces_add_up(monkeypatch):
     text = "é word\n".encode() * 5000
-    whole = classifier.text_view(text), classifier.meta_view(text, "en", None)
+    whole = classifier.text_view(text)
     monkeypatch.setattr(classifier, "PIECE", 777)
-    assert np.allclose(classifier.text_view(text), whole[0]) and np.allclose(classifier.meta_view(text, "en", None), whole[1])
+    assert np.allclose(classifier.text_view(text), whole)
+
+
+def test_metadata_knows_nothing_of_the_text():
+    assert np.array_equal(classifier.meta_view("en", None, 5), classifier.meta_view("en", None, 5))
+    assert not np.array_equal(classifier.meta_view("en", "a", 5), classifier.meta_view("en", None, 5))
+    assert classifier.meta_view(None, None, None)[:-1].sum() == 0

@@ -27,7 +27,7 @@ def test_stages_equal_plain_versions(spark):
     docs, rows = kept, explained
     trained = classifier.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     kept = corpus_pipeline.quality_classifier(spark, docs, SF)
-    score = lambda r: trained.score(classifier.text_view(r["text"].encode())[None], classifier.meta_view(r["text"].encode(), r["lang"], r["source"])[None])[0]
+    score = lambda r: trained.score(classifier.text_view(r["text"].encode())[None], classifier.meta_view(r["lang"], r["source"], r["n_chars"])[None])[0]
     good = [r for r in rows if score(r) >= classifier.KEEP]
     assert kept.columns == table.columns and sorted(map(str, kept.collect())) == sorted(map(str, good))
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
