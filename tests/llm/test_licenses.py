@@ -1,10 +1,10 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
-from tempolith.llm import licenses
-from tempolith.llm.licenses import BLOCK, CONTAINMENT, PHRASES, STRIDE, TEMPLATES, digest, scan
+from tempolith.llm.licenses import CONTAINMENT, PHRASES, SLACK, TEMPLATES, digest, scan
 
 
 def words(text):
@@ -12,22 +12,29 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
 
 
-def plain(text):
-    """All phrases at all places, all templates against all blocks."""
+def plain(text, templates=TEMPLATES):
+    """All phrases at all places, all templates against a block at every word."""
     w = words(text)
     places = [(i, label) for i in range(len(w)) for p, label in PHRASES if w[i : i + len(p.split())] == p.split()]
-    best, labels, start = 0.0, {x for _, x in places}, 0
-    while w:
-        block = set(w[start : start + BLOCK])
-        for t, label in TEMPLATES:
-            share = len(block & set(words(t))) / len(set(words(t)))
-            if share >= CONTAINMENT:
-                best, labels = max(best, share), labels | {label}
-        if start + BLOCK >= len(w):
-            break
-        start += STRIDE
+    labels, runs = {x for _, x in places}, []
+    present = set(w)
+    for t, label in templates:
+        wanted = set(words(t))
+        if len(wanted & present) < CONTAINMENT * len(wanted):
+            continue
+        size = math.ceil(SLACK * len(words(t)))
+        begun = None
+        for start in range(max(0, len(w) - size) + 2):
+            n = len(wanted.intersection(w[start : start + size])) if start <= max(0, len(w) - size) else 0
+            if n >= CONTAINMENT * len(wanted):
+                begun = (start, max(n, begun[1] if begun else 0)) if begun is None else (begun[0], max(n, begun[1]))
+            elif begun is not None:
+                runs.append((begun[0], start - 1, size, label, begun[1] / len(wanted)))
+                labels.add(label)
+                begun = None
     at = [i for i, _ in places]
-    return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), best
+    best = max((r[4] for r in runs), default=0.0)
+    return (len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), best), sorted(runs)
 
 
 def some_texts():
@@ -46,27 +53,40 @@ def some_texts():
 def test_scan_equals_brute_force(spark):
     texts = some_texts()
     docs = spark.createDataFrame([(i, t, "x", 0) for i, t in enumerate(texts)], "doc_id long, text string, labels string, n_words int")
-    rows = digest(scan(docs)).collect()
+    found = scan(docs).cache()
+    rows = digest(found).collect()
     assert len(rows) == len(texts)
+    expected = [plain(t) for t in texts]
     for r in rows:
-        assert tuple(r)[1:] == plain(texts[r["doc_id"]]), texts[r["doc_id"]]
+        assert tuple(r)[1:] == expected[r["doc_id"]][0], texts[r["doc_id"]]
+    for r in found.collect():
+        assert sorted(map(tuple, r["matches"])) == expected[r["doc_id"]][1], texts[r["doc_id"]]
     assert sum(r["score"] > 0 for r in rows) > 30
 
 
-def test_blocks_of_each_word():
-    for n in (1, 47, 48, 49, 71, 72, 73, 200):
-        starts = [0]
-        while starts[-1] + BLOCK < n:
-            starts.append(starts[-1] + STRIDE)
-        for i in range(n):
-            assert list(licenses.block_starts(i, n)) == [s for s in starts if s <= i < s + BLOCK]
+def test_spread_notices_are_found_at_every_offset(spark):
+    """A notice with words between its own is met wherever it stands."""
+    notice = words(TEMPLATES[-1][0])
+    spread = " ".join(w if i % 3 else f"{w} inserted" for i, w in enumerate(notice))
+    docs = spark.createDataFrame([(k, " ".join(["filler"] * k) + " " + spread + " rest" * 30) for k in range(60)], "doc_id long, text string")
+    assert {r["labels"] for r in digest(scan(docs)).collect()} == {"unlicense"}
+
+
+def test_random_templates(spark):
+    rng = random.Random(4)
+    pool = [f"t{i}" for i in range(30)]
+    templates = tuple((" ".join(rng.choice(pool) for _ in range(rng.choice([1, 2, 5, 12, 60]))), f"l{k}") for k in range(12))
+    texts = [" ".join(rng.choice([*pool, "x", "y"]) for _ in range(rng.randrange(0, 150))) for _ in range(60)]
+    found = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates=templates).collect()
+    for r in found:
+        assert sorted(map(tuple, r["matches"])) == plain(texts[r["doc_id"]], templates)[1]
 
 
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     rows = digest(scan(docs)).collect()
-    assert {r["doc_id"]: tuple(r)[1:] for r in rows} == {i: plain(t) for i, t in texts.items()}
+    assert {r["doc_id"]: tuple(r)[1:] for r in rows} == {i: plain(t)[0] for i, t in texts.items()}
     assert {x for r in rows for x in r["labels"].split(",")} >= {"mit", "apache", "gpl", "cc-by-nc"}
 
 
