@@ -6,25 +6,64 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-def _schema(strings: str, **more: T.DataType) -> T.StructType:
-    fields = [T.StructField(n, T.StringType()) for n in strings.split()]
-    return T.StructType([T.StructField(f.name, more.pop(f.name)) if f.name in more else f for f in fields] + [T.StructField(n, t) for n, t in more.items()])
-
-
-_NAMES, _LONG, _INT = T.ArrayType(T.StringType()), T.LongType(), T.IntegerType()
-#: Raw extraction: dates are still text.
+#: Raw extraction, as fixed columns; dates are still text.
 RAW_SCHEMAS = {
-    "issues": _schema(
-        "issue_key issue_id project_key project_name issue_type is_subtask status status_category resolution priority created updated resolution_date due_date assignee reporter creator components fix_versions labels link_count comment_count original_estimate_s time_spent_s changelog_total changelog_loaded",
-        is_subtask=T.BooleanType(), components=_NAMES, fix_versions=_NAMES, labels=_NAMES, link_count=_INT, comment_count=_INT, original_estimate_s=_LONG, time_spent_s=_LONG, changelog_total=_INT, changelog_loaded=_INT,
-    ),
-    "changelog": _schema("issue_key history_id created author field field_type from_value from_string to_value to_string"),
-    "comments": _schema("issue_key comment_id created updated author body_length", body_length=_INT),
-    "issue_text": _schema("issue_key summary description"),
-}
+    "issues": """
+        issue_key string,
+        issue_id string,
+        project_key string,
+        project_name string,
+        issue_type string,
+        is_subtask boolean,
+        status string,
+        status_category string,
+        resolution string,
+        priority string,
+        created string,
+        updated string,
+        resolution_date string,
+        due_date string,
+        assignee string,
+        reporter string,
+        creator string,
+        components array<string>,
+        fix_versions array<string>,
+        labels array<string>,
+        link_count int,
+        comment_count int,
+        original_estimate_s bigint,
+        time_spent_s bigint,
+        changelog_total int,
+        changelog_loaded int
+    """,
+    "changelog": """
+        issue_key string,
+        history_id string,
+        created string,
+        author string,
+        field string,
+        field_type string,
+        from_value string,
+        from_string string,
+        to_value string,
+        to_string string
+    """,
+    "comments": """
+        issue_key string,
+        comment_id string,
+        created string,
+        updated string,
+        author string,
+        body_length int
+    """,
+    "issue_text": """
+        issue_key string,
+        summary string,
+        description string
+    """,
+}
 
 
 @dataclass(frozen=True)
