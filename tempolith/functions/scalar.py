@@ -69,12 +69,20 @@ def length_word(value: Column, typical: Column) -> Column:
     return F.when(value < 0.6 * typical, "Short").when(value > 1.5 * typical, "Long").otherwise("Typical")
 
 
+def poisson_steps(most: int = 8) -> list[float]:
+    """The chances that a Poisson draw of mean 1 is at most 0, 1, ... ``most`` - 1."""
+    total, chance, out = 0.0, 0.36787944117144233, []
+    for k in range(1, most + 1):
+        total += chance
+        out.append(total)
+        chance /= k
+    return out
+
+
 def poisson(bits: Column) -> Column:
     """A draw from the Poisson distribution of mean 1 (at most 8), given a hash."""
     u = (F.pmod(bits, F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    drawn, chance, total = F.lit(0), 0.36787944117144233, 0.0
-    for k in range(1, 9):
-        total += chance
-        drawn = drawn + (u > total).cast("int")
-        chance /= k
+    drawn = F.lit(0)
+    for step in poisson_steps():
+        drawn = drawn + (u > step).cast("int")
     return drawn

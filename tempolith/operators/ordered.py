@@ -60,21 +60,30 @@ def asof_join(left: DataFrame, right: DataFrame, on: dict[str, str], left_t: str
     was found, even if all that it gave is null.
     """
     keys = [f"_k{i}" for i in range(len(on))]
-    given = right.select(*(F.col(r).alias(k) for k, r in zip(keys, on.values(), strict=True)), F.col(right_t).alias("_t"), F.struct(*(F.col(c) for c in tie)).alias("_tie"), F.struct(F.lit(True).alias("_found"), *(F.col(c).alias(n) for c, n in take.items())).alias("_r"))
-    given = given.dropna(subset=[*keys, "_t"])
-    asked = left.select(*(F.col(c).alias(k) for k, c in zip(keys, on, strict=True)), F.col(left_t).alias("_t"), F.lit(None).cast(given.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(given.schema["_r"].dataType).alias("_r"), F.struct("*").alias("_l"), F.lit(0 if strict else 1).alias("_side"))
-    rows = asked.unionByName(given.withColumn("_l", F.lit(None).cast(asked.schema["_l"].dataType)).withColumn("_side", F.lit(1 if strict else 0)))
-    rows = rows.withColumn("_slice", _slice(F.col("_t"), seconds))
-    # what each slice inherits comes from the right side alone: its slices' last rows, carried over the gaps between them
-    lasts = given.withColumn("_slice", _slice(F.col("_t"), seconds)).groupBy(*keys, "_slice").agg(F.max_by("_r", F.struct("_t", "_tie")).alias("_carry"))
-    following = F.lead("_slice").over(Window.partitionBy(*keys).orderBy("_slice"))
-    lasts = lasts.withColumn("_next", following)
-    gaps = lasts.filter("_next is not null").select(*keys, F.explode(F.sequence(F.col("_slice") + 1, "_next")).alias("_slice"), "_carry")
-    ends = lasts.filter("_next is null").select(*keys, F.col("_slice").alias("_end"), F.col("_carry").alias("_final"))
-    within = F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys, "_slice").orderBy("_t", "_side", F.col("_tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    found = rows.withColumn("_m", within).filter("_l is not null")
-    found = found.join(gaps, [*keys, "_slice"], "left").join(ends, keys, "left")
-    found = found.withColumn("_m", F.coalesce("_m", "_carry", F.when(F.col("_slice") > F.col("_end"), F.col("_final"))))
+    given, asked = _sides(left, right, on, left_t, right_t, take, tie, strict, keys)
+    given, asked = (x.withColumn("_slice", _slice(F.col("_t"), seconds)) for x in (given, asked))
+    # one row for each key and slice: its last right row, and whether anything is asked in it; what a slice inherits
+    # from those before it comes in as a right row that precedes all of its own
+    ends = given.groupBy(*keys, "_slice").agg(F.max_by("_r", F.struct("_t", "_tie")).alias("_r")).withColumn("_asks", F.lit(False))
+    wants = asked.dropna(subset=[*keys, "_t"]).select(*keys, "_slice", F.lit(None).cast(given.schema["_r"].dataType).alias("_r"), F.lit(True).alias("_asks")).distinct()
+    marks = ends.unionByName(wants).groupBy(*keys, "_slice").agg(F.first("_r", ignorenulls=True).alias("_r"), F.bool_or("_asks").alias("_asks"))
+    inherited = F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    carried = marks.withColumn("_r", inherited).filter("_asks and _r is not null").drop("_asks")
+    rows = asked.unionByName(given, allowMissingColumns=True).unionByName(carried.withColumn("_side", F.lit(-1)), allowMissingColumns=True)
+    return _latest(rows, [*keys, "_slice"], take, matched)
+
+
+def _sides(left: DataFrame, right: DataFrame, on: dict[str, str], left_t: str, right_t: str, take: dict[str, str], tie: list[str], strict: bool, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Right rows as (keys, _t, _tie, _r, _side), and left rows as (keys, _t, _l, _side)."""
+    given = right.select(*(F.col(r).alias(k) for k, r in zip(keys, on.values(), strict=True)), F.col(right_t).alias("_t"), F.struct(*(F.col(c) for c in tie)).alias("_tie"), F.struct(F.lit(True).alias("_found"), *(F.col(c).alias(n) for c, n in take.items())).alias("_r"), F.lit(1 if strict else 0).alias("_side"))
+    asked = left.select(*(F.col(c).alias(k) for k, c in zip(keys, on, strict=True)), F.col(left_t).alias("_t"), F.struct("*").alias("_l"), F.lit(0 if strict else 1).alias("_side"))
+    return given.dropna(subset=[*keys, "_t"]), asked
+
+
+def _latest(rows: DataFrame, keys: list[str], take: dict[str, str], matched: str | None) -> DataFrame:
+    """The left rows of a union of both sides, each with the last right row before it."""
+    before = F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.col("_t").asc_nulls_first(), "_side", F.col("_tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.withColumn("_m", before).filter("_l is not null")
     extra = [F.coalesce(F.col("_m._found"), F.lit(False)).alias(matched)] if matched else []
     return found.select("_l.*", *(F.col(f"_m.{n}").alias(n) for n in take.values()), *extra)
 
@@ -82,13 +91,8 @@ def asof_join(left: DataFrame, right: DataFrame, on: dict[str, str], left_t: str
 def asof_join_simple(left: DataFrame, right: DataFrame, on: dict[str, str], left_t: str, right_t: str, take: dict[str, str], tie: list[str], strict: bool = False, matched: str | None = None) -> DataFrame:
     """``asof_join`` for keys of few rows, such as a ticket's own: one exchange and one sort, no slices."""
     keys = [f"_k{i}" for i in range(len(on))]
-    given = right.select(*(F.col(r).alias(k) for k, r in zip(keys, on.values(), strict=True)), F.col(right_t).alias("_t"), F.struct(*(F.col(c) for c in tie)).alias("_tie"), F.struct(F.lit(True).alias("_found"), *(F.col(c).alias(n) for c, n in take.items())).alias("_r")).dropna(subset=[*keys, "_t"])
-    asked = left.select(*(F.col(c).alias(k) for k, c in zip(keys, on, strict=True)), F.col(left_t).alias("_t"), F.lit(None).cast(given.schema["_tie"].dataType).alias("_tie"), F.lit(None).cast(given.schema["_r"].dataType).alias("_r"), F.struct("*").alias("_l"), F.lit(0 if strict else 1).alias("_side"))
-    rows = asked.unionByName(given.withColumn("_l", F.lit(None).cast(asked.schema["_l"].dataType)).withColumn("_side", F.lit(1 if strict else 0)))
-    within = F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.col("_t").asc_nulls_first(), "_side", F.col("_tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    found = rows.withColumn("_m", within).filter("_l is not null")
-    extra = [F.coalesce(F.col("_m._found"), F.lit(False)).alias(matched)] if matched else []
-    return found.select("_l.*", *(F.col(f"_m.{n}").alias(n) for n in take.values()), *extra)
+    given, asked = _sides(left, right, on, left_t, right_t, take, tie, strict, keys)
+    return _latest(asked.unionByName(given, allowMissingColumns=True), keys, take, matched)
 
 
 def trailing(df: DataFrame, keys: list[str], t: str, order: list[Column], rows: int, stats: Callable[[Window], dict[str, Column]], seconds: int = SLICE) -> DataFrame:

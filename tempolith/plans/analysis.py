@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import capped_count, percent, rounded, yes_no
+from ..operators.ordered import quantiles
 from ..params import Params
 
 
@@ -26,12 +27,20 @@ def analysis_base(labels: DataFrame, tickets: DataFrame, flow: DataFrame, issues
     )
 
 
-def _quantile(c: str, share: float) -> Column:
-    return F.percentile(c, share)
+def _with_quantiles(base: DataFrame, groups: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], digits: int) -> DataFrame:
+    """``groups`` beside rounded exact quantiles: name -> (column, share). No task holds a group's values."""
+    for column in dict.fromkeys(c for c, _ in wanted.values()):
+        shares = {name: share for name, (c, share) in wanted.items() if c == column}
+        found = quantiles(base, keys, column, shares).select(*keys, *(rounded(F.col(n), digits).alias(n) for n in shares))
+        groups = groups.join(found, keys, "left")
+    return groups
 
 
 def lead_time_profile(base: DataFrame) -> DataFrame:
-    return base.groupBy("project_key", "issue_type").agg(F.count("*").alias("tickets"), rounded(_quantile("lead_days", 0.5), 1).alias("median_days"), rounded(_quantile("lead_days", 0.75), 1).alias("p75_days"), rounded(_quantile("lead_days", 0.9), 1).alias("p90_days"), percent(F.col("is_late")).alias("late_pct"))
+    keys = ["project_key", "issue_type"]
+    groups = base.groupBy(*keys).agg(F.count("*").alias("tickets"), percent(F.col("is_late")).alias("late_pct"))
+    wanted = {"median_days": ("lead_days", 0.5), "p75_days": ("lead_days", 0.75), "p90_days": ("lead_days", 0.9)}
+    return _with_quantiles(base, groups, keys, wanted, 1).select(*keys, "tickets", *wanted, "late_pct")
 
 
 def stage_share(base: DataFrame) -> DataFrame:
@@ -41,17 +50,16 @@ def stage_share(base: DataFrame) -> DataFrame:
 
 
 def review_flow(base: DataFrame) -> DataFrame:
-    return base.groupBy("project_key").agg(
+    groups = base.groupBy("project_key").agg(
         F.count("*").alias("tickets"),
         percent(F.col("entered_active")).alias("entered_active_pct"),
         percent(F.col("entered_review")).alias("entered_review_pct"),
-        rounded(_quantile("wait_to_first_review_days", 0.5), 2).alias("median_wait_to_review_days"),
-        rounded(_quantile("wait_to_first_review_days", 0.75), 2).alias("p75_wait_to_review_days"),
-        rounded(_quantile("cycle_days", 0.5), 2).alias("median_cycle_days"),
         percent(F.col("review_rounds") > 0).alias("any_rework_pct"),
         rounded(F.avg(F.when(F.col("entered_review"), F.col("review_rounds"))), 2).alias("mean_rounds_when_reviewed"),
         percent(F.col("reopen_count") > 0).alias("reopened_pct"),
     )
+    wait, cycle = "wait_to_first_review_days", "cycle_days"
+    return _with_quantiles(base, groups, ["project_key"], {"median_wait_to_review_days": (wait, 0.5), "p75_wait_to_review_days": (wait, 0.75), "median_cycle_days": (cycle, 0.5)}, 2)
 
 
 def factor_profile(base: DataFrame, p: Params) -> DataFrame:
@@ -70,7 +78,9 @@ def factor_profile(base: DataFrame, p: Params) -> DataFrame:
 
 
 def trend(base: DataFrame) -> DataFrame:
-    return base.groupBy("project_key", "created_year").agg(F.count("*").alias("tickets"), rounded(_quantile("lead_days", 0.5), 1).alias("median_days"), percent(F.col("is_late")).alias("late_pct"))
+    keys = ["project_key", "created_year"]
+    groups = base.groupBy(*keys).agg(F.count("*").alias("tickets"), percent(F.col("is_late")).alias("late_pct"))
+    return _with_quantiles(base, groups, keys, {"median_days": ("lead_days", 0.5)}, 1)
 
 
 def weighted_rollup(profile: DataFrame) -> DataFrame:

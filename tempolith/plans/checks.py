@@ -13,8 +13,10 @@ def doubled_keys(issues: DataFrame) -> DataFrame:
 
 
 def orphans(children: DataFrame, issues: DataFrame) -> DataFrame:
-    """Child rows whose ticket is not there. Rows without a key are orphans too."""
-    return children.join(issues.select("issue_key"), "issue_key", "left_anti")
+    """Child rows whose ticket is not there, as NOT IN counts them: a row without a key is none, and if a ticket's key is missing, no row is known to be one."""
+    missing = issues.agg(F.coalesce(F.bool_or(F.col("issue_key").isNull()), F.lit(False)).alias("_missing"))  # one row
+    sure = children.filter("issue_key is not null").join(F.broadcast(missing)).filter("not _missing").drop("_missing")
+    return sure.join(issues.select("issue_key"), "issue_key", "left_anti")
 
 
 def lost_rows(loaded: DataFrame, source: DataFrame, doubled: DataFrame) -> DataFrame:

@@ -153,13 +153,16 @@ def features(rel: Relations, x: Parts, ranks: DataFrame, p: Params) -> DataFrame
     # a lookup file of tens of rows
     base = base.join(F.broadcast(ranks.withColumnRenamed("rank", "priority_rank")), "priority_key", "left").drop("priority_key")
     base = base.join(x.prior, "issue_key", "left")
-    base = asof_join_simple(base, x.spans, {"issue_key": "issue_key"}, "t_at", "start_at", {"assignee": "_assignee"}, ["seq"])
-    base = asof_join(base, x.assignee_load, {"_assignee": "assignee"}, "t_at", "ts", {"open_n": "_own_open"}, ["open_n"], seconds=p.slice_seconds)
-    base = asof_join(base, x.project_load, {"project_key": "project_key"}, "t_at", "ts", {"open_n": "_all_open"}, ["open_n"], seconds=p.slice_seconds)
+    # what the as-of joins need of a row, and what they find, goes through them; the rest of the row waits
+    then = base.select(*POINT, "t_at", "project_key", "issue_type")
+    then = asof_join_simple(then, x.spans, {"issue_key": "issue_key"}, "t_at", "start_at", {"assignee": "_assignee"}, ["seq"])
+    then = asof_join(then, x.assignee_load, {"_assignee": "assignee"}, "t_at", "ts", {"open_n": "_own_open"}, ["open_n"], seconds=p.slice_seconds)
+    then = asof_join(then, x.project_load, {"project_key": "project_key"}, "t_at", "ts", {"open_n": "_all_open"}, ["open_n"], seconds=p.slice_seconds)
     peers = {"n": "peer_n", "median_lead_days": "peer_median_lead_days", "late_rate": "peer_late_rate"}
-    base = asof_join(base, x.peer, {"project_key": "project_key", "issue_type": "issue_type"}, "t_at", "resolution_date", peers, ["issue_key"], strict=True, seconds=p.slice_seconds)
+    then = asof_join(then, x.peer, {"project_key": "project_key", "issue_type": "issue_type"}, "t_at", "resolution_date", peers, ["issue_key"], strict=True, seconds=p.slice_seconds)
     own = {"median_lead_days": "project_median_lead_days", "late_rate": "project_late_rate"}
-    base = asof_join(base, x.project, {"project_key": "project_key"}, "t_at", "resolution_date", own, ["issue_key"], strict=True, seconds=p.slice_seconds)
+    then = asof_join(then, x.project, {"project_key": "project_key"}, "t_at", "resolution_date", own, ["issue_key"], strict=True, seconds=p.slice_seconds)
+    base = base.join(then.drop("t_at", "project_key", "issue_type"), POINT)
     later = x.activity.join(x.state, "issue_key", "full").withColumn("point", F.lit("day7"))
     rows = base.join(later, POINT, "left").filter(~((F.col("point") == "day7") & (F.coalesce("stage_at_t", F.lit("")) == "Done")))
     others = lambda n: F.greatest(F.col(n) - 1, F.lit(0))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Collection
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metrics
@@ -109,10 +110,32 @@ def fit(kind: str, point: str, train: DataFrame, params: dict, label: str = "is_
     if kind == "logistic":
         steps.append(LogisticRegression(labelCol="_y", regParam=1 / (params["C"] * max(1, train.count())), standardization=False, maxIter=200))
     else:
-        steps.append(GBTClassifier(labelCol="_y", stepSize=params["step"], maxDepth=params["depth"], maxIter=params.get("rounds", 40), seed=0))
+        # a tenth, chosen by a hash of the values, only says when to stop
+        train = train.withColumn("_held", F.pmod(F.xxhash64(*numbers.columns, *categories), F.lit(10)) == 0)
+        steps.append(GBTClassifier(labelCol="_y", stepSize=params["step"], maxDepth=params["depth"], maxIter=params.get("rounds", 40), seed=0, validationIndicatorCol="_held"))
     return Fitted(kind, numbers, Pipeline(stages=steps).fit(numbers.scaled(train)))
 
 
+def save(model: Fitted, path: str) -> None:
+    """Write a model: its pipeline, and beside it the numbers that scale its columns, as one JSON row."""
+    n = model.numbers
+    model.pipeline.write().overwrite().save(f"{path}/pipeline")
+    row = json.dumps({"kind": model.kind, "columns": n.columns, "logged": sorted(n.logged), "median": n.median, "mean": n.mean, "deviation": n.deviation})
+    SparkSession.active().createDataFrame([(row,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/numbers")
+
+
+def load(spark: SparkSession, path: str) -> Fitted:
+    """A model that ``save`` wrote."""
+    x = json.loads(spark.read.text(f"{path}/numbers").first()[0])
+    numbers = Numbers(tuple(x["columns"]), frozenset(x["logged"]), x["median"], x["mean"], x["deviation"])
+    return Fitted(x["kind"], numbers, PipelineModel.load(f"{path}/pipeline"))
+
+
+def write_predictions(scored: DataFrame, path: str, keys: tuple[str, ...] = ("issue_key", "point"), scores: tuple[str, ...] = ("score",)) -> None:
+    """Keys, outcome and scores as Parquet."""
+    scored.select(*keys, "is_late", *scores).write.mode("overwrite").parquet(path)
+
+
 def average_precision_of(scored: DataFrame, label: str = "is_late", score: str = "score") -> float | None:
     return metrics.score_counts(scored, label, score).groupBy("_one").agg(metrics.average_precision().alias("ap")).agg(F.max("ap")).first()[0]
 
@@ -143,14 +166,15 @@ def fit_calibrated(kind: str, point: str, frame: DataFrame, params: dict, cutoff
     return model, calibrate
 
 
-def bootstrap(scored: DataFrame, label: str, scores: list[str], key: str, replicates: int = 100, seed: int = 0) -> DataFrame:
+def bootstrap(scored: DataFrame, label: str, scores: list[str], key: str, replicates: int = 100, seed: int = 0, bits: Column | None = None) -> DataFrame:
     """(replicate, one average precision for each score): each row counts as often as a Poisson draw from its key and the replicate.
 
+    ``bits`` may name another hash of the columns ``key`` and replicate to draw from.
     All scores see the same draws, so differences are paired. Rows meet only as counts of equal scores.
     """
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("model"), F.col(s).alias("s")) for s in scores)))
     rows = scored.filter(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("_y"), each.alias("x")).select(key, "_y", "x.*")
-    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson(F.xxhash64(key, "replicate", F.lit(seed))))
+    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson(F.xxhash64(key, "replicate", F.lit(seed)) if bits is None else bits))
     sums = rows.groupBy("replicate", "model", "s").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_y")).alias("_pos")).filter("_n > 0")
     down = Window.partitionBy("replicate", "model").orderBy(F.col("s").desc())
     part = sums.withColumn("_part", F.col("_pos") * F.sum("_pos").over(down) / F.sum("_n").over(down))

@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import metrics
-
-from .operators.ordered import asof_join, asof_join_simple, first_by, quantiles
+from .functions.scalar import poisson_steps
+from .operators.ordered import asof_join, first_by, quantiles
 from .operators.spans import build_spans
 from .oracles import _list, _pct, with_tables
-from .plans import analysis, checks, features, labels, load, model_frames, scope, stages
-from .sources import surrogate, tables
+from .plans import analysis, checks, features, labels, load, model_frames, models, reports, scope, stages
+from .sources import documents, surrogate, tables
 from .sources.surrogate import PARAMS as P
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,15 +26,31 @@ _SQL: dict[str, str] = {}
 class Layers:
     """The layers over one folder, each planned once."""
 
+    _known: ClassVar[dict[tuple, Layers]] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self.settled: list[DataFrame] = []
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Layers:
+        """The layers of these files in this session; what was written for one query serves the others, while it is there."""
+        key = spark.sparkContext.applicationId, id(spark), tables.stamp(spark, [f"{sf_dir}/{t}.parquet" for t in surrogate.TABLES])
+        found = cls._known.get(key)
+        if found is None or not all(map(tables.present, found.settled)):
+            found = cls._known[key] = cls(spark, sf_dir)
+        return found
+
+    def _settle(self, df: DataFrame, name: str) -> DataFrame:
+        self.settled.append(tables.settle(df, name))
+        return self.settled[-1]
 
     def table(self, name: str) -> DataFrame:
         return surrogate.read(self.spark, self.sf_dir, name)
 
     def _kept(name: str, make: Callable[[Layers], DataFrame]) -> cached_property:  # noqa: N805
         """A layer that others read several times: a table, written when first needed."""
-        return cached_property(lambda s: tables.settle(make(s), name))
+        return cached_property(lambda s: s._settle(make(s), name))
 
     rel = cached_property(lambda s: surrogate.relations(s.spark, s.sf_dir))
     tickets = _kept("tickets", lambda s: scope.tickets(s.rel, P))
@@ -203,19 +220,18 @@ def stage_share(x: Layers) -> DataFrame:
     return analysis.stage_share(x.base)
 
 
-@_query(f"""SELECT project_key, count(*) AS tickets, {_pct('entered_active')} AS entered_active_pct, {_pct('entered_review')} AS entered_review_pct, round(median(wait_to_first_review_days), 2) AS median_wait_to_review_days,
-    round(quantile_cont(wait_to_first_review_days, 0.75), 2) AS p75_wait_to_review_days, round(median(cycle_days), 2) AS median_cycle_days, {_pct('review_rounds > 0')} AS any_rework_pct,
-    round(avg(review_rounds) FILTER (entered_review), 2) AS mean_rounds_when_reviewed, {_pct('reopen_count > 0')} AS reopened_pct FROM analysis_base GROUP BY project_key""")
+@_query("""WITH w AS (SELECT project_key, count(*) AS tickets, quantile_cont(wait_to_first_review_days, [0.5, 0.75]) AS waits, quantile_cont(cycle_days, 0.5) AS cycle, avg(review_rounds) FILTER (entered_review) AS rounds,
+    list_transform([avg(entered_active::INT), avg(entered_review::INT), avg((review_rounds > 0)::INT), avg((reopen_count > 0)::INT)], lambda share: round(100 * share, 1)) AS shares FROM analysis_base GROUP BY project_key)
+    SELECT project_key, tickets, shares[1] AS entered_active_pct, shares[2] AS entered_review_pct, round(waits[1], 2) AS median_wait_to_review_days, round(waits[2], 2) AS p75_wait_to_review_days, round(cycle, 2) AS median_cycle_days,
+    shares[3] AS any_rework_pct, round(rounds, 2) AS mean_rounds_when_reviewed, shares[4] AS reopened_pct FROM w""")
 def review_flow(x: Layers) -> DataFrame:
     return analysis.review_flow(x.base)
 
 
-_CAP = lambda c: f"CASE WHEN {c} >= 2 THEN '2+' ELSE {c}::VARCHAR END"
-_YES = lambda c: f"CASE WHEN {c} THEN 'yes' ELSE 'no' END"
-_FACTORS = {"issue_type": "issue_type", "has_assignee_at_snapshot": _YES("has_assignee"), "component_count_at_snapshot": _CAP("component_count"), "link_count_at_snapshot": _CAP("link_count"), "entered_review": _YES("entered_review"), "review_rounds (known late)": _CAP("review_rounds")}
-
-
-@_query(" UNION ALL ".join(f"SELECT '{n}' AS factor, {e} AS level, count(*) AS tickets, {_pct('is_late')} AS late_pct FROM analysis_base GROUP BY ALL" + (f" HAVING count(*) >= {P.factor_min}" if n == "issue_type" else "") for n, e in _FACTORS.items()))
+@_query(f"""WITH levels AS (SELECT is_late, issue_type, (['no', 'yes'])[has_assignee::INT + 1] AS "has_assignee_at_snapshot", (['no', 'yes'])[entered_review::INT + 1] AS "entered_review",
+    (['0', '1', '2+'])[least(component_count, 2)::INT + 1] AS "component_count_at_snapshot", (['0', '1', '2+'])[least(link_count, 2)::INT + 1] AS "link_count_at_snapshot", (['0', '1', '2+'])[least(review_rounds, 2)::INT + 1] AS "review_rounds (known late)" FROM analysis_base),
+    long AS (UNPIVOT levels ON COLUMNS(* EXCLUDE (is_late)) INTO NAME factor VALUE level)
+    SELECT factor, level, count(*) AS tickets, {_pct('is_late')} AS late_pct FROM long GROUP BY factor, level HAVING factor <> 'issue_type' OR count(*) >= {P.factor_min}""")
 def factor_profile(x: Layers) -> DataFrame:
     return analysis.factor_profile(x.base, P)
 
@@ -277,10 +293,11 @@ def text_lengths(x: Layers) -> DataFrame:
     return load.load(_raw(x), ("P",)).text_stats
 
 
-@_query("SELECT count(*) AS n, count(DISTINCT l_orderkey) AS keys FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@_query("SELECT count(*) AS n, count(DISTINCT k) AS keys FROM (SELECT CASE WHEN l_orderkey % 10 <> 0 THEN l_orderkey END AS k FROM lineitem) WHERE k NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def orphan_check(x: Layers) -> DataFrame:
     parents = x.table("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("issue_key"))
-    return checks.orphans(x.table("lineitem").select(F.col("l_orderkey").alias("issue_key")), parents).agg(F.count("*").alias("n"), F.count_distinct("issue_key").alias("keys"))
+    children = x.table("lineitem").select(F.when(F.col("l_orderkey") % 10 != 0, F.col("l_orderkey")).alias("issue_key"))
+    return checks.orphans(children, parents).agg(F.count("*").alias("n"), F.count_distinct("issue_key").alias("keys"))
 
 
 @_query(f"""WITH s AS ({_SOURCE_LINES}), t AS (SELECT * FROM s WHERE k IN (SELECT o_orderkey FROM orders)), loaded AS (SELECT * FROM t WHERE k % 50 <> 0 UNION ALL SELECT DISTINCT * FROM t WHERE k % 50 = 0)
@@ -404,7 +421,7 @@ def asof_strict(x: Layers) -> DataFrame:
 @_query(f"""WITH a AS (SELECT event_id, user_id, ts, n AS view_id, n % 150 AS next_user FROM (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN {_SEEN('view')} v ON p.user_id = v.who AND p.ts >= v.at)
     SELECT event_id, user_id, ts, view_id, next_user, n AS click_id FROM a ASOF LEFT JOIN {_SEEN('click')} c ON a.next_user = c.who AND a.ts >= c.at""")
 def asof_chained(x: Layers) -> DataFrame:
-    first = asof_join_simple(_asks(x), _seen(x, "view"), {"user_id": "who"}, "ts", "at", {"n": "view_id"}, ["n"]).withColumn("next_user", F.col("view_id") % 150)
+    first = asof_join(_asks(x), _seen(x, "view"), {"user_id": "who"}, "ts", "at", {"n": "view_id"}, ["n"], seconds=5 * 86_400).withColumn("next_user", F.col("view_id") % 150)
     return asof_join(first, _seen(x, "click"), {"next_user": "who"}, "ts", "at", {"n": "click_id"}, ["n"], seconds=5 * 86_400)
 
 
@@ -515,6 +532,148 @@ def workload_buckets(x: Layers) -> DataFrame:
     return analysis.workload_buckets(x.features, x.labels)
 
 
+# what leaves the models: the linear stand-in's scores and explanations
+
+
+_PARTS = "parts AS (SELECT issue_key, point, f.name AS feature, CASE f.name " + " ".join(f"WHEN '{c}' THEN coalesce({c}, 0) * {w}::DOUBLE" for c, w in _WEIGHTS.items()) + " END AS contribution FROM features, (VALUES " + ", ".join(f"('{c}')" for c in _WEIGHTS) + ") AS f(name))"
+_CHANCES = f"""{_PARTS}, chances AS (SELECT issue_key, point, 1 / (1 + exp(1.5 - sum(contribution))) AS score FROM parts GROUP BY ALL),
+    shown AS (SELECT c.*, m.project_key, l.issue_type, l.is_late, label_status, round(greatest(least(score, 0.95), 0.05), 3) AS shown, strftime(l.created, '%Y-%m-%d') AS filed, round(date_diff('second', l.created, TIMESTAMP '{P.snapshot}') / 86400.0::DOUBLE * 10) / 10 AS age_days
+        FROM chances c JOIN features m ON m.issue_key = c.issue_key AND m.point = c.point JOIN late_labels l ON l.issue_key = c.issue_key),
+    cuts AS (SELECT point, quantile_cont(score, 0.9) AS cutoff FROM shown WHERE is_late IS NOT NULL GROUP BY point),
+    risky AS (SELECT shown.*, score >= cutoff - 1e-12 AS top FROM shown JOIN cuts USING (point))"""
+
+
+def _parts(x: Layers) -> DataFrame:
+    values = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * w for c, w in _WEIGHTS.items()}
+    return model_frames.long_form(x.features, ["issue_key", "point"], values, value="contribution")
+
+
+def _flagged(x: Layers) -> DataFrame:
+    rows = x.features.select("issue_key", "point", "project_key").join(x.labels.select("issue_key", "issue_type", "is_late", "label_status", "created"), "issue_key")
+    scored = reports.scored_tickets(_parts(x), rows, -1.5, P)
+    return reports.flag_top(scored, scored.filter("is_late is not null")).withColumn("top", F.col("score") >= F.col("cutoff") - 1e-12)
+
+
+@_query(f"WITH {_CHANCES} SELECT issue_key, point, round(score, 9) AS score, shown, filed, age_days FROM shown")
+def scored_tickets(x: Layers) -> DataFrame:
+    return _round(_flagged(x), 9, "score").select("issue_key", "point", "score", "shown", "filed", "age_days")
+
+
+@_query(f"WITH {_CHANCES} SELECT point, round(cutoff, 9) AS cutoff, count(*) FILTER (top) AS n_top, count(*) AS n FROM risky JOIN cuts USING (point) WHERE is_late IS NOT NULL GROUP BY ALL")
+def top_tenth(x: Layers) -> DataFrame:
+    return _flagged(x).filter("is_late is not null").groupBy("point", F.round("cutoff", 9).alias("cutoff")).agg(F.count_if("top").alias("n_top"), F.count("*").alias("n"))
+
+
+@_query(f"WITH {_CHANCES} SELECT issue_key, project_key, issue_type, shown, age_days, top FROM risky WHERE label_status = 'open_unlabelled' AND point = 'day7' AND project_key IN ('BUILDING', 'MACHINERY') ORDER BY shown DESC, issue_key")
+def open_tickets(x: Layers) -> DataFrame:
+    return reports.open_tickets(_flagged(x), "day7", ("BUILDING", "MACHINERY"))
+
+
+@_query(f"WITH {_CHANCES} SELECT point, project_key, top, count(*) AS n, count(*) FILTER (is_late) AS late, {_pct('is_late')} AS late_pct FROM risky WHERE is_late IS NOT NULL GROUP BY ALL")
+def backtest_rates(x: Layers) -> DataFrame:
+    return reports.backtest_rates(_flagged(x))
+
+
+@_query("SELECT issue_key, point FROM features WHERE point = 'creation' ORDER BY md5(concat_ws(':', issue_key, '7')) LIMIT 100")
+def seeded_sample(x: Layers) -> DataFrame:
+    """A hundred rows: the sample is the feature."""
+    return reports.sample(x.features.filter("point = 'creation'").select("issue_key", "point"), F.col("issue_key"), 100, 7)
+
+
+@_query(f"WITH {_PARTS} SELECT feature, {_THEME} AS theme, round(avg(abs(contribution)), 9) AS mean_abs FROM parts GROUP BY feature")
+def feature_importance(x: Layers) -> DataFrame:
+    return _round(reports.mean_sizes(_parts(x), []), 9, "mean_abs")
+
+
+@_query(f"WITH {_PARTS}, sums AS (SELECT issue_key, point, {_THEME} AS theme, sum(contribution) AS s FROM parts GROUP BY ALL) SELECT theme, list_position({_list(tuple(model_frames.THEMES))}, theme)::BIGINT AS place, round(avg(abs(s)), 9) AS mean_abs FROM sums GROUP BY theme")
+def theme_importance(x: Layers) -> DataFrame:
+    return _round(reports.theme_importance(_parts(x), ["issue_key", "point"]), 9, "mean_abs")
+
+
+@_query(f"WITH {_PARTS}, means AS (SELECT project_key, feature, round(avg(abs(contribution)), 9) AS mean_abs FROM parts p JOIN (SELECT issue_key, point, project_key FROM features) USING (issue_key, point) GROUP BY ALL) SELECT project_key, rank::INT AS rank, feature, {_THEME} AS theme, mean_abs FROM (SELECT *, row_number() OVER (PARTITION BY project_key ORDER BY mean_abs DESC, feature) AS rank FROM means) WHERE rank <= 5")
+def project_top_features(x: Layers) -> DataFrame:
+    parts = _parts(x).join(x.features.select("issue_key", "point", "project_key"), ["issue_key", "point"])
+    return _round(reports.top_features(parts, "project_key"), 9, "mean_abs")
+
+
+@_query("""WITH rows AS (SELECT description_length AS x, link_count * 6.25::DOUBLE AS y FROM features WHERE point = 'creation'), cuts AS (SELECT list_distinct(quantile_cont(x, [0, 1/6, 2/6, 3/6, 4/6, 5/6, 1])) AS e FROM rows),
+    placed AS (SELECT y, CASE WHEN x IS NULL THEN -1 ELSE len(list_filter(e, lambda c: c < x AND c > list_min(e) AND c < list_max(e))) END AS bin FROM rows, cuts) SELECT bin::INT AS bin, count(*) AS n, round(avg(y), 6) AS mean FROM placed GROUP BY ALL""")
+def quantile_dependence(x: Layers) -> DataFrame:
+    rows = x.features.filter("point = 'creation'").select("description_length", (F.col("link_count") * 6.25).alias("y"))
+    return reports.quantile_bins(rows, "description_length", "y", 6)
+
+
+@_query("SELECT project_key, round(avg(100 * is_late::INT) FILTER (has_assignee)) AS assigned_pct, round(avg(100 * is_late::INT) FILTER (NOT has_assignee)) AS unassigned_pct FROM (SELECT issue_key, project_key, has_assignee FROM features WHERE point = 'creation') JOIN late_labels l USING (issue_key, project_key) WHERE is_late IS NOT NULL GROUP BY project_key")
+def late_by_project_and_assigned(x: Layers) -> DataFrame:
+    return reports.late_by_project_and_assigned(x.features, x.labels)
+
+
+@_query("""WITH first_given AS (SELECT issue_key, created FROM changelog WHERE field = 'assignee' AND to_value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY issue_key ORDER BY created) = 1)
+    SELECT count(*) AS n, count_if(epoch(g.created) - epoch(f.t_at) BETWEEN 1 AND 864000)::BIGINT AS soon, count_if(g.issue_key IS NULL)::BIGINT AS never FROM features f LEFT JOIN first_given g ON g.issue_key = f.issue_key WHERE point = 'creation' AND has_assignee""")
+def assigned_after_creation(x: Layers) -> DataFrame:
+    """Within ten days: the surrogate's changes are days apart."""
+    return reports.assigned_after_creation(x.features, x.rel.changelog, 864_000)
+
+
+@_query("""WITH rates AS (SELECT list_position([TRUE, FALSE], assignee_open = 0) AS idle, least((ifnull(assignee_open, 0) + 1) // 2, 1) + (ifnull(assignee_open, 0) > 2)::INT + (ifnull(assignee_open, 0) > 5)::INT + (ifnull(assignee_open, 0) > 10)::INT AS bucket, is_late FROM features JOIN late_labels l USING (issue_key) WHERE point = 'creation' AND has_assignee AND is_late IS NOT NULL)
+    SELECT min(r) AS least, max(r) AS most FROM (SELECT bucket, round(avg(100 * is_late::INT)) AS r FROM rates GROUP BY bucket)""")
+def workload_range(x: Layers) -> DataFrame:
+    return reports.workload_range(x.features, x.labels)
+
+
+@_query(f"SELECT project_key, created_year::INT AS year, count(*) AS tickets, round(median(lead_days), 1) AS median_days, {_pct('is_late')} AS late_pct FROM analysis_base WHERE created_year BETWEEN 1996 AND 1999 GROUP BY ALL")
+def late_by_project_year(x: Layers) -> DataFrame:
+    return analysis.trend(x.base).filter("created_year between 1996 and 1999").withColumnRenamed("created_year", "year")
+
+
+_DRAW = "(('0x' || substr(md5(concat_ws(':', issue_key, replicate)), 1, 8))::BIGINT % 1073741824 + 0.5::DOUBLE) / 1073741824"
+_TIMES = " + ".join(f"(u > {c!r}::DOUBLE)::INT" for c in poisson_steps())
+
+
+@_query(f"""WITH drawn AS (SELECT s.*, replicate, {_DRAW} AS u FROM scored s, range(1, 11) AS r(replicate) WHERE point = 'creation'), weighted AS (SELECT *, {_TIMES} AS w FROM drawn),
+    long AS (SELECT replicate, 'peer' AS model, peer_score AS s, is_late, w FROM weighted UNION ALL SELECT replicate, 'project', project_score, is_late, w FROM weighted),
+    sums AS (SELECT replicate, model, s, sum(w) AS n, sum(w) FILTER (is_late) AS late FROM long GROUP BY ALL HAVING sum(w) > 0), upto AS (SELECT replicate, model, ifnull(late, 0) AS late, ifnull(late, 0) * sum(ifnull(late, 0)) OVER w / sum(n) OVER w AS part FROM sums WINDOW w AS (PARTITION BY replicate, model ORDER BY s DESC)),
+    ap AS (SELECT replicate, model, sum(part) / sum(late) AS ap FROM upto GROUP BY ALL)
+    SELECT replicate::INT AS replicate, round(max(ap) FILTER (model = 'peer'), 9) AS peer_score, round(max(ap) FILTER (model = 'project'), 9) AS project_score FROM ap GROUP BY replicate""")
+def bootstrap_draws(x: Layers) -> DataFrame:
+    bits = F.conv(F.substring(F.md5(F.concat_ws(":", "issue_key", "replicate")), 1, 8), 16, 10).cast("long")
+    draws = models.bootstrap(x.scored.filter("point = 'creation'"), "is_late", ["peer_score", "project_score"], "issue_key", 10, bits=bits)
+    return _round(draws, 9, "peer_score", "project_score")
+
+
+# documents: orders as nested JSON tickets
+
+
+def _documents(x: Layers) -> DataFrame:
+    key = F.col("o_orderkey")
+    named = lambda c: F.struct(c.alias("name"))
+    item = lambda field, old, new: F.struct(F.lit(field).alias("field"), old.alias("fromString"), new.alias("toString"))
+    history = F.struct((key * 10).cast("string").alias("id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created"), F.struct(F.when(key % 2 == 0, "u1").alias("name"), F.lit("U One").alias("displayName")).alias("author"), F.array(item("status", F.lit("Open"), F.col("o_orderstatus")), item("priority", F.lit(None).cast("string"), F.col("o_orderpriority"))).alias("items"))
+    fields = F.struct(
+        F.when(key % 3 != 0, F.struct(F.col("o_orderstatus").alias("key"))).alias("project"), named(F.trim("o_orderpriority")).alias("priority"), named(F.when(key % 4 == 0, " ").otherwise(F.col("o_orderstatus"))).alias("status"),
+        F.array_repeat(named(F.when(key % 5 != 0, F.lit("part"))), (key % 4).cast("int")).alias("components"), F.array_repeat(F.struct(F.lit("1").alias("id")), (key % 3).cast("int")).alias("issuelinks"), F.when(key % 6 == 0, "soon").otherwise(F.col("o_custkey").cast("string")).alias("timespent"),
+    )
+    json = F.to_json(F.struct(F.concat_ws("-", F.lit("P"), F.col("o_orderstatus"), key).alias("key"), key.cast("string").alias("id"), fields.alias("fields"), F.struct(F.when(key % 7 != 0, F.array(history)).alias("histories")).alias("changelog")))
+    return documents.parse_documents(x.table("orders").select(json.alias("json")))
+
+
+@_query("""SELECT concat_ws('-', 'P', o_orderstatus, o_orderkey) AS issue_key, CASE WHEN o_orderkey % 3 = 0 THEN 'P-' || o_orderstatus ELSE o_orderstatus END AS project_key, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderstatus END AS status, o_orderpriority AS priority,
+    CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 4 ELSE 0 END::INT AS n_components, (o_orderkey % 3)::INT AS link_count, CASE WHEN o_orderkey % 6 <> 0 THEN o_custkey END::BIGINT AS time_spent_s, (o_orderkey % 7 <> 0)::INT AS changelog_loaded FROM orders""")
+def flatten_issues(x: Layers) -> DataFrame:
+    return documents.flatten(_documents(x))["issues"].select("issue_key", "project_key", "status", "priority", F.array_size("components").alias("n_components"), "link_count", "time_spent_s", "changelog_loaded")
+
+
+@_query("""SELECT concat_ws('-', 'P', o_orderstatus, o_orderkey) AS issue_key, (o_orderkey * 10)::VARCHAR AS history_id, strftime(o_orderdate, '%Y-%m-%d') AS created, CASE WHEN o_orderkey % 2 = 0 THEN 'u1' ELSE 'U One' END AS author, f.field, CASE f.field WHEN 'status' THEN 'Open' END AS from_string, CASE f.field WHEN 'status' THEN o_orderstatus ELSE o_orderpriority END AS to_string
+    FROM orders, (VALUES ('status'), ('priority')) AS f(field) WHERE o_orderkey % 7 <> 0""")
+def flatten_changes(x: Layers) -> DataFrame:
+    return documents.flatten(_documents(x))["changelog"].select("issue_key", "history_id", "created", "author", "field", "from_string", "to_string")
+
+
+@_query("SELECT f.field, count(*) AS n FROM orders, (VALUES ('status'), ('priority')) AS f(field) WHERE o_orderkey % 7 <> 0 GROUP BY f.field")
+def field_histogram(x: Layers) -> DataFrame:
+    return documents.field_counts(documents.flatten(_documents(x))["changelog"])
+
+
 @_query("SELECT project_key, listagg(issue_type, '|' ORDER BY issue_type) AS types, sum(tickets)::BIGINT AS tickets FROM lead_time_profile GROUP BY project_key")
 def types_of_projects(x: Layers) -> DataFrame:
     return x.base.groupBy("project_key", "issue_type").agg(F.count("*").alias("n")).groupBy("project_key").agg(F.expr("listagg(issue_type, '|') within group (order by issue_type)").alias("types"), F.sum("n").alias("tickets"))
@@ -528,7 +687,7 @@ def stacked_counts(x: Layers) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {name: (lambda spark, sf_dir, f=f: f(Layers(spark, sf_dir))) for name, f in _SPARK.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(Layers.of(spark, sf_dir))) for name, f in _SPARK.items()}
 
 
 def oracle_sql() -> dict[str, str]:

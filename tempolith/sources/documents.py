@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .relations import RAW_SCHEMAS
 
@@ -60,10 +64,52 @@ def flatten(documents: DataFrame) -> dict[str, DataFrame]:
     comments = said.select(F.col("key").alias("issue_key"), F.col("c.id").alias("comment_id"), F.col("c.created").alias("created"), F.col("c.updated").alias("updated"), _person(F.col("c.author")).alias("author"), F.coalesce(F.length("c.body"), F.lit(0)).alias("body_length"))
     text = d.select(F.col("key").alias("issue_key"), _text(f["summary"]).alias("summary"), _text(f["description"]).alias("description"))
     out = {"issues": issues, "changelog": changelog, "comments": comments, "issue_text": text}
-    return {n: df.select(*(F.col(c.name).cast(c.dataType) for c in RAW_SCHEMAS[n])) for n, df in out.items()}
+    return {n: df.select(*(F.col(c.name).cast(c.dataType) for c in StructType.fromDDL(RAW_SCHEMAS[n]))) for n, df in out.items()}
 
 
 def write_raw(relations: dict[str, DataFrame], folder: str) -> None:
     """The raw relations as zstd Parquet; each table appears whole or not at all."""
     for name, df in relations.items():
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}.parquet")
+
+
+def field_counts(changelog: DataFrame) -> DataFrame:
+    """(field, n): how often each field was changed."""
+    return changelog.groupBy("field").agg(F.count("*").alias("n"))
+
+
+def presence(issues: DataFrame) -> DataFrame:
+    """One row: how many tickets have a value in each column."""
+    return issues.agg(*(F.count(c).alias(c) for c in issues.columns))
+
+
+def extract(spark: SparkSession, path: str, folder: str, limit: int | None = None, force: bool = False) -> dict:
+    """Documents to raw tables, with a manifest of what was read; a folder whose manifest says complete is left as it is.
+
+    The manifest has the rows of each table, how many lines were no document, how many tickets have each column and how
+    often each field was changed. With ``limit`` only so many documents are read, as a probe, and it is not complete.
+    """
+    at = f"{folder}/manifest"
+    if not force:
+        try:
+            known = json.loads(spark.read.text(at).first()[0])
+        except AnalysisException:  # no manifest yet
+            known = {}
+        if known.get("complete"):
+            return known
+    docs = read_documents(spark, path)
+    docs = docs.limit(limit) if limit else docs
+    write_raw(flatten(docs), folder)
+    raw = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in RAW_SCHEMAS}
+    lines = docs.agg(F.count("*").alias("n"), F.count("document.key").alias("good")).first()
+    manifest = {
+        "complete": limit is None,
+        "documents": lines["n"],
+        "unreadable": lines["n"] - lines["good"],
+        "rows": {n: df.count() for n, df in raw.items()},
+        "presence": presence(raw["issues"]).first().asDict(),
+        # a tracker has some hundreds of fields; the thousand most changed are named
+        "fields": {r["field"]: r["n"] for r in field_counts(raw["changelog"]).orderBy(F.desc("n"), "field").limit(1000).collect()},
+    }
+    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(at)
+    return manifest

@@ -35,6 +35,10 @@ PARAMS = Params(
 )
 
 
+#: The tables that the model is made of.
+TABLES = ("orders", "customer", "lineitem", "events")
+
+
 def _later(t: Column, seconds: Column) -> Column:
     return t + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
 

@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-_own: list[str] = []
+
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="tempolith-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``; where the session names none, a temporary one, in local mode alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="tempolith-"))
-        named = _own[0]
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = _own_folder()
     return named.rstrip("/")
 
 
@@ -25,3 +33,25 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tempolith-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _status(spark: SparkSession, path: str):
+    """The file system of a path and what it says of it, or None."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files, files.getFileStatus(where) if files.exists(where) else None
+
+
+def present(df: DataFrame) -> bool:
+    """Whether the files that a settled table was read from are still there."""
+    return all(_status(df.sparkSession, path)[1] is not None for path in df.inputFiles())
+
+
+def stamp(spark: SparkSession, paths: list[str]) -> tuple:
+    """Sizes and times of the files at some paths: another value means other contents."""
+    found = []
+    for path in paths:
+        files, status = _status(spark, path)
+        inside = [] if status is None else files.listStatus(status.getPath())
+        found.append((path, tuple((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in inside)))
+    return tuple(found)
