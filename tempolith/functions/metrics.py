@@ -14,12 +14,16 @@ from ..operators.ordered import _null_safe
 SLICES = 256
 
 
-def score_counts(df: DataFrame, y: str, score: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys, score, _n, _pos, _n_above, _pos_above, _n_all, _pos_all) of each distinct score; null labels and scores are left out."""
+def score_counts(df: DataFrame, y: str, score: str, keys: list[str] | None = None, weight: Column | None = None) -> DataFrame:
+    """(keys, score, _n, _pos, _n_above, _pos_above, _n_all, _pos_all) of each distinct score; null labels and scores are left out.
+
+    A row counts as often as its ``weight`` says, else once.
+    """
+    times = F.lit(1) if weight is None else weight
     keys = keys or ["_one"]
     rows = df if keys != ["_one"] else df.withColumn("_one", F.lit(1))
     rows = rows.filter(F.col(y).isNotNull() & F.col(score).isNotNull())
-    each = rows.groupBy(*keys, F.col(score).alias("_s")).agg(F.count("*").alias("_n"), F.sum(F.col(y).cast("int")).alias("_pos")).withColumn("_slice", F.floor(F.col("_s") * SLICES))
+    each = rows.groupBy(*keys, F.col(score).alias("_s")).agg(F.sum(times).alias("_n"), F.sum(times * F.col(y).cast("int")).alias("_pos")).withColumn("_slice", F.floor(F.col("_s") * SLICES))
     sums = each.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_sn"), F.sum("_pos").alias("_sp"))
     at = Window.partitionBy(*keys)
     down = at.orderBy(F.col("_slice").desc())

@@ -12,13 +12,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.scalar import log1p_clipped, poisson
+from ..operators.ordered import quantiles
 from . import trees
-from .model_frames import feature_columns, folds, known_at
+from .model_frames import feature_columns, folds, known_at, long_form
 
 LOGISTIC_GRID = ({"C": 0.03}, {"C": 0.3}, {"C": 3.0})
 BOOSTING_GRID = ({"step": 0.1, "depth": 4}, {"step": 0.1, "depth": 5})
@@ -40,8 +41,9 @@ class Numbers:
         kinds = feature_columns(point)
         columns = [c for c in (*kinds["log"], *kinds["linear"]) if not (c == "has_assignee" and point == "creation") and c not in without]
         logged = frozenset(kinds["log"])
-        medians = frame.agg(*(F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns)).first().asDict()
-        median = {c: medians[c] if medians[c] is not None else 0.0 for c in columns}
+        long = long_form(frame, [], {c: F.col(c) for c in columns})
+        medians = {r["feature"]: r["mid"] for r in quantiles(long, ["feature"], "value", {"mid": 0.5}).collect()}
+        median = {c: medians.get(c, 0.0) for c in columns}
         own = cls(tuple(columns), logged, median, {}, {})
         stats = frame.agg(*(x for c in columns for x in (F.avg(own.filled(c)).alias(f"m_{c}"), F.stddev_pop(own.filled(c)).alias(f"s_{c}")))).first()
         return cls(tuple(columns), logged, median, {c: stats[f"m_{c}"] or 0.0 for c in columns}, {c: stats[f"s_{c}"] or 1.0 for c in columns})
@@ -175,10 +177,8 @@ def bootstrap(scored: DataFrame, label: str, scores: list[str], key: str, replic
     each = F.explode(F.array(*(F.struct(F.lit(s).alias("model"), F.col(s).alias("s")) for s in scores)))
     rows = scored.filter(F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("_y"), each.alias("x")).select(key, "_y", "x.*")
     rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("_w", poisson(F.xxhash64(key, "replicate", F.lit(seed)) if bits is None else bits))
-    sums = rows.groupBy("replicate", "model", "s").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_y")).alias("_pos")).filter("_n > 0")
-    down = Window.partitionBy("replicate", "model").orderBy(F.col("s").desc())
-    part = sums.withColumn("_part", F.col("_pos") * F.sum("_pos").over(down) / F.sum("_n").over(down))
-    found = part.groupBy("replicate", "model").agg(F.try_divide(F.sum("_part"), F.sum("_pos")).alias("ap"))
+    counts = metrics.score_counts(rows.filter("_w > 0"), "_y", "s", ["replicate", "model"], F.col("_w"))
+    found = counts.groupBy("replicate", "model").agg(metrics.average_precision().alias("ap"))
     return found.groupBy("replicate").pivot("model", scores).agg(F.first("ap"))
 
 

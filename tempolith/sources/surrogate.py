@@ -116,14 +116,15 @@ def relations(spark: SparkSession, sf_dir: str) -> Relations:
     return Relations(tickets, changelog(spark, sf_dir, tickets), comments(spark, sf_dir), text_stats(spark, sf_dir))
 
 
-def stage_map(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s.strip().lower(), g) for s, g in STAGES], "status_key string, stage string")
+def _values(spark: SparkSession, rows: tuple[tuple, ...], *names: str) -> DataFrame:
+    """A few literal rows, without a Python worker."""
+    structs = [F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names, strict=True))) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
 
 
-def priority_ranks(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p.lower(), r) for p, r in RANKS], "priority_key string, rank double")
+def stage_map(spark: SparkSession) -> DataFrame:
+    return _values(spark, tuple((s.strip().lower(), g) for s, g in STAGES), "status_key", "stage")
 
 
-def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as status changes of their users, with microseconds."""
-    return read(spark, sf_dir, "events")
+def priority_ranks(spark: SparkSession) -> DataFrame:
+    return _values(spark, tuple((p.lower(), r) for p, r in RANKS), "priority_key", "rank")

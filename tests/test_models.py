@@ -39,6 +39,26 @@ def test_models_learn_and_are_calibrated(frame, kind, params):
     assert models.average_precision_of(rows) > 1.2 * rows.agg(F.avg("is_late")).first()[0]
     low, high = rows.agg(F.min("calibrated"), F.max("calibrated")).first()
     assert 0 <= low < high <= 1
+    # an isotonic map: never falling along the score, and right on average
+    pairs = sorted((r["score"], r["calibrated"]) for r in rows.collect())
+    assert all(a[1] <= b[1] + 1e-12 for a, b in zip(pairs, pairs[1:], strict=False))
+    assert abs(np.mean([c for _, c in pairs]) - rows.agg(F.avg("is_late")).first()[0]) < 0.1
+
+
+@pytest.mark.parametrize(("kind", "params"), [("logistic", {"C": 0.3}), ("boosting", {"step": 0.1, "depth": 3, "rounds": 6})])
+def test_saved_models_score_alike(spark, frame, kind, params, tmp_path):
+    model = models.fit(kind, "creation", frame, params)
+    models.save(model, f"{tmp_path}/m")
+    again = models.load(spark, f"{tmp_path}/m")
+    one, two = ({r["issue_key"]: r["score"] for r in m.score(frame).collect()} for m in (model, again))
+    assert one == two and again.numbers == model.numbers
+    models.write_predictions(model.score(frame), f"{tmp_path}/p")
+    assert {r["issue_key"]: r["score"] for r in spark.read.parquet(f"{tmp_path}/p").collect()} == one
+
+
+def test_boosting_stops_early(frame):
+    trees = models.fit("boosting", "creation", frame.withColumn("link_count", F.lit(1)), {"step": 1.0, "depth": 2, "rounds": 30}).pipeline.stages[-1].getNumTrees
+    assert trees < 30
 
 
 def test_tuning_picks_the_best_mean(frame):
