@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to Python at once; with the byte bound of ``bounded_batches`` a worker holds little at a time.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 #: A key with more rows than this is hot: its rows stay where they are, and what they are joined with is broadcast.
@@ -72,7 +72,7 @@ def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, h
 def bounded_batches(spark: SparkSession) -> None:
     """Small Arrow batches, so that a worker's memory does not depend on how long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
