@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tempolith.llm.packing import pack, pack_documents
+from tempolith.llm.packing import OVERHEAD, pack, pack_documents
 
 
 def plain(lengths, capacities, overhead):
@@ -74,6 +74,21 @@ def test_bins_do_not_depend_on_the_split(spark):
     assert sum(bins.values()) < 1.03 * sum(n for _, n in rows)
 
 
+def test_one_group_equals_the_rules(spark):
+    """All of a table that fits one group, against the plain packing of its pieces."""
+    rng = random.Random(5)
+    lengths = {i: rng.choice([0, 1, 30, 700, 5000, 8192, 20_000, rng.randrange(3000)]) for i in range(120)}
+    found = pack_documents(spark.createDataFrame(list(lengths.items()), "doc_id long, n_tokens long")).collect()
+    pieces = [(min(8192, n - part * 8192), doc, part) for doc, n in lengths.items() for part in range(max(1, -(-n // 8192)))]
+    rest = sorted((p for p in pieces if p[0] < 8192), key=lambda p: (-p[0], p[1], p[2]))
+    expected = [(size, sorted((rest[i][1], rest[i][2]) for i in content)) for size, content in plain([p[0] for p in rest], (512, 1024, 2048, 4096, 8192), OVERHEAD)]
+    expected += [(8192, [p[1:]]) for p in pieces if p[0] == 8192]
+    bins = defaultdict(list)
+    for r in found:
+        bins[r["bin_id"], r["capacity"]].append((r["doc_id"], r["part"]))
+    assert sorted((size, sorted(content)) for (_, size), content in bins.items()) == sorted(expected)
+
+
 def test_odd_rows(spark):
     frame = spark.createDataFrame([(1, None), (None, 5), (2, -3), (3, 9), (3, 9)], "doc_id long, n_tokens long")
     verify(pack_documents(frame).collect(), {1: 0, None: 5, 2: 0, 3: 18}, (512, 1024, 2048, 4096, 8192))

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import math
+import os
 import zlib
 from collections import defaultdict
 from itertools import product
@@ -45,6 +47,40 @@ def test_law_holds_on_documents(spark):
     assert np.mean([len(v) for v in pairs.values()]) < 0.4 * len(set(where.values()))
 
 
+def plain_shards(rows, shards=24):
+    """The whole query over lists: quantile cells, places on the curve, one sort, one cut."""
+
+    def numbers(values):
+        known = sorted(v for v in values if v is not None)
+        if not known:
+            return [None] * len(values)
+        if isinstance(known[0], str):
+            raw = sorted(v.encode() for v in known)
+            shared = len(os.path.commonprefix([raw[0], raw[-1]]))
+            return [None if v is None else int.from_bytes((v.encode() + bytes(6) + bytes(shared))[shared : shared + 6]) for v in values]
+        return values
+
+    def cells(values):
+        known = sorted(v for v in values if v is not None)
+        edges = sorted({known[max(0, math.ceil(k / 64 * len(known)) - 1)] for k in range(1, 64)}) if known else []
+        return [0 if v is None else sum(v > e for e in edges) for v in values]
+
+    sizes = [len((t or "").encode()) + 8 for _, t, _, _ in rows]
+    points = np.array([cells(numbers(x)) for x in ([r[2] for r in rows], [r[3] for r in rows], sizes)])
+    index = hilbert_index(points)
+    order = sorted(range(len(rows)), key=lambda i: (index[i], zlib.crc32((rows[i][1] or "").encode()), rows[i][0]))
+    starts = [-(-shard * len(rows) // shards) for shard in range(shards)]
+    return sorted((rows[i][0], place * shards // len(rows), place - starts[place * shards // len(rows)]) for place, i in enumerate(order))
+
+
+def test_query_equals_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    odd = spark.createDataFrame([(5000, None, None, "src1"), (5001, "", "en", None), (5002, "é" * 40, "zz", "other")], docs.schema)
+    docs = docs.union(odd)
+    found = sorted((r["doc_id"], r["shard"], r["slot"]) for r in shard_documents(docs).collect())
+    assert found == plain_shards([tuple(r) for r in docs.collect()])
+
+
 def test_odd_tables(spark):
     rows = [(None, None, None, None), (1, "", "en", "s"), (1, "", "en", "s"), (2, "é" * 9, None, "s"), (3, "x" * 90_000, "en", None)] + [(5, "copy", "en", "s")] * 60
     frame = spark.createDataFrame([(*r, 0, "z") for r in rows], DOCS)
