@@ -42,6 +42,16 @@ def ranked(df: DataFrame, keys: list[str], t: str, order: list[Column], name: st
     return out.select("l.*", "r._before").withColumn(name, F.col("_before") + F.col("_within")).drop("_slice", "_before", "_within")
 
 
+def next_time(df: DataFrame, keys: list[str], t: str, order: list[Column], name: str, seconds: int = SLICE) -> DataFrame:
+    """Each row with the time of the next one of its key by (t, order); null for the last, and for rows without a time."""
+    cut = df.withColumn("_slice", _slice(F.col(t), seconds))
+    firsts = cut.dropna(subset=[t]).groupBy(*keys, "_slice").agg(F.min(t).alias("_first"))
+    later = firsts.withColumn("_later", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_slice"))).drop("_first")
+    within = F.when(F.col(t).isNotNull(), F.lead(t).over(Window.partitionBy(*keys, "_slice").orderBy(F.col(t), *order)))
+    out = cut.withColumn(name, within).alias("l").join(later.alias("r"), _null_safe([*keys, "_slice"], "l", "r"), "left")
+    return out.select("l.*", "r._later").withColumn(name, F.coalesce(name, "_later")).drop("_slice", "_later")
+
+
 def running_sum(deltas: DataFrame, keys: list[str], t: str, delta: str, name: str, seconds: int = SLICE) -> DataFrame:
     """(keys, t, name): after each moment, the sum of the deltas up to and with it. Deltas of one moment are added first."""
     moments = deltas.groupBy(*keys, t).agg(F.sum(delta).alias("_d")).withColumn("_slice", _slice(F.col(t), seconds))

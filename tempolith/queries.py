@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import metrics
-from .functions.scalar import poisson_steps
-from .operators.ordered import asof_join, first_by, quantiles
-from .operators.spans import build_spans
+from .functions.scalar import poisson_steps, seconds_between
+from .operators.ordered import asof_join, next_time, quantiles
 from .oracles import _list, _pct, with_tables
 from .plans import analysis, checks, features, labels, load, model_frames, models, reports, scope, stages
 from .sources import documents, surrogate, tables
@@ -166,13 +165,11 @@ _EVENT_STAGE = "CASE event_type WHEN 'view' THEN 'Building' WHEN 'click' THEN 'I
 @_query(f"""SELECT user_id, stage, count(*) AS spans, sum(seconds)::BIGINT AS seconds FROM (
     SELECT user_id, {_EVENT_STAGE} AS stage, date_diff('second', ts, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), TIMESTAMP '2024-02-01')) AS seconds FROM events) GROUP BY ALL""")
 def user_stage_seconds(x: Layers) -> DataFrame:
-    """The span builder over events, whose times have microseconds; boundaries of seconds are counted."""
-    events = x.table("events").withColumn("stage", F.expr(_EVENT_STAGE))
-    changes = first_by(events, ["user_id"], [F.col("ts"), F.col("event_id")], "seq").withColumn("old", F.lit(None).cast("string"))
-    first = changes.filter("seq = 1").select("user_id", "stage", F.col("ts").alias("start_at"))
-    spans = build_spans(first, changes.filter("seq > 1").select("user_id", "ts", "old", "stage", "seq"), "user_id", "stage", "old", "stage", "ts", F.lit("2024-02-01").cast("timestamp_ntz"))
-    seconds = F.unix_timestamp("end_at") - F.unix_timestamp("start_at")
-    return spans.groupBy("user_id", "stage").agg(F.count("*").alias("spans"), F.sum(seconds).alias("seconds"))
+    """Events as stages that last until the user's next one; boundaries of seconds are counted. A user may have any share of the events."""
+    events = x.table("events").select("user_id", "ts", "event_id", F.expr(_EVENT_STAGE).alias("stage"))
+    spans = next_time(events, ["user_id"], "ts", [F.col("event_id")], "end_at", 5 * 86_400)
+    end = F.coalesce("end_at", F.lit("2024-02-01").cast("timestamp_ntz"))
+    return spans.groupBy("user_id", "stage").agg(F.count("*").alias("spans"), F.sum(seconds_between(F.col("ts"), end)).alias("seconds"))
 
 
 _STAGE_DAYS = ("waiting_days", "building_days", "in_review_days", "resolved_gap_days")

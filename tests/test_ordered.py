@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tempolith.functions import metrics
-from tempolith.operators.ordered import asof_join, asof_join_simple, quantiles, ranked, running_sum, trailing
+from tempolith.operators.ordered import asof_join, asof_join_simple, next_time, quantiles, ranked, running_sum, trailing
 
 T0 = datetime(2020, 1, 1)
 HOUR = 3600
@@ -35,6 +35,16 @@ def test_asof(spark, strict, join):
         assert (r["hit"], r["n"], r["v"]) == ((True, best[0], best[3]) if best else (False, None, None))
 
 
+def test_next_time(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "b", None]), t) for i, t in enumerate(moments(rng, 300))]
+    frame = spark.createDataFrame(rows, "i int, k string, t timestamp_ntz")
+    found = {r["i"]: r["next"] for r in next_time(frame, ["k"], "t", [F.col("i")], "next", 5 * HOUR).collect()}
+    for i, k, t in rows:
+        later = min(((u, j) for j, m, u in rows if m == k and t and u and (u, j) > (t, i)), default=(None, None))
+        assert found[i] == later[0]
+
+
 def test_ranked_and_running(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["a", None]), T0 + timedelta(hours=rng.randrange(300)), rng.choice([1, -1])) for i in range(500)]
