@@ -3,7 +3,7 @@ from __future__ import annotations
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
-from tempolith.llm import classifier, language, unigram
+from tempolith.llm import classifier, language, pipeline, unigram
 
 from .test_packing import verify
 from .test_near_copies import plain
@@ -18,7 +18,7 @@ def test_stages_equal_plain_versions(spark):
     # language ID
     langs, model = language.learn(docs.filter(~language.held_out()))
     rows = docs.collect()
-    kept = corpus_pipeline.language_id(spark, docs, SF)
+    kept = pipeline.language_id(spark, docs, SF)
     assert kept.columns == table.columns
     explained = [r for r in rows if language.verdict(None if r["text"] is None else r["text"].encode(), langs, model)[3]]
     assert sorted(map(str, kept.collect())) == sorted(map(str, explained))
@@ -26,7 +26,7 @@ def test_stages_equal_plain_versions(spark):
     # quality classifier
     docs, rows = kept, explained
     trained = classifier.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    kept = corpus_pipeline.quality_classifier(spark, docs, SF)
+    kept = pipeline.quality_classifier(spark, docs, SF)
     score = lambda r: trained.score(classifier.text_view(r["text"].encode())[None], classifier.meta_view(r["lang"], r["source"], r["n_chars"])[None])[0]
     good = [r for r in rows if score(r) >= classifier.KEEP]
     assert kept.columns == table.columns and sorted(map(str, kept.collect())) == sorted(map(str, good))
@@ -35,14 +35,14 @@ def test_stages_equal_plain_versions(spark):
     assert np.mean([i in stays for i, q in truth.items() if q == 1]) > 0.99
     # near-duplicates
     docs = spark.createDataFrame(good + good[:3], table.schema)
-    kept = corpus_pipeline.simhash_near_dedup(spark, docs, SF)
+    kept = pipeline.simhash_near_dedup(spark, docs, SF)
     first = {i for i, root in plain([(r["doc_id"], r["text"]) for r in good if r["doc_id"] is not None]).items() if i == root}
     assert kept.columns == table.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(first)
     # packing
     rows = kept.collect()
     counter = unigram.load(public_tokenizers.path("piece_bpe_32k.model"))
-    packed = corpus_pipeline.best_fit_packing(spark, kept, SF).collect()
+    packed = pipeline.best_fit_packing(spark, kept, SF).collect()
     verify(packed, {r["doc_id"]: counter.text(r["text"])[1] for r in rows}, (512, 1024, 2048, 4096, 8192))
 
 
