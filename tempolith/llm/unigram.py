@@ -17,7 +17,7 @@ MARK = "▁"
 #: An unknown character scores so much less than the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Words whose results a worker keeps, and as many older ones.
-CACHE_WORDS = 120_000
+CACHE_WORDS = 200_000
 
 
 class Counter:
