@@ -11,6 +11,7 @@ from .bpe import round_trip
 from .classifier import classify
 from .embeddings import near_vectors
 from .filter_audit import audit
+from .fingerprints import edit_digests
 from .language import identify
 from .licenses import digest, scan
 from .packing import pack_documents
@@ -61,6 +62,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(op6_token_counts(spark, sf_dir))
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -84,7 +89,7 @@ OP13_SQL = r"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_language, op3_quality_rules, op4_embeddings, op5_licenses, op6_token_counts, op7_classifier, op8_bpe, op9_sharding, op10_packing, op13_filter_audit)
+    found = (op1_simhash, op2_language, op3_quality_rules, op4_embeddings, op5_licenses, op6_token_counts, op7_classifier, op8_bpe, op9_sharding, op10_packing, op12_fingerprints, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
