@@ -18,6 +18,8 @@ MIN_WORDS, MIN_DISTINCT_PCT, MAX_CAPITALS_PCT = 100, 80, 10
 REPEATED = 1 << FILTERS.index("E")
 #: Bytes of distinct texts that a task gathers before it sends their chains on; whatever the limit, the results are the same.
 CHAIN_BYTES = 32 << 20
+#: Bytes of texts, copies included, for which there is one partition of fingerprints.
+ROUTED_BYTES = 64 << 20
 
 _CAPITALS = bytes(range(ord("A"), ord("Z") + 1))
 _SIGNS = b"#$%&*|"
@@ -122,8 +124,11 @@ def masks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_
     are then routed by fingerprint, and equal fingerprints are told apart by the whole text. A lost executor costs its
     tasks alone: nothing is kept outside the shuffle.
     """
-    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.col(part_col).cast("string")).rdd
-    routed = rows.mapPartitions(_gathered(chain_bytes)).partitionBy(2 * rows.getNumPartitions(), lambda key: key)
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.col(part_col).cast("string"))
+    # partitions by what the texts hold, not by how well their files are compressed
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    spread = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // ROUTED_BYTES))
+    routed = rows.rdd.mapPartitions(_gathered(chain_bytes)).partitionBy(spread, lambda key: key)
     return routed.mapPartitions(_resolved, preservesPartitioning=False)
 
 

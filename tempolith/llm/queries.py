@@ -16,6 +16,7 @@ from .language import identify
 from .licenses import digest, scan
 from .packing import pack_documents
 from .quality_rules import judge
+from .search import search
 from .sharding import shard_documents
 from .simhash import simhash_components
 from .unigram import token_counts
@@ -62,6 +63,25 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(op6_token_counts(spark, sf_dir))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: The formula on all pairs of a document and an item that share a term.
+OP11_SQL = r"""
+    WITH said AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM said GROUP BY ALL),
+    sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+    whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+    held AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, whole GROUP BY term, docs),
+    norms AS (SELECT doc_id, 100 - 25 + (25 * n * docs) // terms AS m FROM sizes, whole),
+    asked AS (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+    wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL),
+    scores AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM wanted JOIN tf USING (term) JOIN held USING (term) JOIN norms USING (doc_id) GROUP BY ALL),
+    ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM scores WHERE score > 0)
+    SELECT * FROM ranked WHERE rank <= 20"""
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -89,9 +109,9 @@ OP13_SQL = r"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash, op2_language, op3_quality_rules, op4_embeddings, op5_licenses, op6_token_counts, op7_classifier, op8_bpe, op9_sharding, op10_packing, op12_fingerprints, op13_filter_audit)
+    found = (op1_simhash, op2_language, op3_quality_rules, op4_embeddings, op5_licenses, op6_token_counts, op7_classifier, op8_bpe, op9_sharding, op10_packing, op11_search, op12_fingerprints, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op13_filter_audit": OP13_SQL}
+    return {"op11_search": OP11_SQL, "op13_filter_audit": OP13_SQL}
