@@ -53,16 +53,19 @@ def _number(df: DataFrame, name: str, ends: dict) -> F.Column:
 
 
 def _cells(df: DataFrame, dims: list[str], bits: int) -> DataFrame:
-    """Cells of each dimension, cut at quantiles of all rows; null is the lowest cell."""
+    """Cells of each dimension, cut at quantiles of all rows and spread over the whole range, so a dimension of few values
+    parts the curve as early as one of many; null is the lowest cell."""
     ends = df.agg(*(f(n).alias(f"{end}_{n}") for n in dims for f, end in ((F.min, "low"), (F.max, "high")))).first().asDict()
     for n in dims:
         df = df.withColumn(f"_v_{n}", _number(df, n, ends))
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = df.agg(*(F.percentile_approx(f"_v_{n}", shares, 10_000).alias(n) for n in dims)).first().asDict()
+    most = {f"most {n}": F.max(f"_v_{n}") for n in dims}
+    cuts = df.agg(*(F.percentile_approx(f"_v_{n}", shares, 10_000).alias(n) for n in dims), *(m.alias(k) for k, m in most.items())).first().asDict()
     for n in dims:
-        value, edges = F.col(f"_v_{n}"), sorted(set(cuts[n] or []))
+        value, edges = F.col(f"_v_{n}"), sorted({e for e in cuts[n] or [] if e < cuts[f'most {n}']})  # none lies above the greatest
         below = sum((F.when(value > e, 1).otherwise(0) for e in edges), F.lit(0))
-        df = df.withColumn(f"_c_{n}", F.when(F.col(f"_v_{n}").isNull(), 0).otherwise(below).cast("int")).drop(f"_v_{n}")
+        spread = F.expr(f"(_below << {bits}) div {len(edges) + 1}")
+        df = df.withColumn("_below", F.when(value.isNull(), 0).otherwise(below)).withColumn(f"_c_{n}", spread.cast("int")).drop(f"_v_{n}", "_below")
     return df
 
 
@@ -98,7 +101,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every document, by language, source and size.
 
     ``size`` is the text's UTF-8 bytes (null: none) plus 8; a null text has the checksum of an empty one. Equal texts of
-    a language and source lie side by side. The law is ``rows``; a larger number of shards cuts anew, so grown_shard is
+    a language and source lie side by side, unless a cut falls between them. The law is ``rows``; a larger number of shards cuts anew, so grown_shard is
     null. Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))

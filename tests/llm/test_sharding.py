@@ -45,6 +45,8 @@ def test_law_holds_on_documents(spark):
     for r in rows:
         pairs[r["shard"]].add(where[r["doc_id"]])
     assert np.mean([len(v) for v in pairs.values()]) < 0.4 * len(set(where.values()))
+    assert np.mean([len({lang for lang, _ in v}) for v in pairs.values()]) <= 2
+    assert np.mean([len({source for _, source in v}) for v in pairs.values()]) <= 8
 
 
 def plain_shards(rows, shards=24):
@@ -62,8 +64,8 @@ def plain_shards(rows, shards=24):
 
     def cells(values):
         known = sorted(v for v in values if v is not None)
-        edges = sorted({known[max(0, math.ceil(k / 64 * len(known)) - 1)] for k in range(1, 64)}) if known else []
-        return [0 if v is None else sum(v > e for e in edges) for v in values]
+        edges = sorted({known[max(0, math.ceil(k / 64 * len(known)) - 1)] for k in range(1, 64)} - {known[-1]}) if known else []
+        return [0 if v is None else sum(v > e for e in edges) * 64 // (len(edges) + 1) for v in values]
 
     sizes = [len((t or "").encode()) + 8 for _, t, _, _ in rows]
     points = np.array([cells(numbers(x)) for x in ([r[2] for r in rows], [r[3] for r in rows], sizes)])
