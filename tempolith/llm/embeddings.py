@@ -38,6 +38,11 @@ def _planes(dim: int, count: int) -> np.ndarray:
     return np.random.default_rng([SEED, dim]).normal(size=(count, dim)).T.copy()
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector (row) times a power of two, so that its largest component lies in [0.5, 1); no cosine changes, no product leaves the range."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def signatures(vectors: np.ndarray, tables: int, bits: int) -> np.ndarray:
     """One key for each vector (row) and table (column)."""
     signs = (vectors @ _planes(vectors.shape[1], tables * bits) > 0).reshape(len(vectors), tables, bits)
@@ -53,7 +58,7 @@ def _signed(tables: int, bits: int):
             flat, offset = values.flatten().to_numpy(), np.concatenate([[0], np.cumsum(dims)])
             for dim in np.unique(dims):
                 rows = np.flatnonzero(dims == dim)
-                keys[rows] = signatures(flat[offset[rows][:, None] + np.arange(dim)].astype(float), tables, bits)
+                keys[rows] = signatures(scaled(flat[offset[rows][:, None] + np.arange(dim)].astype(float)), tables, bits)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(dims) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("space"), lists], names=["node", "space", "keys"])
 
@@ -92,7 +97,7 @@ def _verified(threshold: float, tables: int, bits: int):
 
     def bucket(at: tuple, held: list[tuple]) -> pa.RecordBatch:
         node, weight, own = (np.array([h[k] for h in held], np.int64) for k in (0, 1, 2))
-        vectors = np.array([h[3] for h in held], float)
+        vectors = scaled(np.array([h[3] for h in held], float))
         keys = lru_cache(lambda: signatures(vectors, tables, bits))
         linked, u, v = verify(vectors, keys, weight, own if at[1] != at[2] else None, at[-1], threshold)
         some = np.flatnonzero(linked)

@@ -55,6 +55,12 @@ def test_odd_vectors(spark):
     assert sorted(map(tuple, near_vectors(docs).collect())) == plain(rows)
 
 
+def test_vectors_of_extreme_sizes(spark):
+    rows = [(1, [1e-200, 0.0, 0.0]), (2, [0.0, 1e-200, 0.0]), (3, [0.0, 0.0, 1.0]), (4, [1e200, 0.0, 0.0]), (5, [0.0, 1e308, 1e300]), (6, [5e-324, 0.0, 0.0]), (7, [-1e-200, 0.0, 0.0])]
+    found = near_vectors(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 2, 1), (2, 1, 2), (3, 0, 3), (4, 2, 1), (5, 1, 2), (6, 2, 1), (7, 0, 7)]
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, [1.0, 0.5], 1), (1, [1.0, 0.5], 1), (None, [1.0, 0.5], 1)]
     found = near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()
