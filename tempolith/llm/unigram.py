@@ -18,6 +18,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words whose results a worker keeps, and as many older ones.
 CACHE_WORDS = 200_000
+#: Characters of a text that are cut into words at once, and of a word whose places are all kept while it is segmented.
+PIECE, WHOLE_WORD = 1 << 20, 1 << 14
 
 
 class Counter:
@@ -35,6 +37,7 @@ class Counter:
             if piece:
                 self.matches.add_word(piece, (len(piece), score))
         self.matches.make_automaton()
+        self.longest = max((len(piece) for piece, _ in pieces), default=1)
         self.unknown: float = min(score for _, score in pieces) - UNKNOWN_PENALTY
         names = {piece for piece, _ in pieces}
         self.bytes = all(f"<0x{b:02X}>" in names for b in range(256))
@@ -48,6 +51,8 @@ class Counter:
 
     def word(self, word: str) -> tuple[float, int]:
         """(score, pieces) of one word, mark included."""
+        if len(word) > WHOLE_WORD:
+            return self._long(word)
         best, count, unknown = [0.0], [0], set()  # unknown: places after an unknown character
         at, top, n, single, nothing = 0, float("-inf"), 0, False, float("-inf")
         for end, (length, score) in self.matches.iter(word):
@@ -75,6 +80,34 @@ class Counter:
             self._unknown(word, at, nothing, 0, best, count, unknown)
         return best[-1], count[-1]
 
+    def _long(self, word: str) -> tuple[float, int]:
+        """As ``word``; only the places that a piece may still begin at are held, in a ring."""
+        size = self.longest + 1
+        best, count, unknown = [float("-inf")] * size, [0] * size, [False] * size
+        best[0], settled = 0.0, 0
+        top, n, single = float("-inf"), 0, False
+
+        def settle(upto: int) -> None:
+            """Settle the places after the characters from the last settled one up to ``upto``; a match ends at the first alone."""
+            nonlocal settled, top, n, single
+            while settled < upto:
+                here, after = settled % size, (settled + 1) % size
+                unknown[after] = False
+                if not single and self.unknown + best[here] > top:
+                    top, n = self.unknown + best[here], count[here] + (len(word[settled].encode()) if self.bytes else not unknown[here])
+                    unknown[after] = True
+                best[after], count[after] = top, n
+                settled, top, n, single = settled + 1, float("-inf"), 0, False
+
+        for end, (length, score) in self.matches.iter(word):
+            settle(end)
+            start = (end + 1 - length) % size
+            if score + best[start] > top:
+                top, n = score + best[start], count[start] + 1
+            single = single or length == 1
+        settle(len(word))
+        return best[settled % size], count[settled % size]
+
     def _unknown(self, word: str, at: int, top: float, n: int, best: list[float], count: list[int], unknown: set[int]) -> None:
         """Settle the place after the character ``at``, which is no piece: it may be unknown, or end a longer piece (top, n)."""
         if self.unknown + best[at] > top:
@@ -98,8 +131,17 @@ class Counter:
             marked = MARK + marked
         if self.by_line:
             marked = marked.replace("\n", MARK + "\n")
-        parts = marked[1:].split(MARK)
-        # scores add up as real parts, pieces as imaginary ones
+        marked = marked[1:]
+        total, at = 0j, 0
+        while at <= len(marked):
+            end = marked.find(MARK, at + PIECE) if len(marked) - at > PIECE else -1
+            end = len(marked) if end < 0 else end
+            total = self._sum(marked[at:end].split(MARK), total)
+            at = end + 1
+        return total.real, int(total.imag)
+
+    def _sum(self, parts: list[str], total: complex) -> complex:
+        """The results of parts added to ``total``: scores add up as real parts, pieces as imaginary ones."""
         found, at = [*map(self.cache.get, parts), None], -1
         while (at := found.index(None, at + 1)) < len(parts):
             part = parts[at]
@@ -109,8 +151,7 @@ class Counter:
                     self.cache, self.older = {}, self.cache
                 self.cache[part] = known
             found[at] = known
-        total = sum(found[:-1])
-        return total.real, int(total.imag)
+        return sum(found[:-1], total)
 
 
 @lru_cache(maxsize=2)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers as P
 import pytest
@@ -134,6 +135,33 @@ def test_ties_and_unknowns():
             assert counter.text(text)[1] == len(library.encode(text).ids), (pieces, text)
 
 
+def test_long_words_equal_short_ones(monkeypatch):
+    """Words whose places go round a ring, and texts cut into pieces, against the same without either."""
+    rng = random.Random(12)
+    counters = [unigram.load(MODEL)]
+    for _ in range(12):
+        names = {"<unk>"} | {"".join(rng.choice("ab▁") for _ in range(rng.randrange(1, 5))) for _ in range(8)}
+        counters.append(unigram.Counter([("<unk>", 0.0)] + [(n, -rng.choice([0.0, 1.0, 2.0, 0.3])) for n in sorted(names - {"<unk>"})]))
+    samples = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 200))) for alphabet in ("aabbc", "ab c", "the and é日\n▁ ") for _ in range(25)]
+    expected = [[c.text(t) for t in samples] for c in counters]
+    for c in counters:
+        c.cache.clear()
+        c.older.clear()
+    monkeypatch.setattr(unigram, "WHOLE_WORD", 1)
+    monkeypatch.setattr(unigram, "PIECE", 7)
+    assert [[c.text(t) for t in samples] for c in counters] == expected
+
+
+def test_a_very_long_word_takes_little_memory():
+    counter = unigram.load(MODEL)
+    text = "abcdefghij" * 300_000
+    tracemalloc.start()
+    counted = counter.text(text)[1]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * len(text) and abs(counted - 10 * counter.text(text[: len(text) // 10])[1]) < 20
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.round_trip(none, RANKS, P.PATTERN).collect() == [] and unigram.token_counts(none, MODEL).collect() == []
