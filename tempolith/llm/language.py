@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from .store import bounded_batches, hash_limit, keep_rows, text_bytes
 
-#: N-grams are UTF-8 byte trigrams hashed into so many buckets.
-BUCKETS = 1 << 16
+#: N-grams are UTF-8 byte trigrams hashed into so many buckets, or fewer (halved, until the numbers of all languages are
+#: at most MODEL_CELLS), so every language is learned and a model takes up to 64 MB. Under LEAST_BUCKETS there is no model.
+BUCKETS, LEAST_BUCKETS, MODEL_CELLS = 1 << 16, 1 << 8, 1 << 24
 #: Documents of each language that the model is learned from, about, at most (a hash of the id chooses them).
 SAMPLE_PER_LANG = 4000
-#: Languages that are learned, at most: those of most documents. The model then takes up to 64 MB.
-MAX_LANGS = 256
 #: Added to every bucket's count.
 SMOOTHING = 0.5
 #: Neighbouring trigrams share bytes, so a likelihood counts a third; a language more must gain so many times log(n) / 2.
@@ -29,14 +28,23 @@ PIECE = 1 << 20
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
-def ngram_counts(text: bytes) -> np.ndarray:
-    """How often each bucket's trigrams occur in the text's words."""
+def buckets_for(langs: int, cells: int = MODEL_CELLS) -> int:
+    """Buckets of a model of so many languages."""
+    most = cells // max(1, langs)
+    if most < LEAST_BUCKETS:
+        raise ValueError(f"{langs} values of the language column: it can't hold languages")
+    return min(BUCKETS, 1 << (most.bit_length() - 1))
+
+
+def ngram_counts(text: bytes, buckets: int = BUCKETS) -> np.ndarray:
+    """How often each bucket's trigrams occur in the text's words; ``buckets`` is a power of two."""
+    shift = np.uint32(33 - buckets.bit_length())
     squeezed = b" " + b" ".join(text.translate(_LETTERS).split()) + b" "
-    count = np.zeros(BUCKETS, np.int64)
+    count = np.zeros(buckets, np.int64)
     for at in range(0, len(squeezed), PIECE):
         codes = np.frombuffer(squeezed[at : at + PIECE + 2], np.uint8).astype(np.uint32)
         mixed = (codes[:-2] * np.uint32(0x9E3779B1)) ^ (codes[1:-1] * np.uint32(0x85EBCA77)) ^ (codes[2:] * np.uint32(0xC2B2AE3D))
-        count += np.bincount(mixed >> np.uint32(16), minlength=BUCKETS)
+        count += np.bincount(mixed >> shift, minlength=buckets)
     return count
 
 
@@ -62,7 +70,7 @@ def infer(text: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, float
 
     EM over all languages ranks them; the set grows along that ranking as long as the penalised likelihood does.
     """
-    counts = ngram_counts(text)
+    counts = ngram_counts(text, table.shape[1])
     some = np.flatnonzero(counts)
     count, likelihood = counts[some].astype(float), table[:, some].astype(float)
     total = int(counts.sum())
@@ -78,21 +86,21 @@ def infer(text: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, float
     return *best, total, among_all
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, max_langs: int = MAX_LANGS) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_lang: int = SAMPLE_PER_LANG, cells: int = MODEL_CELLS) -> tuple[list[str], np.ndarray]:
     """The languages of the rows and their n-gram probabilities, from at most about ``sample_per_lang`` documents of each.
 
-    Rows with a null text, language or id teach nothing. Where ``lang`` has more than ``max_langs`` values, those of most
-    documents are learned. The model has one row of ``BUCKETS`` numbers for each language.
+    Rows with a null text, language or id teach nothing. The model has one row of ``buckets_for`` numbers for each
+    language; none is left out.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    sizes = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().limit(cells // LEAST_BUCKETS + 1).collect()}
     if not sizes:
         return [], np.empty((0, BUCKETS), np.float32)
-    langs = sorted(sizes)
+    langs, buckets = sorted(sizes), buckets_for(len(sizes), cells)
     place = {lang: i for i, lang in enumerate(langs)}
-    # at most max_langs rows
+    # at most MODEL_CELLS // LEAST_BUCKETS rows
     limits = spark.createDataFrame([(lang, hash_limit(n, sample_per_lang)) for lang, n in sizes.items()], "lang string, most long")
     chosen = docs.join(F.broadcast(limits), "lang").filter(F.xxhash64("id") <= F.col("most")).select("text", "lang")
 
@@ -100,13 +108,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                sums[lang] = sums.get(lang, 0) + ngram_counts(text)
+                sums[lang] = sums.get(lang, 0) + ngram_counts(text, buckets)
         for lang, n in sums.items():
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), place[lang], np.int32)), pa.array(some.astype(np.int32)), pa.array(n[some].astype(np.int64))], names=["lang", "bucket", "n"])
 
     rows = chosen.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((len(langs), BUCKETS), SMOOTHING)
+    table = np.full((len(langs), buckets), SMOOTHING)
     table[rows["lang"].to_numpy(), rows["bucket"].to_numpy()] += rows["n"].to_numpy()
     return langs, (table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
@@ -120,7 +128,7 @@ def verdict(text: bytes | None, langs: list[str], table: np.ndarray) -> tuple[st
     names = [langs[chosen[i]] for i in rank]
     told = total / 3  # trigrams that tell something of their own
     score = (told * among_all[chosen[rank[0]]] + 1) / (told + len(langs))
-    return names[0], min(1.0, float(score)), ",".join(names), fit > -total * np.log(BUCKETS)
+    return names[0], min(1.0, float(score)), ",".join(names), fit > -total * np.log(table.shape[1])
 
 
 def predict(docs: DataFrame, langs: list[str], table: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from tempolith.llm import language
 from tempolith.llm.store import hash_limit
 
@@ -49,10 +50,19 @@ def test_sampling_rates_never_reach_zero():
         assert 0.99 * min(n, 4000) <= expected <= 1.01 * min(n, 4000)
 
 
-def test_languages_of_most_documents_are_learned(spark):
-    rows = [(i, f"words of {i % 5}", f"x{i % 5}") for i in range(50)] + [(100 + i, "rare words", f"rare{i}") for i in range(9)]
-    langs, table = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_langs=5)
-    assert langs == [f"x{i}" for i in range(5)] and table.shape == (5, language.BUCKETS)
+def test_every_language_is_learned(spark):
+    rows = [(i, f"words of {i % 5} and more", f"x{i % 5}") for i in range(50)] + [(100 + i, f"{chr(97 + i) * 3}ing rare{chr(97 + i)}", f"rare{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, table = language.learn(docs)
+    assert len(langs) == 14 and table.shape == (14, language.BUCKETS)
+    # a smaller model has coarser buckets, not fewer languages
+    langs, table = language.learn(docs, cells=14 * 1500)
+    assert len(langs) == 14 and table.shape == (14, 1024)
+    found = {r["id"]: r["lang_pred"] for r in language.predict(docs, langs, table).collect()}
+    assert all(found[100 + i] == f"rare{i}" for i in range(9))
+    with pytest.raises(ValueError):
+        language.learn(docs, cells=14 * 200)
+    assert language.buckets_for(256) == language.BUCKETS and language.buckets_for(257) == language.BUCKETS // 2 and language.buckets_for(1) == language.BUCKETS
 
 
 def plain_infer(text, table):
