@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 from typing import ClassVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,23 +24,44 @@ _SQL: dict[str, str] = {}
 
 
 class Layers:
-    """The layers over one folder, each planned once."""
+    """The layers over one folder, each planned once. Whoever makes one closes it when its rows are read."""
 
-    _known: ClassVar[dict[tuple, Layers]] = {}
+    #: Of each session, those that queries share which were given none; they close at the end of the process at the latest.
+    _shared: ClassVar[WeakKeyDictionary[SparkSession, dict[tuple, Layers]]] = WeakKeyDictionary()
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
         self.settled: list[DataFrame] = []
 
+    def __enter__(self) -> Layers:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete what was written for these layers."""
+        while self.settled:
+            tables.discard(self.settled.pop())
+        for name in [n for n in vars(self) if n not in ("spark", "sf_dir", "settled")]:
+            delattr(self, name)
+
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Layers:
         """The layers of these files in this session; what was written for one query serves the others, while it is there."""
-        key = spark.sparkContext.applicationId, id(spark), tables.stamp(spark, [f"{sf_dir}/{t}.parquet" for t in surrogate.TABLES])
-        found = cls._known.get(key)
+        shared = cls._shared.setdefault(spark, {})
+        key = tables.stamp(spark, [f"{sf_dir}/{t}.parquet" for t in surrogate.TABLES])
+        found = shared.get(key)
         if found is None or not all(map(tables.present, found.settled)):
-            found = cls._known[key] = cls(spark, sf_dir)
+            found = shared[key] = cls(spark, sf_dir)
         return found
 
+    @classmethod
+    def close_shared(cls, spark: SparkSession) -> None:
+        """Close what the queries of a session share."""
+        for found in cls._shared.pop(spark, {}).values():
+            found.close()
+
     def _settle(self, df: DataFrame, name: str) -> DataFrame:
         self.settled.append(tables.settle(df, name))
         return self.settled[-1]
@@ -683,8 +705,9 @@ def stacked_counts(x: Layers) -> DataFrame:
     return per.withColumn("upto", F.sum("tickets").over(Window.partitionBy("project_key").orderBy("issue_type")))
 
 
-def queries() -> dict[str, Query]:
-    return {name: (lambda spark, sf_dir, f=f: f(Layers.of(spark, sf_dir))) for name, f in _SPARK.items()}
+def queries(layers: Layers | None = None) -> dict[str, Query]:
+    """All queries by name. They share layers, those given or else the session's; see ``Layers``."""
+    return {name: (lambda spark, sf_dir, f=f: f(layers or Layers.of(spark, sf_dir))) for name, f in _SPARK.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .relations import RAW_SCHEMAS
+from .versions import Version, current, publish
 
 _NAMED = "struct<name: string>"
 _PERSON = "struct<name: string, displayName: string>"
@@ -67,10 +65,9 @@ def flatten(documents: DataFrame) -> dict[str, DataFrame]:
     return {n: df.select(*(F.col(c.name).cast(c.dataType) for c in StructType.fromDDL(RAW_SCHEMAS[n]))) for n, df in out.items()}
 
 
-def write_raw(relations: dict[str, DataFrame], folder: str) -> None:
-    """The raw relations as zstd Parquet; each table appears whole or not at all."""
-    for name, df in relations.items():
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}.parquet")
+def write_raw(relations: dict[str, DataFrame], folder: str) -> Version:
+    """The raw relations as zstd Parquet: a new version of the set in ``folder``, which appears whole or not at all."""
+    return publish(relations, folder)
 
 
 def field_counts(changelog: DataFrame) -> DataFrame:
@@ -78,38 +75,51 @@ def field_counts(changelog: DataFrame) -> DataFrame:
     return changelog.groupBy("field").agg(F.count("*").alias("n"))
 
 
-def presence(issues: DataFrame) -> DataFrame:
-    """One row: how many tickets have a value in each column."""
-    return issues.agg(*(F.count(c).alias(c) for c in issues.columns))
+def presence(issues: DataFrame) -> dict[str, Column]:
+    """For each column, how many tickets have a value in it."""
+    return {c: F.count(c) for c in issues.columns}
+
+
+#: Unreadable lines that a manifest shows, and characters of each.
+SAMPLES, SAMPLE_CHARS = 5, 200
+
+
+def _sampled(line: Column, bad: Column) -> list[Column]:
+    """A few of the bad lines, whatever their number: for each residue of a hash the least."""
+    place = F.pmod(F.xxhash64(line), F.lit(SAMPLES))
+    return [F.min(F.when(bad & (place == k), F.substring(line, 1, SAMPLE_CHARS))).alias(f"bad_{k}") for k in range(SAMPLES)]
 
 
 def extract(spark: SparkSession, path: str, folder: str, limit: int | None = None, force: bool = False) -> dict:
     """Documents to raw tables, with a manifest of what was read; a folder whose manifest says complete is left as it is.
 
-    The manifest has the rows of each table, how many lines were no document, how many tickets have each column and how
-    often each field was changed. With ``limit`` only so many documents are read, as a probe, and it is not complete.
+    The manifest has the rows of each table, how many lines were no document and some of them, how many tickets have each
+    column, and of how many the history was cut and by how much. All of it is counted in the jobs that write the tables;
+    how often each field was changed is a table of its own, ``fields``, made from the written changes. With ``limit``
+    only so many documents are read, as a probe, and it is not complete.
     """
-    at = f"{folder}/manifest"
-    if not force:
-        try:
-            known = json.loads(spark.read.text(at).first()[0])
-        except AnalysisException:  # no manifest yet
-            known = {}
-        if known.get("complete"):
-            return known
-    docs = read_documents(spark, path)
-    docs = docs.limit(limit) if limit else docs
-    write_raw(flatten(docs), folder)
-    raw = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in RAW_SCHEMAS}
-    lines = docs.agg(F.count("*").alias("n"), F.count("document.key").alias("good")).first()
-    manifest = {
-        "complete": limit is None,
-        "documents": lines["n"],
-        "unreadable": lines["n"] - lines["good"],
-        "rows": {n: df.count() for n, df in raw.items()},
-        "presence": presence(raw["issues"]).first().asDict(),
-        # a tracker has some hundreds of fields; the thousand most changed are named
-        "fields": {r["field"]: r["n"] for r in field_counts(raw["changelog"]).orderBy(F.desc("n"), "field").limit(1000).collect()},
-    }
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(at)
-    return manifest
+    known = current(spark, folder)
+    if known is not None and known.facts.get("complete") and not force:
+        return known.facts
+    lines = spark.read.text(path).select(F.col("value").alias("json"))
+    lines = lines.limit(limit) if limit else lines
+    bad = F.col("document.key").isNull()
+    read = Observation("documents read")
+    whole = lines.withColumn("document", F.from_json("json", DOCUMENT)).observe(read, F.count("*").alias("documents"), F.count_if(bad).alias("unreadable"), *_sampled(F.col("json"), bad))
+    raw = flatten(parse_documents(lines)) | {"issues": flatten(whole)["issues"]}
+    cut = F.greatest(F.col("changelog_total") - F.col("changelog_loaded"), F.lit(0))
+    measures = {"issues": [*(n.alias(c) for c, n in presence(raw["issues"]).items()), F.count_if(cut > 0).alias("_cut"), F.coalesce(F.sum(cut), F.lit(0)).alias("_missing")]}
+
+    def facts(tables: dict[str, dict]) -> dict:
+        found = tables["issues"]["measures"]
+        return {
+            "complete": limit is None,
+            "documents": read.get["documents"],
+            "unreadable": read.get["unreadable"],
+            "samples": [line for k in range(SAMPLES) if (line := read.get[f"bad_{k}"]) is not None],
+            "rows": {name: t["rows"] for name, t in tables.items()},
+            "presence": {c: n for c, n in found.items() if not c.startswith("_")},
+            "truncated": {"tickets": found["_cut"], "changes": found["_missing"]},
+        }
+
+    return publish(raw | {"fields": lambda written: field_counts(written("changelog"))}, folder, measures, facts).facts

@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .versions import current
 
 #: Raw extraction, as fixed columns; dates are still text.
 RAW_SCHEMAS = {
@@ -77,16 +79,12 @@ class Relations:
 
 
 def read_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The four raw Parquet tables of an extraction; a missing one is named."""
-    out = {}
-    for name, schema in RAW_SCHEMAS.items():
-        try:
-            out[name] = spark.read.schema(schema).parquet(f"{folder}/{name}.parquet")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                raise FileNotFoundError(f"{folder}/{name}.parquet is missing: write it with tempolith.sources.documents.write_raw first") from e
-            raise
-    return out
+    """The four raw tables of the extraction published last in a folder; where there is none, that is said."""
+    found = current(spark, folder)
+    missing = [name for name in RAW_SCHEMAS if found is None or name not in found.tables]
+    if missing:
+        raise FileNotFoundError(f"{folder} has no {', '.join(missing)}: write them with tempolith.sources.documents.extract first")
+    return {name: found.read(spark, name).to(StructType.fromDDL(schema)) for name, schema in RAW_SCHEMAS.items()}
 
 
 def read_lookup(spark: SparkSession, path: str, name: str, value: str, kind: str = "string") -> DataFrame:
