@@ -2,52 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once; with the byte bound of ``bounded_batches`` a worker holds little at a time.
-BATCH_ROWS = 1000
-
-
-#: A key with more rows than this is hot: its rows stay where they are, and what they are joined with is broadcast.
-HOT_ROWS = 100_000
-
+from ..sources.tables import discard, settle
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; where the session names none, a temporary one, in local mode alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        if not hasattr(shared_folder, "own"):
-            shared_folder.own = tempfile.mkdtemp(prefix="tempolith-")
-        named = shared_folder.own
-    return named.rstrip("/")
+__all__ = ["bounded_batches", "discard", "hash_limit", "join_counted", "keep_rows", "settle", "text_bytes"]
 
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back, which cuts its lineage.
-
-    The table survives the loss of executors. It is left in place: rows returned to a caller may still be read from it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tempolith-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows handed to Python at once; with the byte bound of ``bounded_batches`` a worker holds little at a time.
+BATCH_ROWS = 1000
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``settle`` that no later step reads."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(hadoop).delete(path, True)
+#: A key with more rows than this is hot: its rows stay where they are, and what they are joined with is broadcast, up to
+#: so many hot keys. Of more of them each is dealt to SALTS tasks.
+HOT_ROWS, HOT_KEYS, SALTS = 100_000, 50_000, 64
 
 
 def hash_limit(n: int, most: int) -> int:
@@ -55,16 +26,23 @@ def hash_limit(n: int, most: int) -> int:
     return min((1 << 63) - 1, -(1 << 63) + (most << 64) // max(1, n))
 
 
-def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def join_counted(rows: DataFrame, keyed: DataFrame, on: list[str], count: str, hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, which has each key once and, in ``count``, the number of ``rows`` that have it.
 
-    Keys of more than ``hot_rows`` rows, of which there are at most the number of rows over ``hot_rows``, are broadcast, so
-    no task gathers the rows of one key; the others are shuffled. No key is null.
+    Keys of more than ``hot_rows`` rows, up to ``hot_keys`` of them, are broadcast; if there are more, each meets its rows
+    in SALTS tasks. So no task gathers the rows of one key. The others are shuffled. No key is null.
     """
     hot = keyed.filter(F.col(count) > hot_rows).drop(count)
-    if not hot.limit(1).count():
+    n = hot.limit(hot_keys + 1).count()
+    if not n:
         return rows.join(keyed.drop(count), on)
     usual = keyed.filter(F.col(count) <= hot_rows).drop(count)
+    if n > hot_keys:
+        dealt = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+        copies = hot.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("_hot", F.lit(True))
+        found = dealt.join(copies, [*on, "_salt"], "left")
+        rest = found.filter("_hot is null").select(rows.columns)
+        return found.filter("_hot").drop("_salt", "_hot").unionByName(rest.join(usual, on))
     rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti")
     return rows.join(F.broadcast(hot), on).unionByName(rest.join(usual, on))
 
