@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import at, days_between, key_of
-from ..operators.ordered import asof_join, asof_join_simple, first_by, ranked, running_sum, trailing
+from ..operators.ordered import Source, asof_join, asof_join_simple, asof_joins, first_by, ranked, running_sum, trailing_medians
 from ..operators.spans import build_spans, change_order, first_change_after, net_after
 from ..params import Params
 from ..sources.relations import Relations
@@ -86,8 +86,7 @@ def reporter_prior(issues: DataFrame, p: Params) -> DataFrame:
 def trailing_stats(labels: DataFrame, keys: list[str], p: Params) -> DataFrame:
     """(keys, resolution_date, issue_key, n, median_lead_days, late_rate) over the last delivered tickets of a group."""
     rows = labels.filter("label_status = 'labelled'").select(*keys, "resolution_date", "issue_key", "lead_days", F.col("is_late_delivered_only").cast("int").alias("_late"))
-    stats = lambda w: {"n": F.count("*").over(w), "median_lead_days": F.percentile("lead_days", 0.5).over(w), "late_rate": F.avg("_late").over(w)}
-    return trailing(rows, keys, "resolution_date", [F.col("issue_key")], p.peer_window, stats, p.slice_seconds).drop("lead_days", "_late")
+    return trailing_medians(rows, keys, "resolution_date", [F.col("issue_key")], p.peer_window, {"median_lead_days": "lead_days"}, {"late_rate": "_late"}, p.slice_seconds).drop("lead_days", "_late")
 
 
 def activity_until(pts: DataFrame, tickets: DataFrame, changelog: DataFrame, comments: DataFrame) -> DataFrame:
@@ -157,11 +156,11 @@ def features(rel: Relations, x: Parts, ranks: DataFrame, p: Params) -> DataFrame
     then = base.select(*POINT, "t_at", "project_key", "issue_type")
     then = asof_join_simple(then, x.spans, {"issue_key": "issue_key"}, "t_at", "start_at", {"assignee": "_assignee"}, ["seq"])
     then = asof_join(then, x.assignee_load, {"_assignee": "assignee"}, "t_at", "ts", {"open_n": "_own_open"}, ["open_n"], seconds=p.slice_seconds)
-    then = asof_join(then, x.project_load, {"project_key": "project_key"}, "t_at", "ts", {"open_n": "_all_open"}, ["open_n"], seconds=p.slice_seconds)
     peers = {"n": "peer_n", "median_lead_days": "peer_median_lead_days", "late_rate": "peer_late_rate"}
     then = asof_join(then, x.peer, {"project_key": "project_key", "issue_type": "issue_type"}, "t_at", "resolution_date", peers, ["issue_key"], strict=True, seconds=p.slice_seconds)
     own = {"median_lead_days": "project_median_lead_days", "late_rate": "project_late_rate"}
-    then = asof_join(then, x.project, {"project_key": "project_key"}, "t_at", "resolution_date", own, ["issue_key"], strict=True, seconds=p.slice_seconds)
+    load = Source(x.project_load, ["project_key"], "ts", {"open_n": "_all_open"}, ["open_n"])
+    then = asof_joins(then, ["project_key"], "t_at", [load, Source(x.project, ["project_key"], "resolution_date", own, ["issue_key"], strict=True)], seconds=p.slice_seconds)
     base = base.join(then.drop("t_at", "project_key", "issue_type"), POINT)
     later = x.activity.join(x.state, "issue_key", "full").withColumn("point", F.lit("day7"))
     rows = base.join(later, POINT, "left").filter(~((F.col("point") == "day7") & (F.coalesce("stage_at_t", F.lit("")) == "Done")))

@@ -30,7 +30,7 @@ def scored_tickets(contributions: DataFrame, rows: DataFrame, base: float, p: Pa
 
 def flag_top(scored: DataFrame, known: DataFrame, share: float = 0.1) -> DataFrame:
     """``scored`` with top: whether the score reaches the cut-off above which ``share`` of the known rows of its point lie."""
-    cuts = quantiles(known, ["point"], "score", {"cutoff": 1 - share}, width=0.01).select("point", "cutoff")
+    cuts = quantiles(known, ["point"], "score", {"cutoff": 1 - share}).select("point", "cutoff")
     # one row for each of the two points
     return scored.join(F.broadcast(cuts), "point").withColumn("top", F.col("score") >= F.col("cutoff"))
 
