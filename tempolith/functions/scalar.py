@@ -69,7 +69,7 @@ def length_word(value: Column, typical: Column) -> Column:
     return F.when(value < 0.6 * typical, "Short").when(value > 1.5 * typical, "Long").otherwise("Typical")
 
 
-def poisson_steps(most: int = 8) -> list[float]:
+def poisson_steps(most: int = 12) -> list[float]:
     """The chances that a Poisson draw of mean 1 is at most 0, 1, ... ``most`` - 1."""
     total, chance, out = 0.0, 0.36787944117144233, []
     for k in range(1, most + 1):
@@ -80,7 +80,7 @@ def poisson_steps(most: int = 8) -> list[float]:
 
 
 def poisson(bits: Column) -> Column:
-    """A draw from the Poisson distribution of mean 1 (at most 8), given a hash."""
+    """A draw from the Poisson distribution of mean 1, given a hash; its 30 bits tell up to 12 apart."""
     u = (F.pmod(bits, F.lit(1 << 30)) + 0.5) / float(1 << 30)
     drawn = F.lit(0)
     for step in poisson_steps():

@@ -14,7 +14,7 @@ from .functions import metrics
 from .functions.scalar import poisson_steps, seconds_between
 from .operators.ordered import asof_join, next_time, quantiles
 from .oracles import _list, _pct, with_tables
-from .plans import analysis, checks, features, labels, load, model_frames, models, reports, scope, stages
+from .plans import analysis, checks, features, labels, load, model_frames, reports, resampling, scope, stages
 from .sources import documents, surrogate, tables
 from .sources.surrogate import PARAMS as P
 
@@ -645,19 +645,42 @@ def late_by_project_year(x: Layers) -> DataFrame:
     return analysis.trend(x.base).filter("created_year between 1996 and 1999").withColumnRenamed("created_year", "year")
 
 
-_DRAW = "(('0x' || substr(md5(concat_ws(':', issue_key, replicate)), 1, 8))::BIGINT % 1073741824 + 0.5::DOUBLE) / 1073741824"
+_MIX = lambda x: f"(xor({x}, {x} >> 16) * {resampling.MIXER}) % 4294967296"
 _TIMES = " + ".join(f"(u > {c!r}::DOUBLE)::INT" for c in poisson_steps())
 
 
-@_query(f"""WITH drawn AS (SELECT s.*, replicate, {_DRAW} AS u FROM scored s, range(1, 11) AS r(replicate) WHERE point = 'creation'), weighted AS (SELECT *, {_TIMES} AS w FROM drawn),
+def _bootstrap_sql(replicates: int) -> str:
+    """Each row as often as drawn, for each replicate and model; precision at each score, from sums over equal scores."""
+    return f"""seeds AS (SELECT s.*, replicate, (('0x' || substr(md5(issue_key::VARCHAR), 1, 8))::BIGINT + replicate * {resampling.STEP}) % 4294967296 AS x0 FROM scored s, range(1, {replicates + 1}) AS r(replicate) WHERE point = 'creation'),
+    once AS (SELECT *, {_MIX('x0')} AS x1 FROM seeds), twice AS (SELECT *, {_MIX('x1')} AS x2 FROM once), drawn AS (SELECT *, (xor(x2, x2 >> 16) % 1073741824 + 0.5::DOUBLE) / 1073741824 AS u FROM twice), weighted AS (SELECT *, {_TIMES} AS w FROM drawn),
     long AS (SELECT replicate, 'peer' AS model, peer_score AS s, is_late, w FROM weighted UNION ALL SELECT replicate, 'project', project_score, is_late, w FROM weighted),
-    sums AS (SELECT replicate, model, s, sum(w) AS n, sum(w) FILTER (is_late) AS late FROM long GROUP BY ALL HAVING sum(w) > 0), upto AS (SELECT replicate, model, ifnull(late, 0) AS late, ifnull(late, 0) * sum(ifnull(late, 0)) OVER w / sum(n) OVER w AS part FROM sums WINDOW w AS (PARTITION BY replicate, model ORDER BY s DESC)),
-    ap AS (SELECT replicate, model, sum(part) / sum(late) AS ap FROM upto GROUP BY ALL)
-    SELECT replicate::INT AS replicate, round(max(ap) FILTER (model = 'peer'), 9) AS peer_score, round(max(ap) FILTER (model = 'project'), 9) AS project_score FROM ap GROUP BY replicate""")
+    sums AS (SELECT replicate, model, s, sum(w) AS n, coalesce(sum(w) FILTER (is_late), 0) AS late FROM long GROUP BY ALL HAVING sum(w) > 0),
+    upto AS (SELECT replicate, model, late, late * sum(late) OVER w / sum(n) OVER w AS part FROM sums WINDOW w AS (PARTITION BY replicate, model ORDER BY s DESC)),
+    ap AS (SELECT replicate, model, sum(part) / sum(late) AS ap FROM upto GROUP BY ALL),
+    draws AS (SELECT replicate::INT AS replicate, max(ap) FILTER (model = 'project') AS project_score, max(ap) FILTER (model = 'peer') AS peer_score FROM ap GROUP BY replicate)"""
+
+
+def _draws(x: Layers, replicates: int) -> DataFrame:
+    bits = F.conv(F.substring(F.md5(F.col("issue_key").cast("string")), 1, 8), 16, 10).cast("long")
+    return resampling.bootstrap(x.scored.filter("point = 'creation'"), "is_late", ["project_score", "peer_score"], "issue_key", replicates, bits=bits)
+
+
+@_query(f"WITH {_bootstrap_sql(10)} SELECT replicate, round(peer_score, 9) AS peer_score, round(project_score, 9) AS project_score FROM draws")
 def bootstrap_draws(x: Layers) -> DataFrame:
-    bits = F.conv(F.substring(F.md5(F.concat_ws(":", "issue_key", "replicate")), 1, 8), 16, 10).cast("long")
-    draws = models.bootstrap(x.scored.filter("point = 'creation'"), "is_late", ["peer_score", "project_score"], "issue_key", 10, bits=bits)
-    return _round(draws, 9, "peer_score", "project_score")
+    return _round(_draws(x, 10), 9, "peer_score", "project_score")
+
+
+@_query(f"""WITH {_bootstrap_sql(1000)}, named AS (SELECT 'project_score' AS name, project_score AS v FROM draws UNION ALL SELECT 'peer_score', peer_score FROM draws UNION ALL SELECT 'peer_score - project_score', peer_score - project_score FROM draws)
+    SELECT name, round(avg(v), 9) AS mean, round(quantile_cont(v, 0.025), 9) AS low, round(quantile_cont(v, 0.975), 9) AS high, CASE WHEN contains(name, ' - ') THEN quantile_cont(v, 0.025) > 0 END AS wins FROM named GROUP BY name""")
+def bootstrap_intervals(x: Layers) -> DataFrame:
+    return _round(resampling.intervals(_draws(x, 1000), ["project_score", "peer_score"]), 9, "mean", "low", "high")
+
+
+@_query(f"""WITH {_bootstrap_sql(1000)} SELECT 'peer_score' AS model, 'project_score' AS against, round(avg(peer_score - project_score), 9) AS mean, round(quantile_cont(peer_score - project_score, 0.025), 9) AS low, round(quantile_cont(peer_score - project_score, 0.975), 9) AS high FROM draws""")
+def model_differences(x: Layers) -> DataFrame:
+    """What one model's draws gain over another's."""
+    rows = resampling.intervals(_draws(x, 1000), ["project_score", "peer_score"]).filter("name like 'peer_score - %'")
+    return _round(rows.select(F.split("name", " - ")[0].alias("model"), F.split("name", " - ")[1].alias("against"), "mean", "low", "high"), 9, "mean", "low", "high")
 
 
 # documents: orders as nested JSON tickets

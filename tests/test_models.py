@@ -1,12 +1,13 @@
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tempolith.plans import model_frames, models
+from tempolith.plans import model_frames, models, resampling
 
 CUTOFFS = (datetime(2016, 1, 1), datetime(2017, 1, 1))
 
@@ -78,6 +79,48 @@ def test_bootstrap_is_paired(spark):
     rng = random.Random(2)
     rows = [(i, y := int(rng.random() < 0.3), round(y + rng.random(), 2), round(rng.random(), 2)) for i in range(1500)]
     df = spark.createDataFrame(rows, "i long, y int, weak double, strong double").select("i", "y", F.col("strong").alias("noise"), F.col("weak").alias("signal"))
-    found = {r["name"]: r for r in models.intervals(models.bootstrap(df, "y", ["noise", "signal"], "i", 40), ["noise", "signal"]).collect()}
+    found = {r["name"]: r for r in resampling.intervals(resampling.bootstrap(df, "y", ["noise", "signal"], "i", 40), ["noise", "signal"]).collect()}
     assert found["signal - noise"]["wins"] and found["noise"]["wins"] is None
     assert found["noise"]["low"] < 0.3 < found["noise"]["high"] + 0.05 and found["signal"]["low"] > 0.5
+
+
+def plain_precision(rows, times):
+    """Average precision of (score, y), each row as often as given, ties together."""
+    total = sum(t for (_, y), t in zip(rows, times, strict=True) if y)
+    out = 0.0
+    for s in sorted({s for s, _ in rows}):
+        above = [(y, t) for (score, y), t in zip(rows, times, strict=True) if score >= s]
+        own = sum(t for (score, y), t in zip(rows, times, strict=True) if score == s and y)
+        n, pos = sum(t for _, t in above), sum(t for y, t in above if y)
+        out += own * pos / n if n else 0.0
+    return out / total if total else None
+
+
+@pytest.mark.parametrize(("slice_rows", "held"), [(10**6, 1 << 21), (100, 90)])
+def test_bootstrap_equals_plain_version(spark, monkeypatch, slice_rows, held):
+    monkeypatch.setattr(resampling, "DRAWS", held)
+    rng = random.Random(8)
+    rows = [(i, rng.choice([0, 1, None]), rng.choice([0.5, 0.5, 0.25, round(rng.random(), 2), None]), rng.choice([-1e9, 3.0, rng.random()])) for i in range(700)]
+    df = spark.createDataFrame(rows, "i long, y int, a double, b double").repartition(3)
+    found = {r["replicate"]: r for r in resampling.bootstrap(df, "y", ["a", "b"], "i", 6, bits=F.col("i") * 7919, slice_rows=slice_rows).collect()}
+    assert sorted(found) == list(range(1, 7))
+    times = resampling.draws(np.array([i * 7919 for i, *_ in rows]), 6)
+    for name, at in (("a", 2), ("b", 3)):
+        some = [k for k, r in enumerate(rows) if r[1] is not None and r[at] is not None]
+        for replicate in range(1, 7):
+            expected = plain_precision([(rows[k][at], rows[k][1]) for k in some], [times[k][replicate - 1] for k in some])
+            assert found[replicate][name] == pytest.approx(expected, rel=1e-12)
+
+
+def test_draws_are_poisson():
+    times = resampling.draws(np.arange(4000) * 2654435761 % 2**32, 500)
+    share = np.bincount(times.ravel(), minlength=6)[:6] / times.size
+    assert share == pytest.approx([np.exp(-1) / math.factorial(k) for k in range(6)], abs=2e-3)
+    assert abs(np.corrcoef(times[:, 0], times[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(times[:-1, 0], times[1:, 0])[0, 1]) < 0.06
+
+
+def test_many_rows_of_one_score_travel_as_one(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 3 == 0).cast("int").alias("y"), F.lit(0.5).alias("s"))
+    sent = df.coalesce(1).select(F.lit(0).alias("model"), "s", "y", "id").mapInArrow(resampling._gathered(20), resampling._SENT).collect()
+    assert len(sent) == 1 and len(sent[0]["n"]) == 20
+    assert resampling.bootstrap(df, "y", ["s"], "id", 20).agg(F.avg("s")).first()[0] == pytest.approx(1 / 3, abs=0.02)
