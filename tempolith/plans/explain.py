@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics
 from ..functions.scalar import poisson
 from ..operators.ordered import first_by
-from .model_frames import known_at
+from .model_frames import known_at, known_at_flag
 from .models import Fitted, average_precision_of, fit
+from .together import Spec, fit_together, importance_together, precision_together, scored_together
 
 #: Groups of columns whose worth is measured by leaving them out.
 ABLATIONS = {
@@ -58,13 +59,18 @@ def permutation_importance(model: Fitted, frame: DataFrame, key: str, features:
 
 
 def ablations(kind: str, point: str, train: DataFrame, test: DataFrame, params: dict, groups: dict[str, tuple[str, ...]] = ABLATIONS, label: str = "is_late") -> list[dict]:
-    """Average precision and ROC-AUC on ``test`` of models that do without each group of columns."""
-    out = []
-    for name, without in groups.items():
-        scored = fit(kind, point, train, params, label, without).score(test)
-        found = metrics.score_counts(scored, label, "score").groupBy("_one").agg(metrics.average_precision().alias("ap"), metrics.roc_auc().alias("auc")).first()
-        out.append({"name": name, "average_precision": found["ap"] if found else None, "roc_auc": found["auc"] if found else None})
-    return out
+    """Average precision and ROC-AUC on ``test`` of models that do without each group of columns; logistic ones are fitted together."""
+    if kind == "logistic":
+        fitted = fit_together(train, point, [Spec(name, F.lit(1), params["C"], without) for name, without in groups.items()], label)
+        models = [m for m in fitted if m is not None]
+        rows = precision_together(scored_together(test, models), models, [F.lit(True)] * len(models), label).collect() if models else []
+        found = {r["model"]: r for r in rows}
+    else:
+        found = {}
+        for name, without in groups.items():
+            scored = fit(kind, point, train, params, label, without).score(test)
+            found[name] = metrics.score_counts(scored, label, "score").groupBy("_one").agg(metrics.average_precision().alias("average_precision"), metrics.roc_auc().alias("roc_auc")).first()
+    return [{"name": name, **{m: found[name][m] if found.get(name) else None for m in ("average_precision", "roc_auc")}} for name in groups]
 
 
 def resampled(train: DataFrame, key: str, replicate: int, seed: int = 0) -> DataFrame:
@@ -85,12 +91,25 @@ def stability(model: Fitted, point: str, train: DataFrame, sample: DataFrame, pa
     refits += [({"known_at": c}, known_at(train, c)) for c in cutoffs]
     out = []
     for name, rows in refits:
-        found = ranking(fit(model.kind, point, rows, params))
-        first = [sorted(r, key=lambda f: (-r[f], f))[:3] for r in (reference, found)]  # noqa: B023
-        out.append(name | {"spearman": spearman([(v, found.get(f, 0.0)) for f, v in reference.items()]), "top3_overlap": len({*first[0]} & {*first[1]}), "top3": first[1]})
+        out.append(name | compared(reference, ranking(fit(model.kind, point, rows, params))))
     return out
 
 
+def stability_together(point: str, train: DataFrame, sample: DataFrame, C: float, key: str, cutoffs: Iterable[datetime] = (), replicates: int = 20, seed: int = 0, label: str = "is_late") -> list[dict]:
+    """``stability`` of a logistic model: the model itself and all refits are fitted together, their importances taken in one pass."""
+    named: dict[str, tuple[dict, Column]] = {f"resample {i}": ({"resample": i}, poisson(F.xxhash64(F.col(key), F.lit(i), F.lit(seed)))) for i in range(replicates)}
+    named |= {f"known at {c}": ({"known_at": c}, known_at_flag(c).cast("int")) for c in cutoffs}
+    fitted = fit_together(train, point, [Spec("", F.lit(1), C), *(Spec(n, w, C) for n, (_, w) in named.items())], label)
+    sizes = importance_together(sample, [m for m in fitted if m is not None])
+    return [facts | compared(sizes[""], sizes[n]) for n, (facts, _) in named.items() if n in sizes and "" in sizes]
+
+
+def compared(reference: dict[str, float], found: dict[str, float]) -> dict:
+    """How two rankings of features agree: Spearman's correlation, and the common features of the first three."""
+    first = [sorted(r, key=lambda f: (-r[f], f))[:3] for r in (reference, found)]  # noqa: B023
+    return {"spearman": spearman([(v, found.get(f, 0.0)) for f, v in reference.items()]), "top3_overlap": len({*first[0]} & {*first[1]}), "top3": first[1]}
+
+
 def spearman(pairs: list[tuple[float, float]]) -> float | None:
     """Rank correlation, equal values sharing their mean rank; None where a side has one value only."""
 

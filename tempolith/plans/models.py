@@ -20,6 +20,7 @@ from ..functions.scalar import log1p_clipped
 from ..operators.ordered import quantiles
 from . import trees
 from .model_frames import feature_columns, folds, known_at, long_form
+from .together import tune_together
 
 LOGISTIC_GRID = ({"C": 0.03}, {"C": 0.3}, {"C": 3.0})
 BOOSTING_GRID = ({"step": 0.1, "depth": 4}, {"step": 0.1, "depth": 5})
@@ -143,15 +144,22 @@ def average_precision_of(scored: DataFrame, label: str = "is_late", score: str =
 
 
 def tune(kind: str, point: str, frame: DataFrame, cutoffs: tuple[datetime, ...], grid: tuple[dict, ...] | None = None) -> tuple[dict, list[dict]]:
-    """The parameters of the best mean average precision over the folds; folds too small or of one class are left out."""
-    found = []
-    for params in grid or (LOGISTIC_GRID if kind == "logistic" else BOOSTING_GRID):
-        scores = []
+    """The parameters of the best mean average precision over the folds; folds too small or of one class are left out.
+
+    Logistic models of the whole grid and all folds are fitted together.
+    """
+    grid = grid or (LOGISTIC_GRID if kind == "logistic" else BOOSTING_GRID)
+    if kind == "logistic":
+        rows = tune_together(point, frame, cutoffs, [p["C"] for p in grid], MIN_TRAIN, MIN_VALID).orderBy("cutoff").collect()
+        scores = [[r["average_precision"] for r in rows if r["c"] == p["C"]] for p in grid]
+    else:
+        scores = [[] for _ in grid]
         for _, train, valid in folds(frame, cutoffs):
             sizes = [d.agg(F.count("*"), F.count_distinct("is_late")).first() for d in (train, valid)]
             if sizes[0][0] >= MIN_TRAIN and sizes[1][0] >= MIN_VALID and min(s[1] for s in sizes) == 2:
-                scores.append(average_precision_of(fit(kind, point, train, params).score(valid)))
-        found.append({"params": params, "mean": sum(scores) / len(scores) if scores else float("-inf"), "folds": scores})
+                for own, params in zip(scores, grid, strict=True):
+                    own.append(average_precision_of(fit(kind, point, train, params).score(valid)))
+    found = [{"params": p, "mean": sum(s) / len(s) if s else float("-inf"), "folds": s} for p, s in zip(grid, scores, strict=True)]
     return max(found, key=lambda f: f["mean"])["params"], found
 
 
