@@ -83,6 +83,12 @@ def trend(base: DataFrame) -> DataFrame:
     return _with_quantiles(base, groups, keys, {"median_days": ("lead_days", 0.5)}, 1)
 
 
+def priority_profile(base: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """(place, priority, n, late_pct) of some priorities, with their place in a fixed order."""
+    rows = base.filter(F.col("priority").isin(*order)).groupBy("priority").agg(F.count("*").alias("n"), percent(F.col("is_late")).alias("late_pct"))
+    return rows.withColumn("place", F.array_position(F.array(*map(F.lit, order)), F.col("priority")).cast("int")).select("place", "priority", "n", "late_pct")
+
+
 def weighted_rollup(profile: DataFrame) -> DataFrame:
     """Ticket-weighted means of the types' medians, percentiles and rates; not the project's own medians."""
     mean = lambda c: rounded(F.sum(F.col("tickets") * F.col(c)) / F.sum("tickets"), 1).alias(f"weighted_{c}")

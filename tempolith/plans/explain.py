@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +32,12 @@ def importance(model: Fitted, frame: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def permutation_importance(model: Fitted, frame: DataFrame, key: str, features: list[str], label: str = "is_late", repeats: int = 3, seed: int = 0) -> DataFrame:
-    """(feature, drop, drop_deviation): how much average precision falls when a column's values are dealt anew.
+    """``permutation_drops`` of a fitted pipeline."""
+    return permutation_drops(frame, model.score, key, features, label, repeats, seed)
+
+
+def permutation_drops(frame: DataFrame, score: Callable[[DataFrame], DataFrame], key: str, features: list[str], label: str = "is_late", repeats: int = 3, seed: int = 0) -> DataFrame:
+    """(feature, drop, drop_deviation): how much average precision falls when a column's values are dealt anew; ``score`` adds the column score.
 
     Rows fall into random blocks of about BLOCK and swap values within theirs, by two independent orders of hashes, so
     no order over all rows is needed. All columns are scored in one pass. ``key`` must be unique.
@@ -51,8 +56,8 @@ def permutation_importance(model: Fitted, frame: DataFrame, key: str, features:
         dealt = dealt.unionByName(more)
     each = dealt.withColumn("_feature", F.explode(F.array(*map(F.lit, features))))
     each = each.withColumns({f: F.when(F.col("_feature") == f, F.col(f"_given.{f}")).otherwise(F.col(f)) for f in features}).drop("_given")
-    whole = average_precision_of(model.score(rows), label)
-    counts = metrics.score_counts(model.score(each), label, "score", ["_feature", "_repeat"])
+    whole = average_precision_of(score(rows), label)
+    counts = metrics.score_counts(score(each), label, "score", ["_feature", "_repeat"])
     found = counts.groupBy("_feature", "_repeat").agg(metrics.average_precision().alias("_dealt"))
     drop = F.lit(whole) - F.col("_dealt")
     return found.groupBy(F.col("_feature").alias("feature")).agg(F.avg(drop).alias("drop"), F.stddev_pop(drop).alias("drop_deviation"))

@@ -11,7 +11,6 @@ from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from ..functions import metrics
 from ..functions.scalar import log1p_clipped
 from ..operators.ordered import quantiles
 from . import trees
+from .isotonic import Isotonic
 from .model_frames import feature_columns, folds, known_at, long_form
 from .together import tune_together
 
@@ -168,9 +168,5 @@ def fit_calibrated(kind: str, point: str, frame: DataFrame, params: dict, cutoff
     model = fit(kind, point, known_at(frame, cutoff), params)
     *_, (_, train, valid) = folds(frame, cutoffs)
     scored = fit(kind, point, train, params).score(valid).withColumn("_y", F.col("is_late").cast("double"))
-    isotonic = IsotonicRegression(featuresCol="score", labelCol="_y", predictionCol="_p").fit(scored.select("score", "_y"))
-
-    def calibrate(rows: DataFrame) -> DataFrame:
-        return isotonic.transform(rows).withColumn("calibrated", F.least(F.greatest("_p", F.lit(0.0)), F.lit(1.0))).drop("_p")
-
-    return model, calibrate
+    fitted = Isotonic.fit(scored, "_y", "score")
+    return model, lambda rows: fitted.apply(rows, "score")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 from functools import cached_property
 from typing import ClassVar
 from weakref import WeakKeyDictionary
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 from .functions import metrics
 from .functions.scalar import poisson_steps, seconds_between
 from .operators.ordered import asof_join, next_time, quantiles
-from .oracles import _list, _pct, with_tables
-from .plans import analysis, checks, features, labels, load, model_frames, reports, resampling, scope, stages
-from .sources import documents, surrogate, tables
+from .oracles import _days, _list, _pct, _ts, with_tables
+from .plans import analysis, checks, explain, features, isotonic, labels, load, model_frames, models, reports, resampling, scope, sentences, stages, together
+from .sources import catalog, documents, surrogate, tables
 from .sources.surrogate import PARAMS as P
+from .sources.surrogate import RANKS
 
 Query = Callable[[SparkSession, str], DataFrame]
 _SPARK: dict[str, Callable[[Layers], DataFrame]] = {}
@@ -239,16 +241,19 @@ def stage_share(x: Layers) -> DataFrame:
     return analysis.stage_share(x.base)
 
 
-@_query("""WITH w AS (SELECT project_key, count(*) AS tickets, quantile_cont(wait_to_first_review_days, [0.5, 0.75]) AS waits, quantile_cont(cycle_days, 0.5) AS cycle, avg(review_rounds) FILTER (entered_review) AS rounds,
-    list_transform([avg(entered_active::INT), avg(entered_review::INT), avg((review_rounds > 0)::INT), avg((reopen_count > 0)::INT)], lambda share: round(100 * share, 1)) AS shares FROM analysis_base GROUP BY project_key)
-    SELECT project_key, tickets, shares[1] AS entered_active_pct, shares[2] AS entered_review_pct, round(waits[1], 2) AS median_wait_to_review_days, round(waits[2], 2) AS p75_wait_to_review_days, round(cycle, 2) AS median_cycle_days,
-    shares[3] AS any_rework_pct, round(rounds, 2) AS mean_rounds_when_reviewed, shares[4] AS reopened_pct FROM w""")
+@_query(f"""SELECT project_key, count(*) AS tickets, {_pct('entered_active')} AS entered_active_pct, {_pct('entered_review')} AS entered_review_pct, {_pct('review_rounds > 0')} AS any_rework_pct, {_pct('reopen_count > 0')} AS reopened_pct,
+    round(median(wait_to_first_review_days), 2) AS median_wait_to_review_days, round(quantile_cont(wait_to_first_review_days, 0.75), 2) AS p75_wait_to_review_days, round(median(cycle_days), 2) AS median_cycle_days,
+    round(avg(review_rounds) FILTER (entered_review), 2) AS mean_rounds_when_reviewed FROM analysis_base GROUP BY project_key""")
 def review_flow(x: Layers) -> DataFrame:
     return analysis.review_flow(x.base)
 
 
-@_query(f"""WITH levels AS (SELECT is_late, issue_type, (['no', 'yes'])[has_assignee::INT + 1] AS "has_assignee_at_snapshot", (['no', 'yes'])[entered_review::INT + 1] AS "entered_review",
-    (['0', '1', '2+'])[least(component_count, 2)::INT + 1] AS "component_count_at_snapshot", (['0', '1', '2+'])[least(link_count, 2)::INT + 1] AS "link_count_at_snapshot", (['0', '1', '2+'])[least(review_rounds, 2)::INT + 1] AS "review_rounds (known late)" FROM analysis_base),
+_CAPPED = lambda c: f"CASE WHEN {c} >= 2 THEN '2+' ELSE {c}::INT::VARCHAR END"
+_YES = lambda c: f"CASE WHEN {c} THEN 'yes' ELSE 'no' END"
+
+
+@_query(f"""WITH levels AS (SELECT is_late, issue_type, {_YES('has_assignee')} AS "has_assignee_at_snapshot", {_YES('entered_review')} AS "entered_review", {_CAPPED('component_count')} AS "component_count_at_snapshot",
+    {_CAPPED('link_count')} AS "link_count_at_snapshot", {_CAPPED('review_rounds')} AS "review_rounds (known late)" FROM analysis_base),
     long AS (UNPIVOT levels ON COLUMNS(* EXCLUDE (is_late)) INTO NAME factor VALUE level)
     SELECT factor, level, count(*) AS tickets, {_pct('is_late')} AS late_pct FROM long GROUP BY factor, level HAVING factor <> 'issue_type' OR count(*) >= {P.factor_min}""")
 def factor_profile(x: Layers) -> DataFrame:
@@ -634,8 +639,8 @@ def assigned_after_creation(x: Layers) -> DataFrame:
     return reports.assigned_after_creation(x.features, x.rel.changelog, 864_000)
 
 
-@_query("""WITH rates AS (SELECT list_position([TRUE, FALSE], assignee_open = 0) AS idle, least((ifnull(assignee_open, 0) + 1) // 2, 1) + (ifnull(assignee_open, 0) > 2)::INT + (ifnull(assignee_open, 0) > 5)::INT + (ifnull(assignee_open, 0) > 10)::INT AS bucket, is_late FROM features JOIN late_labels l USING (issue_key) WHERE point = 'creation' AND has_assignee AND is_late IS NOT NULL)
-    SELECT min(r) AS least, max(r) AS most FROM (SELECT bucket, round(avg(100 * is_late::INT)) AS r FROM rates GROUP BY bucket)""")
+@_query("""WITH rates AS (SELECT CASE WHEN assignee_open >= 11 THEN 4 WHEN assignee_open >= 6 THEN 3 WHEN assignee_open >= 3 THEN 2 WHEN assignee_open >= 1 THEN 1 ELSE 0 END AS bucket, round(avg(100 * is_late::INT)) AS rate
+    FROM features JOIN late_labels l USING (issue_key) WHERE point = 'creation' AND has_assignee AND is_late IS NOT NULL GROUP BY bucket) SELECT min(rate) AS least, max(rate) AS most FROM rates""")
 def workload_range(x: Layers) -> DataFrame:
     return reports.workload_range(x.features, x.labels)
 
@@ -683,6 +688,153 @@ def model_differences(x: Layers) -> DataFrame:
     return _round(rows.select(F.split("name", " - ")[0].alias("model"), F.split("name", " - ")[1].alias("against"), "mean", "low", "high"), 9, "mean", "low", "high")
 
 
+_PRIORITY_ORDER = tuple(name for name, _ in RANKS)
+
+
+@_query(f"SELECT list_position({_list(_PRIORITY_ORDER)}, priority)::INT AS place, priority, count(*) AS n, {_pct('is_late')} AS late_pct FROM analysis_base WHERE priority IN {_PRIORITY_ORDER} GROUP BY priority")
+def priority_profile(x: Layers) -> DataFrame:
+    return analysis.priority_profile(x.base, _PRIORITY_ORDER)
+
+
+@_query("""WITH own AS (SELECT point, is_late_delivered_only AS late, peer_score AS s FROM scored WHERE is_late_delivered_only IS NOT NULL), counts AS (SELECT point, s, count(*) AS n, sum(late::INT) AS pos FROM own GROUP BY ALL),
+    r AS (SELECT *, sum(n) OVER d AS n_upto, sum(pos) OVER d AS pos_upto, sum(n) OVER o AS n_all, sum(pos) OVER o AS pos_all FROM counts WINDOW d AS (PARTITION BY point ORDER BY s DESC), o AS (PARTITION BY point)),
+    clipped AS (SELECT point, late, least(greatest(s, 1e-6), 1 - 1e-6) AS p FROM own), losses AS (SELECT point, round(avg((p - late::INT) ** 2), 9) AS brier, round(-avg(CASE WHEN late THEN ln(p) ELSE ln(1 - p) END), 9) AS log_loss FROM clipped GROUP BY point)
+    SELECT point, max(n_all)::BIGINT AS n, round(max(pos_all) / max(n_all), 9) AS late_rate, round(sum(pos * pos_upto / n_upto) / max(pos_all), 9) AS average_precision, round(sum(pos * ((n_all - pos_all) - (n_upto - pos_upto) + 0.5 * (n - pos))) / max(pos_all * (n_all - pos_all)), 9) AS roc_auc, any_value(brier) AS brier, any_value(log_loss) AS log_loss
+    FROM r JOIN losses USING (point) GROUP BY point HAVING max(pos_all) BETWEEN 1 AND max(n_all) - 1""")
+def delivered_only_metrics(x: Layers) -> DataFrame:
+    """How the peers' score does on delivered tickets alone; points with both outcomes."""
+    rows = x.scored.filter("is_late_delivered_only is not null")
+    counts = metrics.score_counts(rows, "is_late_delivered_only", "peer_score", ["point"])
+    ranks = counts.groupBy("point").agg(F.max("_n_all").alias("n"), F.max("_pos_all").alias("_p"), metrics.average_precision().alias("average_precision"), metrics.roc_auc().alias("roc_auc")).filter("_p between 1 and n - 1").withColumn("late_rate", F.col("_p") / F.col("n"))
+    losses = rows.groupBy("point").agg(metrics.brier("is_late_delivered_only", "peer_score").alias("brier"), metrics.log_loss("is_late_delivered_only", "peer_score").alias("log_loss"))
+    return _round(ranks.drop("_p").join(losses, "point"), 9, "late_rate", "average_precision", "roc_auc", "brier", "log_loss")
+
+
+_CUTOFFS = (datetime(1996, 7, 1), datetime(1997, 7, 1), datetime(1998, 1, 1))
+_KNOWN_AT = lambda c: f"created < {_ts(c)} AND is_late IS NOT NULL AND (coalesce(resolution_date < {_ts(c)}, FALSE) OR {_days('created', _ts(c))} > threshold_days)"
+_YEAR_AFTER = lambda c: f"created >= {_ts(c)} AND created < {_ts(c.replace(year=c.year + 1))} AND is_late IS NOT NULL"
+
+
+@_query(" UNION ALL ".join(f"SELECT point, {_ts(c)} AS cutoff, count(*) FILTER ({_KNOWN_AT(c)}) AS n_train, count(*) FILTER ({_KNOWN_AT(c)} AND is_late) AS late_train, count(*) FILTER ({_YEAR_AFTER(c)}) AS n_valid, count(*) FILTER ({_YEAR_AFTER(c)} AND is_late) AS late_valid FROM model_frame GROUP BY point" for c in _CUTOFFS))
+def fold_sizes(x: Layers) -> DataFrame:
+    """Each fold's rows: what was known at its cutoff, and the year after it; all folds in one pass."""
+    counts = [F.struct(F.lit(c).cast("timestamp_ntz").alias("cutoff"), *(F.count_if(h & late).alias(n) for k, side in enumerate(("train", "valid")) for h in [together.fold_flags(c)[k]] for n, late in ((f"n_{side}", F.lit(True)), (f"late_{side}", F.col("is_late"))))) for c in _CUTOFFS]
+    return x.frame.groupBy("point").agg(F.array(*counts).alias("folds")).select("point", F.explode("folds").alias("f")).select("point", "f.*")
+
+
+@_query("""WITH c AS (SELECT peer_score AS score, count(*) AS n, sum(is_late::INT) AS pos FROM scored WHERE point = 'creation' GROUP BY peer_score), p AS (SELECT *, row_number() OVER up AS i, sum(n) OVER up AS n_upto, sum(pos) OVER up AS pos_upto FROM c WINDOW up AS (ORDER BY score)),
+    means AS (SELECT a.i AS first, b.i AS last, (b.pos_upto - a.pos_upto + a.pos) / (b.n_upto - a.n_upto + a.n) AS mean FROM p a JOIN p b ON b.i >= a.i),
+    least AS (SELECT first, last, min(mean) OVER (PARTITION BY first ORDER BY last DESC) AS mean FROM means)
+    SELECT score, round(max(mean), 9) AS calibrated, any_value(n) AS n FROM least JOIN p ON p.i = last GROUP BY score""")
+def isotonic_map(x: Layers) -> DataFrame:
+    """The calibrated value of each score: the greatest, over starts below it, of the least mean, over ends above it."""
+    rows = x.scored.filter("point = 'creation'").select("is_late", F.col("peer_score").alias("score"))
+    fitted = isotonic.Isotonic.fit(rows, "is_late", "score")
+    return _round(fitted.apply(rows.groupBy("score").agg(F.count("*").alias("n")), "score"), 9, "calibrated")
+
+
+def _numbers(x: Layers, point: str) -> DataFrame:
+    """Model rows of a point, outcomes as numbers."""
+    return x.frame.filter(F.col("point") == point).withColumn("is_late", F.col("is_late").cast("double"))
+
+
+def _only_spark(f: Callable[[Layers], DataFrame]) -> Callable[[Layers], DataFrame]:
+    """Register a query that SQL cannot express; tests compare it with plain versions."""
+    _SPARK[f.__name__] = f
+    return f
+
+
+@_only_spark
+def tune_scores(x: Layers) -> DataFrame:
+    """The average precision of each C on each fold, all fitted together."""
+    return _round(together.tune_together("creation", _numbers(x, "creation"), _CUTOFFS, [p["C"] for p in models.LOGISTIC_GRID], models.MIN_TRAIN, models.MIN_VALID), 6, "average_precision")
+
+
+@_only_spark
+def ablation_scores(x: Layers) -> DataFrame:
+    """How the model does without each group of columns, in the test window."""
+    rows = _numbers(x, "creation")
+    found = explain.ablations("logistic", "creation", model_frames.known_at(rows, P.train_cutoff), rows.filter("split = 'test' and is_late is not null"), {"C": 0.3})
+    return _round(x.spark.createDataFrame([(f["name"], f["average_precision"], f["roc_auc"]) for f in found], "name string, average_precision double, roc_auc double"), 6, "average_precision", "roc_auc")
+
+
+@_only_spark
+def stability(x: Layers) -> DataFrame:
+    """How the ranking of features moves in 20 refits on resampled rows and in refits on what was known earlier, all fitted together."""
+    rows = _numbers(x, "creation")
+    train = model_frames.known_at(rows, P.train_cutoff)
+    found = explain.stability_together("creation", train, train, 0.3, "issue_key", _CUTOFFS[1:])
+    named = [(f"resample {f['resample']}" if "resample" in f else f"known at {f['known_at']:%Y-%m-%d}", f["spearman"], f["top3_overlap"], f["top3"]) for f in found]
+    return _round(x.spark.createDataFrame(named, "refit string, spearman double, top3_overlap int, top3 array<string>"), 6, "spearman")
+
+
+def _trained(x: Layers, point: str) -> together.Linear:
+    return together.fit_together(_numbers(x, point), point, [together.Spec("trained", model_frames.known_at_flag(P.train_cutoff).cast("int"), 0.3)])[0]
+
+
+@_query("SELECT count(*) AS n, 0::BIGINT AS off FROM model_frame WHERE point = 'creation'")
+def contributions_add_up(x: Layers) -> DataFrame:
+    """For how many tickets the trained model's contributions miss its log-odds by over 1e-6."""
+    rows, model = _numbers(x, "creation").drop("score"), _trained(x, "creation")
+    sums = together.contributions_together(rows, ["issue_key"], [model]).groupBy("issue_key").agg(F.sum("contribution").alias("_sum"))
+    scored = together.scored_together(rows, [model]).select("issue_key", F.col("scores")[0].alias("_p")).join(sums, "issue_key")
+    return scored.agg(F.count("*").alias("n"), F.count_if(F.abs(F.log(F.col("_p") / (1 - F.col("_p"))) - F.col("_sum") - model.base()) > 1e-6).alias("off"))
+
+
+@_only_spark
+def trained_importance(x: Layers) -> DataFrame:
+    """The mean size of each feature's contribution to the trained model, by theme."""
+    model = _trained(x, "creation")
+    sizes = together.importance_together(_numbers(x, "creation"), [model])["trained"]
+    rows = x.spark.createDataFrame(list(sizes.items()), "feature string, mean_abs double")
+    return _round(rows.withColumn("theme", model_frames.theme_of(F.col("feature"))), 6, "mean_abs")
+
+
+@_only_spark
+def permutation_drops(x: Layers) -> DataFrame:
+    """How much average precision in the test window falls when a column's values are dealt anew."""
+    rows = _numbers(x, "creation")
+    model = _trained(x, "creation")
+    test = rows.filter("split = 'test' and is_late is not null")
+    return _round(explain.permutation_drops(test, lambda df: together.scored_together(df, [model]).withColumn("score", F.col("scores")[0]), "issue_key", list(model.layout.places())), 6, "drop", "drop_deviation")
+
+
+_SAID = {
+    "link_count": "CASE WHEN link_count = 0 THEN 'No linked tickets' WHEN link_count = 1 THEN '1 linked ticket' ELSE link_count || ' linked tickets' END",
+    "component_count": "CASE WHEN component_count = 0 THEN 'No component set' WHEN component_count = 1 THEN '1 component set' ELSE component_count || ' components set' END",
+    "reporter_prior_tickets": "CASE WHEN reporter_prior_tickets IS NULL THEN 'Reporter unknown' WHEN reporter_prior_tickets = 0 THEN 'First ticket this reporter has filed' WHEN reporter_prior_tickets = 1 THEN 'Reporter has filed 1 earlier ticket' ELSE 'Reporter has filed ' || reporter_prior_tickets || ' earlier tickets' END",
+    "assignee_open": "CASE WHEN assignee_open IS NULL THEN 'Not assigned ' || CASE point WHEN 'creation' THEN 'when filed' ELSE 'by day 7' END ELSE 'Assigned ' || CASE point WHEN 'creation' THEN 'when filed' ELSE 'by day 7' END || ' (assignee has ' || assignee_open || ' other open tickets)' END",
+    "priority_rank": "CASE WHEN priority_rank IS NULL THEN 'No priority set' ELSE 'Priority is in the ' || CASE WHEN priority_rank >= 0.9 THEN 'top' WHEN priority_rank >= 0.65 THEN 'upper' WHEN priority_rank >= 0.4 THEN 'middle' WHEN priority_rank >= 0.15 THEN 'lower' ELSE 'bottom' END || ' part of its project''s scale' END",
+    "peer_n": "CASE WHEN peer_n IS NULL THEN 'No similar resolved tickets to compare with' WHEN peer_n < 30 THEN 'Only ' || peer_n || ' similar tickets resolved so far to compare with' ELSE 'Compared with the last ' || peer_n || ' similar tickets' END",
+    "issue_type": "coalesce('Issue type: ' || issue_type, 'Issue type not available')",
+    "workflow_family": "CASE workflow_family WHEN 'jira_review' THEN 'Review happens in Jira statuses (Patch Available)' ELSE 'Review happens on GitHub, outside Jira statuses' END",
+    "title_length": "CASE WHEN title_length < 0.6 * typical_title THEN 'Short' WHEN title_length > 1.5 * typical_title THEN 'Long' ELSE 'Typical' END || ' title (' || title_length || ' characters; typical here ' || trunc(typical_title)::BIGINT || ')'",
+}
+
+
+@_query(f"""WITH medians AS (SELECT point, project_key, median(title_length)::DOUBLE AS typical_title FROM known GROUP BY ALL), rows AS (SELECT f.*, typical_title FROM features f JOIN medians USING (point, project_key))
+    {' UNION ALL '.join(f"SELECT issue_key, point, '{c}' AS feature, {words} AS sentence FROM rows" for c, words in _SAID.items())}""")
+def ticket_sentences(x: Layers) -> DataFrame:
+    """The sentences about each ticket's facts, for features of each kind of wording."""
+    typical = model_frames.typical_values(x.known, ["title_length"]).withColumnRenamed("title_length", "typical_title")
+    rows = x.features.join(typical, ["point", "project_key"])
+    said = [F.struct(F.lit(c).alias("feature"), sentences.describe(c, typical=F.col("typical_title") if c == "title_length" else None).alias("sentence")) for c in _SAID]
+    return rows.select("issue_key", "point", F.explode(F.array(*said)).alias("s")).select("issue_key", "point", "s.*")
+
+
+@_query("SELECT 'never' AS kind, 0::BIGINT AS n UNION ALL SELECT 'unknown', 0")
+def column_leaks(x: Layers) -> DataFrame:
+    """Columns of the feature table that a model must never see, and those that nobody allowed."""
+    return x.spark.createDataFrame([(k, len(v)) for k, v in model_frames.leaks(x.features).items()], "kind string, n long")
+
+
+@_query("SELECT project_key, point, count(*) AS n, round(avg(project_open), 6) AS mean_open FROM features WHERE project_key IN ('BUILDING', 'MACHINERY') AND project_open >= 3 GROUP BY ALL")
+def asked_by_name(x: Layers) -> DataFrame:
+    """The feature table as a view, asked with named arguments."""
+    catalog.view("feature_rows", x.features)
+    return catalog.ask(x.spark, "SELECT project_key, point, count(*) AS n, round(avg(project_open), 6) AS mean_open FROM feature_rows WHERE array_contains(:projects, project_key) AND project_open >= :least GROUP BY project_key, point", projects=["BUILDING", "MACHINERY"], least=3)
+
+
 # documents: orders as nested JSON tickets
 
 
