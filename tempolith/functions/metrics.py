@@ -86,9 +86,9 @@ def top_fraction(df: DataFrame, y: str, score: str, tie: Column, keys: list[str]
 
 def calibration_table(df: DataFrame, y: str, score: str, tie: str, bins: int = 10) -> DataFrame:
     """(bin, predicted, observed, n): rows in order of (score, tie), cut into bins of equal numbers, the lower ones closed above."""
-    rows = df.filter(F.col(y).isNotNull() & F.col(score).isNotNull()).select(F.col(y).cast("int").alias("_y"), F.col(score).alias("_s"), F.col(tie).alias("_tie")).withColumn("_slice", F.floor(F.col("_s") * SLICES))
+    rows = df.filter(F.col(y).isNotNull() & F.col(score).isNotNull()).select(F.col(y).cast("int").alias("_y"), F.col(score).alias("_s"), F.col(tie).alias("_tie")).withColumn("_slice", F.floor(F.least(F.greatest(F.col("_s"), F.lit(0.0)), F.lit(1.0)) * SLICES))
     sums = rows.groupBy("_slice").agg(F.count("*").alias("_c"))
-    # at most SLICES + 1 rows
+    # at most SLICES + 1 rows, whatever the scores
     before = sums.withColumn("_before", F.sum("_c").over(Window.orderBy("_slice")) - F.col("_c")).withColumn("_all", F.sum("_c").over(Window.partitionBy())).drop("_c")
     rank = F.col("_before") + F.row_number().over(Window.partitionBy("_slice").orderBy("_s", "_tie"))
     numbered = rows.join(F.broadcast(before), "_slice").withColumn("_rank", rank)
