@@ -68,7 +68,7 @@ class Isotonic:
         rows = pools(scored, label, score, slice_scores).orderBy("low").toArrow()
         low, high, n, pos = (rows[c].to_numpy() for c in ("low", "high", "n", "pos"))
         ends, value = np.stack([low, high], axis=1).ravel(), np.repeat(pos / n, 2)
-        first = np.append(True, np.diff(ends) > 0)  # a pool of one score has one end
+        first = np.append(len(ends) > 0, np.diff(ends) > 0)[: len(ends)]  # a pool of one score has one end
         return cls(ends[first], value[first])
 
     def apply(self, rows: DataFrame, score: str, name: str = "calibrated") -> DataFrame:
