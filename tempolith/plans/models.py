@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics
-from ..functions.scalar import log1p_clipped
+from ..functions.scalar import log1p_clipped, sigmoid
 from ..operators.ordered import quantiles
 from . import trees
 from .isotonic import Isotonic
@@ -65,10 +65,20 @@ class Fitted:
     numbers: Numbers
     pipeline: Model
 
+    def _log_odds(self, frame: DataFrame) -> DataFrame:
+        """``frame`` scaled, with _v, its vector as an array, and _raw, its log-odds."""
+        *steps, last = self.pipeline.stages
+        if self.kind == "boosting":
+            return self.pipeline.transform(self.numbers.scaled(frame)).withColumns({"_v": vector_to_array("features"), "_raw": vector_to_array("rawPrediction")[1]})
+        # by its weights: a fitted logistic stage holds its session, which is not always serializable
+        rows = PipelineModel(steps).transform(self.numbers.scaled(frame)).withColumn("_v", vector_to_array("features"))
+        weights = F.array(*(F.lit(float(w)) for w in last.coefficients.toArray()))
+        return rows.withColumn("_raw", F.aggregate(F.zip_with("_v", weights, lambda x, w: x * w), F.lit(float(last.intercept)), lambda a, b: a + b))
+
     def score(self, frame: DataFrame) -> DataFrame:
         """``frame`` with score, the chance of being late."""
-        out = self.pipeline.transform(self.numbers.scaled(frame))
-        return out.withColumn("score", vector_to_array("probability")[1]).select(*frame.columns, "score")
+        chance = vector_to_array("probability")[1] if self.kind == "boosting" else sigmoid(F.col("_raw"))
+        return self._log_odds(frame).withColumn("score", chance).select(*frame.columns, "score")
 
     def origins(self) -> list[str]:
         """For each place of the feature vector, the column that it comes from."""
@@ -85,7 +95,7 @@ class Fitted:
         Of a logistic model each weight times its value, of boosted trees the Shapley values over the trees' own covers.
         One-hot and gap columns count for the column they come from.
         """
-        scored = self.pipeline.transform(self.numbers.scaled(frame)).select(*keys, vector_to_array("features").alias("_v"), vector_to_array("rawPrediction")[1].alias("_raw"))
+        scored = self._log_odds(frame).select(*keys, "_v", "_raw")
         if self.kind == "boosting":
             return trees.contributions(scored, keys, trees.leaves(self.pipeline.stages[-1]), self.origins())
         weights = self.pipeline.stages[-1].coefficients.toArray()

@@ -6,6 +6,7 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from tempolith.plans import model_frames, models, resampling
 
@@ -26,6 +27,14 @@ def frame(spark):
     return df.withColumns({c: F.lit(None).cast("double") for c in missing}).cache()
 
 
+def test_models_after_observations(spark, frame):
+    """A session that observed something while it wrote still scores."""
+    seen = Observation("rows")
+    frame.observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
+    assert seen.get["n"] == 1600
+    assert models.fit("logistic", "creation", frame, {"C": 0.3}).score(frame).filter("score between 0 and 1").count() == 1600
+
+
 def test_known_at(spark):
     day = lambda n: datetime(2020, 1, n)
     rows = [(0, day(1), day(5), 30.0, 1.0), (1, day(1), None, 3.0, 1.0), (2, day(1), None, 30.0, 1.0), (3, day(12), None, 1.0, 1.0), (4, day(1), day(20), 30.0, 0.0), (5, day(1), day(5), 3.0, None)]
