@@ -136,6 +136,13 @@ def test_tuning_equals_single_folds(frame):
     assert len(scores) == 3 and best == max(scores, key=lambda s: s["mean"])["params"]
 
 
+def test_tuning_with_one_fold_or_none(frame):
+    """Of two folds one may be too small, or both."""
+    both = together.tune_together("creation", frame, CUTOFFS, (0.3,), 200, 50).filter(F.col("cutoff") == CUTOFFS[1]).first()
+    assert together.tune_together("creation", frame, CUTOFFS[1:], (0.3,), 200, 50).collect() == [both]
+    assert together.tune_together("creation", frame.limit(0), CUTOFFS, (0.3,), 200, 50).collect() == []
+
+
 def test_refits_together(frame):
     train = frame.filter("is_late is not null")
     found = explain.stability_together("creation", train, train, 0.3, "issue_key", CUTOFFS, replicates=3)
