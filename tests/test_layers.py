@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tempolith.params import Params
 from tempolith.plans import checks, features, labels, model_frames, scope, stages
+from tempolith.queries import Layers
 from tempolith.sources.relations import Relations
 
 DAY = timedelta(days=1)
@@ -131,3 +132,17 @@ def test_no_leak(world, spark):
     assert model_frames.leaks(frame) == {"never": set(), "unknown": set()}
     assert not model_frames.allowed_columns() & model_frames.NEVER
     assert model_frames.leaks(frame.withColumn("is_late", F.lit(1)))["never"] == {"is_late"}
+
+
+def test_tickets_are_worked_out_once(spark):
+    """Issues are written once: what reads them does not go over the lines of all orders again."""
+    with Layers(spark, "/root/testdata/sf0.001") as layers:
+        assert not any("lineitem" in f for f in layers.rel.issues.inputFiles())
+        assert any("lineitem" in f for f in layers.rel.comments.inputFiles())
+
+
+def test_rows_by_ticket_stay_where_they_are(spark):
+    """A ticket's points come as one map, so a join with them is by the ticket alone; a point without a row has none."""
+    rows = spark.createDataFrame([("A", "creation", 1), ("A", "day7", 2), ("B", "day7", None)], "issue_key string, point string, n int")
+    found = {r["issue_key"]: {k: v["n"] for k, v in r["m"].items()} for r in features.by_ticket(rows, "m").collect()}
+    assert found == {"A": {"creation": 1, "day7": 2}, "B": {"day7": None}}
