@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tempolith.params import Params
 from tempolith.plans import checks, features, labels, model_frames, scope, stages
 from tempolith.queries import Layers
+from tempolith.sources import surrogate
 from tempolith.sources.relations import Relations
 
 DAY = timedelta(days=1)
@@ -146,3 +147,10 @@ def test_rows_by_ticket_stay_where_they_are(spark):
     rows = spark.createDataFrame([("A", "creation", 1), ("A", "day7", 2), ("B", "day7", None)], "issue_key string, point string, n int")
     found = {r["issue_key"]: {k: v["n"] for k, v in r["m"].items()} for r in features.by_ticket(rows, "m").collect()}
     assert found == {"A": {"creation": 1, "day7": 2}, "B": {"day7": None}}
+
+
+def test_lines_of_an_order_are_shuffled_once(spark):
+    """Counting distinct suppliers of an order takes one exchange of its lines."""
+    lines = surrogate.issues(spark, "/root/testdata/sf0.001").select("issue_key", "link_count")
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "l_suppkey" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning(l_orderkey" in x)
