@@ -154,3 +154,26 @@ def test_lines_of_an_order_are_shuffled_once(spark):
     lines = surrogate.issues(spark, "/root/testdata/sf0.001").select("issue_key", "link_count")
     plan = lines._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1 and "l_suppkey" not in "".join(x for x in plan.split("\n") if "Exchange hashpartitioning(l_orderkey" in x)
+
+
+def _operators(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_suppliers_take_no_maps(spark):
+    """An order's lines go through one sort and windows of an order, not through maps of all rows of a task."""
+    plan = _operators(surrogate.issues(spark, "/root/testdata/sf0.001").select("issue_key", "link_count", "comment_count"))
+    assert "HashAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_activity_is_shuffled_once(spark):
+    """Points, tickets, changes and comments meet in one exchange; odd rows count as they do in SQL."""
+    t = lambda day: datetime(2020, 1, day)
+    pts = spark.createDataFrame([("A", "creation", t(1)), ("A", "day7", t(8)), ("B", "day7", t(9)), ("gone", "day7", t(9))], "issue_key string, point string, t_at timestamp_ntz")
+    found = spark.createDataFrame([("A", t(1)), ("B", t(2)), ("C", t(1)), (None, t(1))], "issue_key string, created timestamp_ntz")
+    changes = spark.createDataFrame([("A", "1", t(2)), ("A", "1", t(3)), ("A", "2", t(9)), ("A", "3", None), ("A", "3", t(4)), ("A", None, t(5)), ("C", "1", t(2)), ("gone", "1", t(2)), (None, "1", t(2))], "issue_key string, history_id string, created timestamp_ntz")
+    comments = spark.createDataFrame([("A", "x", t(8)), ("A", "x", t(7)), ("A", None, t(6)), ("A", "y", t(20)), (None, "x", t(2))], "issue_key string, author string, created timestamp_ntz")
+    rows = features.activity_until(pts, found, changes, comments)
+    plan = _operators(rows)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert {r["issue_key"]: tuple(r)[1:] for r in rows.collect()} == {"A": (2, 3, 1, 0.0), "B": (0, 0, 0, 7.0)}
