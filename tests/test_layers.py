@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from tempolith.operators.spans import build_spans
 from tempolith.params import Params
 from tempolith.plans import checks, features, labels, model_frames, scope, stages
 from tempolith.queries import Layers
@@ -177,3 +178,18 @@ def test_activity_is_shuffled_once(spark):
     plan = _operators(rows)
     assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
     assert {r["issue_key"]: tuple(r)[1:] for r in rows.collect()} == {"A": (2, 3, 1, 0.0), "B": (0, 0, 0, 7.0)}
+
+
+def test_spans_are_shuffled_once(spark):
+    """Stages of tickets take one exchange of tickets and changes together, and none of the intervals; the odd first states are kept."""
+    with Layers(spark, "/root/testdata/sf0.001") as layers:
+        plan = _operators(layers._spans())
+        assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+        assert layers.ticket_stages.count() > 0 and "intervals" not in vars(layers)
+    t = lambda day: datetime(2020, 1, day)
+    initial = spark.createDataFrame([("A", "now", t(3), 1), ("B", "now", t(1), 2)], "k string, v string, start_at timestamp_ntz, c int")
+    changes = spark.createDataFrame([("A", t(1), "2", None, "x"), ("A", t(1), "10", "x", "y"), ("C", t(1), "1", "x", "y"), (None, t(1), "1", "x", "y")], "k string, created timestamp_ntz, history_id string, old string, new string")
+    spans = lambda **how: sorted(tuple(r) for r in build_spans(initial, changes, "k", "v", "old", "new", F.lit(t(9)).cast("timestamp_ntz"), carry=("c",), **how).fillna("none", "v").collect())
+    b = ("B", "now", t(1), t(9), 1, 0, 2)
+    assert spans(not_before=True) == [("A", "none", t(3), t(3), 1, 0, 1), ("A", "x", t(3), t(3), 2, 1, 1), ("A", "y", t(3), t(9), 3, 2, 1), b]
+    assert spans(null_first=False) == [("A", "now", t(3), t(9), 3, 0, 1), ("A", "x", t(1), t(1), 1, 1, 1), ("A", "y", t(1), t(3), 2, 2, 1), b]
