@@ -193,3 +193,11 @@ def test_spans_are_shuffled_once(spark):
     b = ("B", "now", t(1), t(9), 1, 0, 2)
     assert spans(not_before=True) == [("A", "none", t(3), t(3), 1, 0, 1), ("A", "x", t(3), t(3), 2, 1, 1), ("A", "y", t(3), t(9), 3, 2, 1), b]
     assert spans(null_first=False) == [("A", "now", t(3), t(9), 3, 0, 1), ("A", "x", t(1), t(1), 1, 1, 1), ("A", "y", t(1), t(3), 2, 2, 1), b]
+
+
+def test_analysis_reads_tickets_once(spark):
+    """Priority and assignee come along with a ticket's stages: labels, tickets, stages and issues are joined by three joins."""
+    with Layers(spark, "/root/testdata/sf0.001") as layers:
+        assert {"priority", "assignee"} <= set(layers.flow.columns)
+        plan = layers.base._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join Inner") == 3
