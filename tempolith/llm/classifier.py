@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, discard, hash_limit, keep_rows, settle, text_bytes
+from .store import bounded_batches, discard, hash_limit, keep_rows, settle, small_table, text_bytes
 
 #: Bound of the labelled documents that are fitted on, chosen by a hash of their ids.
 LABELLED = 3000
@@ -238,7 +238,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds:
         if not fresh:
             break
         # at most 4 * pseudo ids
-        wanted = spark.createDataFrame(sorted({(i, 0) for i, _, _ in fresh}), "id long, goal int")
+        new = sorted({i for i, _, _ in fresh})
+        wanted = small_table(spark, id=pa.array(new, pa.int64()), goal=pa.array([0] * len(new), pa.int32()))
         ids, _, found = _gather(rows.join(F.broadcast(wanted), "id"))
         place = {int(i): at for at, i in enumerate(ids)}
         for i, view, label in fresh:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_batches, hash_limit, keep_rows, text_bytes
+from .store import bounded_batches, hash_limit, keep_rows, small_table, text_bytes
 
 #: N-grams are UTF-8 byte trigrams hashed into so many buckets, or fewer (halved, until the numbers of all languages are
 #: at most MODEL_CELLS), so every language is learned and a model takes up to 64 MB. Under LEAST_BUCKETS there is no model.
@@ -101,7 +101,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     langs, buckets = sorted(sizes), buckets_for(len(sizes), cells)
     place = {lang: i for i, lang in enumerate(langs)}
     # at most MODEL_CELLS // LEAST_BUCKETS rows
-    limits = spark.createDataFrame([(lang, hash_limit(n, sample_per_lang)) for lang, n in sizes.items()], "lang string, most long")
+    limits = small_table(spark, lang=pa.array(list(sizes), pa.string()), most=pa.array([hash_limit(n, sample_per_lang) for n in sizes.values()], pa.int64()))
     chosen = docs.join(F.broadcast(limits), "lang").filter(F.xxhash64("id") <= F.col("most")).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import discard, settle
 
-__all__ = ["bounded_batches", "discard", "hash_limit", "join_counted", "keep_rows", "settle", "text_bytes"]
+__all__ = ["bounded_batches", "discard", "hash_limit", "join_counted", "keep_rows", "settle", "small_table", "text_bytes"]
 
 #: Rows handed to Python at once; with the byte bound of ``bounded_batches`` a worker holds little at a time.
 BATCH_ROWS = 1000
@@ -53,6 +53,11 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def small_table(spark: SparkSession, **columns: pa.Array) -> DataFrame:
+    """A few rows of the driver's, handed over as Arrow: rows as Python objects would start Python workers of their own on each executor."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes | None]:
     """The UTF-8 bytes of each text of an Arrow string column, one at a time."""
     for value in column.cast(pa.large_binary()):
