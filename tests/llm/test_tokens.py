@@ -6,6 +6,7 @@ import random
 import tracemalloc
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -152,6 +153,28 @@ def test_long_words_equal_short_ones(monkeypatch):
     assert [[c.text(t) for t in samples] for c in counters] == expected
 
 
+def test_words_side_by_side_equal_one_by_one(spark, monkeypatch):
+    """Small vocabularies with bytes, full of ties, in small blocks and sections."""
+    rng = random.Random(13)
+    for name, value in (("COMMON", 3), ("ABREAST", 7), ("SHORT", 9), ("TOGETHER", 40), ("PIECE", 11)):
+        monkeypatch.setattr(unigram, name, value)
+    for _ in range(40):
+        names = {"<unk>", "\n"} | {f"<0x{b:02X}>" for b in range(256)} | {"".join(rng.choice("abé▁") for _ in range(rng.randrange(1, 5))) for _ in range(10)}
+        counter = unigram.Counter([("<unk>", 0.0)] + [(n, float(-rng.randrange(4))) for n in sorted(names - {"<unk>"})])
+        assert counter.abreast is not None
+        rows = [t for t in ODD if t is None or len(t) < 100] + ["".join(rng.choice("aabb é日\n▁") for _ in range(rng.randrange(60))) for _ in range(20)]
+        assert list(zip(*counter.texts(None if t is None else t.encode() for t in rows), strict=True)) == [counter.text(t or "") for t in rows]
+
+
+def test_new_words_are_not_segmented_one_by_one(spark, uni, monkeypatch):
+    counter, rows = unigram.load(MODEL), texts(spark)
+    calls = []
+    monkeypatch.setattr(counter, "word", lambda word: calls.append(word) or unigram.Counter.word(counter, word))
+    found = list(unigram.counted(iter([pa.record_batch([pa.array(range(len(rows))), pa.array(rows, pa.string())], ["doc_id", "text"])]), MODEL))
+    assert found[0]["n_tokens"].to_pylist() == [len(uni.encode(t or "", add_special_tokens=False).ids) for t in rows]
+    assert all(len(word) > unigram.SHORT for word in calls) and len(calls) < 20
+
+
 def test_a_very_long_word_takes_little_memory():
     counter = unigram.load(MODEL)
     text = "abcdefghij" * 60_000
