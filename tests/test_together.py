@@ -149,3 +149,12 @@ def test_refits_together(frame):
     assert [next(iter(f)) for f in found] == ["resample"] * 3 + ["known_at"] * 2 and all(0 < f["spearman"] <= 1 and 0 <= f["top3_overlap"] <= 3 for f in found)
     out = {r["name"]: r for r in explain.ablations("logistic", "creation", train, train, {"C": 0.3}, {"all": (), "no_links": ("link_count",)})}
     assert out["all"]["average_precision"] > out["no_links"]["average_precision"] and out["all"]["roc_auc"] > 0.5
+
+
+def test_refits_without_a_model(frame):
+    """Where a class is missing, from all rows or from what was known at a cutoff, there is a row without numbers."""
+    train = frame.filter("is_late is not null")
+    late = explain.stability_together("creation", train.filter("is_late = 1"), train, 0.3, "issue_key", CUTOFFS, replicates=2)
+    assert [(f["spearman"], f["top3_overlap"], f["top3"]) for f in late] == [(None, None, None)] * 4
+    some = explain.stability_together("creation", train, train, 0.3, "issue_key", (datetime(2013, 1, 1), CUTOFFS[1]), replicates=1)
+    assert [f["spearman"] is None for f in some] == [False, True, False] and [f.get("known_at") for f in some][1:] == [datetime(2013, 1, 1), CUTOFFS[1]]
