@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import random
 from datetime import datetime
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
+from tempolith import queries
 from tempolith.plans import explain, model_frames, models, together
 from tempolith.plans.together import Spec, fit_together, scored_together
 
@@ -158,3 +160,22 @@ def test_refits_without_a_model(frame):
     assert [(f["spearman"], f["top3_overlap"], f["top3"]) for f in late] == [(None, None, None)] * 4
     some = explain.stability_together("creation", train, train, 0.3, "issue_key", (datetime(2013, 1, 1), CUTOFFS[1]), replicates=1)
     assert [f["spearman"] is None for f in some] == [False, True, False] and [f.get("known_at") for f in some][1:] == [datetime(2013, 1, 1), CUTOFFS[1]]
+
+
+def test_queries_without_a_model(spark, frame):
+    """No ticket was known at the cutoff: every feature has a row without a number, and no contribution is off."""
+    x = SimpleNamespace(spark=spark, frame=frame.withColumn("split", F.lit("test")))
+    ask = lambda name: queries._SPARK[name](x)
+    drops, sizes = ask("permutation_drops"), ask("trained_importance")
+    assert drops.dtypes == [("feature", "string"), ("drop", "double"), ("drop_deviation", "double")]
+    assert {tuple(r)[1:] for r in drops.collect()} == {(None, None)} and {r["mean_abs"] for r in sizes.collect()} == {None}
+    names = [r["feature"] for r in drops.collect()]
+    assert len({*names}) == len(names) == 17 and {*names} == {r["feature"] for r in sizes.collect()}
+    assert tuple(ask("contributions_add_up").first()) == (1500, 0)
+
+
+def test_drops_without_rows(frame):
+    """A model and no row to test it on."""
+    model = fit_together(frame, "creation", [Spec("all", F.lit(1), 0.3)])
+    score = lambda df: scored_together(df, model).withColumn("score", F.col("scores")[0])
+    assert [tuple(r) for r in explain.permutation_drops(frame.filter("is_late is null"), score, "issue_key", ["link_count"]).collect()] == [("link_count", None, None)]
