@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 from datetime import datetime
 from types import SimpleNamespace
 
@@ -179,3 +180,13 @@ def test_drops_without_rows(frame):
     model = fit_together(frame, "creation", [Spec("all", F.lit(1), 0.3)])
     score = lambda df: scored_together(df, model).withColumn("score", F.col("scores")[0])
     assert [tuple(r) for r in explain.permutation_drops(frame.filter("is_late is null"), score, "issue_key", ["link_count"]).collect()] == [("link_count", None, None)]
+
+
+def test_only_what_is_scored_is_dealt(spark, frame, monkeypatch):
+    """Other columns of a row do not go through Python with each of its copies."""
+    seen = []
+    monkeypatch.setattr(queries, "P", replace(queries.P, train_cutoff=datetime(2017, 1, 1)))
+    monkeypatch.setattr(together, "scored_together", lambda df, models: (seen.append(set(df.columns)), scored_together(df, models))[1])
+    found = queries._SPARK["permutation_drops"](SimpleNamespace(spark=spark, frame=frame.withColumns({"split": F.when(F.col("created") >= "2017-01-01", "test"), "more": F.lit("x")}))).collect()
+    assert len(found) == 17 and all(r["drop"] is not None for r in found)
+    assert len(seen) == 2 and all(s - {"_feature", "_repeat"} == {"issue_key", "is_late", *queries._features("creation")} for s in seen)
